@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, sharding
+from . import ann, decontamination, mixing, sharding, warc
 from .common import table
 
 
@@ -16,10 +16,21 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs, "doc_id", F.col("size")).drop("size")
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, is_query=F.col("vec_id") % 20 == 0, k=20)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.archive_folder(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(spark, folder).drop("url")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.find_hits(docs, table(spark, sf_dir, "benchmark"))
@@ -64,6 +75,15 @@ c AS (SELECT p.doc_id, p.source, p.size, q.source_size, q.target,
     CASE WHEN q.source_size > 0 THEN q.target / q.source_size ELSE 0 END AS rate, u, k FROM p JOIN q USING (mark)),
 e AS (SELECT *, (floor(rate * k + u) - floor(rate * (k - 1) + u))::BIGINT AS copies FROM c)
 SELECT doc_id, size, source_size, target, copies * size AS taken, source, copies FROM e
+""",
+    "op6_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, sha1(body) AS hex,
+    row_number() OVER (PARTITION BY body ORDER BY page_id DESC NULLS LAST) AS rn, max(page_id) OVER (PARTITION BY body) AS top FROM p),
+c AS (SELECT *, list_transform(range(0, 8), lambda i: ('0x' || substr(hex, (5 * i + 1)::INT, 5))::BIGINT) AS v FROM d)
+SELECT page_id, payload_bytes,
+    array_to_string(list_transform(v, lambda x: array_to_string(list_transform([15, 10, 5, 0], lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((x >> b) & 31) + 1)::INT, 1)), '')), '') AS payload_digest,
+    CASE WHEN rn = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN rn > 1 THEN top END AS refers_to FROM c
 """,
     "op9_decontamination": r"""
 WITH d0 AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
