@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, map_arrow
 
 
 def usable(v: Column) -> Column:
@@ -110,7 +110,7 @@ def curve_windows(points: DataFrame, dims: int, *, k: int, curves: int, window:
                 key = curve(m, c, axes, bits, seed).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), c, np.int32)), pa.array(key), batch.column("point"), batch.column("v"), batch.column("is_query")], names=names)
 
-    keyed = points.mapInArrow(order, "curve int, key bigint, point bigint, v array<float>, is_query boolean")
+    keyed = map_arrow(points, order, "curve int, key bigint, point bigint, v array<float>, is_query boolean")
     # Key as a tie-break, so that one place on a curve can span partitions.
     laid = keyed.repartitionByRange(F.col("curve"), F.col("key"), F.col("point")).sortWithinPartitions("curve", "key", "point")
 
@@ -135,7 +135,7 @@ def curve_windows(points: DataFrame, dims: int, *, k: int, curves: int, window:
                     r, s = _best(m[rows] @ m[left:right].T, k + 1)
                     yield _pairs(point[rows[r]], point[left + s], (m[rows[r]] * m[left + s]).sum(1))
 
-    return laid.mapInArrow(near, _PAIR)
+    return map_arrow(laid, near, _PAIR)
 
 
 def exact_pairs(points: DataFrame, floors: list, dims: int, *, k: int, block: int = 512) -> DataFrame:
@@ -161,7 +161,7 @@ def exact_pairs(points: DataFrame, floors: list, dims: int, *, k: int, block: in
                     if len(r):
                         yield _pairs(ids[part[r]], point[at + s], (q[part[r]] * m[s]).sum(1))
 
-    return points.mapInArrow(scan, _PAIR)
+    return map_arrow(points, scan, _PAIR)
 
 
 def _top(pairs: DataFrame, points: DataFrame, k: int) -> DataFrame:
@@ -206,7 +206,7 @@ def _complete(points: DataFrame, top: DataFrame, dims: int, k: int, axes: int, b
             key = curve(_matrix(batch.column("v"), dims), 0, axes, bits, seed).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("point"), batch.column("v")], names=["key", "point", "v"])
 
-    laid = points.select("point", "v").mapInArrow(order, "key bigint, point bigint, v array<float>")
+    laid = map_arrow(points.select("point", "v"), order, "key bigint, point bigint, v array<float>")
     laid = checkpointed(laid.repartitionByRange(F.col("key"), F.col("point")).sortWithinPartitions("key", "point").select("point", "v"))
     last = top.groupBy("query").agg(F.when(F.count(F.lit(1)) > k, F.min("score")).alias("floor"))
     floors = points.where("is_query").select(F.col("point").alias("query"), "v").join(last, "query", "left")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,6 +60,24 @@ def binary_list(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+_shipped: set[str] = set()
+
+
+def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow, with this package at hand on executors that don't have it installed."""
+    sc = df.sparkSession.sparkContext
+    if sc.applicationId not in _shipped:
+        _shipped.add(sc.applicationId)
+        root = Path(__file__).resolve().parents[1]
+        folder = tempfile.mkdtemp(prefix="ordinate-")  # the driver serves the file from here as long as it lives
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        with zipfile.ZipFile(f"{folder}/{root.name}.zip", "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(f"{folder}/{root.name}.zip")
+    return df.mapInArrow(work, schema)
+
+
 def arrow_columns(df: DataFrame, fields: list[tuple[str, str]], make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]]) -> DataFrame:
     """df and further columns, computed batch by batch in one narrow pass.
 
@@ -71,4 +93,4 @@ def arrow_columns(df: DataFrame, fields: list[tuple[str, str]], make: Callable[[
             new = work(batch)
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *[n for n, _ in fields]])
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
