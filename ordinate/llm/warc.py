@@ -11,9 +11,9 @@ knows will do: one row is one frame, and the row separator is an empty skippable
 frame, which decoders of Zstandard pass over.
 
 Scale: roles are decided on narrow rows (ids and digests); only the payloads of
-responses move, once to meet their role and once to their archive.  Records of
-an archive come in the order of a hash, so the first ``sample_bytes`` that the
-dictionary is built from are a random sample of the archive.  A task holds that
+responses move, once, to meet their role in the partition that becomes their
+archive.  Records of an archive come in the order of a hash, so the first
+``sample_bytes`` that the dictionary is built from are a random sample of it.  A task holds that
 sample and one record; a reader holds one archive, so ``archive_bytes`` bounds
 its memory.
 
@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_list, checkpointed, numbered, ready
+from .common import binary_list, checkpointed, map_arrow, numbered, ready
 
 DICTIONARY_MAGIC = 0x184D2A5D
 #: An empty skippable frame, which parts the frames in a file.
@@ -68,6 +68,11 @@ def roles(pages: DataFrame, *, least_bytes: int = 0) -> DataFrame:
     )
 
 
+def _key(digest: Column) -> Column:
+    """Names a row by its id, URL and payload."""
+    return F.md5(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.coalesce(F.concat(F.lit("="), "url"), F.lit("null")), digest))
+
+
 def record_id(page_id: int | None, url: str | None, copy: int) -> str:
     return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(repr((page_id, url, copy)).encode()).digest())}>"
 
@@ -133,19 +138,15 @@ def write_archives(pages: DataFrame, path: str, *, page_id: str = "page_id", url
     records = checkpointed(roles(rows, least_bytes=least_bytes))
     total = records.agg(F.coalesce(F.sum(F.when(F.col("record_type") == "response", F.col("bytes")).otherwise(0) + 600), F.lit(0)).alias("b")).first()["b"]
     files = max(1, math.ceil(total / archive_bytes))
-    revisits = records.where("record_type = 'revisit'").withColumn("body", F.lit(None).cast("binary"))
-    wanted = records.where("record_type = 'response'")
-    key = [F.coalesce(F.col(c), F.lit(v)) for c, v in (("page_id", -1), ("url", ""))]
-    # Repeated rows meet in one group before the join, so a payload is attached once.
-    bodies = rows.groupBy("page_id", "url", "body").agg(F.sha1("body").alias("digest")).withColumn("a", key[0]).withColumn("b", key[1])
-    bodies = bodies.select("a", "b", "digest", F.col("page_id").isNull().alias("x"), F.col("url").isNull().alias("y"), "body")
-    wanted = wanted.withColumn("a", key[0]).withColumn("b", key[1]).withColumn("x", F.col("page_id").isNull()).withColumn("y", F.col("url").isNull())
-    on = ["a", "b", "x", "y", "digest"]
-    first = wanted.where("copy = 1").join(bodies, on).drop("a", "b", "x", "y")
-    more = wanted.where("copy > 1").join(bodies, on).drop("a", "b", "x", "y")
-    stored = first if least_bytes <= 0 else first.unionByName(more)
-    order = F.xxhash64("page_id", "url", "copy")
-    dealt = stored.unionByName(revisits).withColumn("place", order).repartition(files, "place").sortWithinPartitions("place")
+    records = records.withColumn("key", _key(F.col("digest"))).repartition(files, "key")
+    bodies = rows.withColumn("key", _key(F.sha1("body"))).select("key", "body")
+    if not records.where("copy > 1").isEmpty():
+        # Repeated rows meet in one group, so that a payload is attached once.
+        bodies = bodies.distinct()
+    body = F.when(F.col("record_type") == "response", F.col("body")).alias("body")
+    names = ["page_id", "url", "digest", "bytes", "copy", "record_type", "refers_to", "refers_url"]
+    # The partitions of the join are the archives; it sorts them by the digest, so their first records are a random sample.
+    dealt = records.join(bodies.repartition(files, "key").hint("merge"), "key").select(*names, body)
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records_of() -> Iterator[bytes]:
@@ -164,7 +165,7 @@ def write_archives(pages: DataFrame, path: str, *, page_id: str = "page_id", url
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["value"])
 
-    out = dealt.mapInArrow(frames, "value binary").select(F.col("value").cast("string").alias("value"))
+    out = map_arrow(dealt, frames, "value binary").select(F.col("value").cast("string").alias("value"))
     out.write.mode("overwrite").option("lineSep", SEPARATOR.decode("latin-1")).text(path)
     _rename(spark, path)
 
@@ -241,7 +242,7 @@ def read_archives(spark: SparkSession, path: str, *, payloads: bool = False) ->
                 if rows:
                     yield flush(rows)
 
-    return files.mapInArrow(parse, schema)
+    return map_arrow(files, parse, schema)
 
 
 def archive_folder(spark: SparkSession, name: str) -> str:
