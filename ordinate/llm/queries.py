@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, html, mixing, pii, sharding, toxicity, warc
+from . import ann, decontamination, html, jaccard, mixing, pii, sharding, toxicity, warc
 from .common import table
 
 
@@ -53,6 +53,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -116,6 +120,23 @@ FROM d LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)
 """,
 }
 
+SQL["op10_jaccard"] = r"""
+WITH RECURSIVE d0 AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+d AS (SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM d0),
+sets AS (SELECT hash(list_sort(s)) AS c, any_value(s) AS s, len(any_value(s)) AS n FROM d WHERE len(s) > 0 GROUP BY hash(list_sort(s))),
+tok AS (SELECT c, n, unnest(s) AS t FROM sets),
+inter AS (SELECT a.c AS a, b.c AS b, a.n AS na, b.n AS nb, count(*) AS k FROM tok a JOIN tok b ON a.t = b.t AND a.c < b.c
+    AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n) GROUP BY ALL),
+e AS (SELECT a, b FROM inter WHERE 100 * k >= 75 * (na + nb - k)),
+e2 AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT a AS v, a AS r FROM e2 UNION SELECT e2.b, reach.r FROM reach JOIN e2 ON reach.v = e2.a),
+m AS (SELECT hash(list_sort(s)) AS c, min(doc_id) AS least FROM d WHERE len(s) > 0 GROUP BY 1),
+comp AS (SELECT reach.v AS c, min(m.least) AS id FROM reach JOIN m ON m.c = reach.r GROUP BY 1)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, CASE WHEN len(s) = 0 THEN doc_id ELSE coalesce(comp.id, m.least) END AS component_id
+FROM d LEFT JOIN m ON len(s) > 0 AND m.c = hash(list_sort(s)) LEFT JOIN comp ON comp.c = m.c
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
