@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, html, jaccard, mixing, pii, sharding, toxicity, warc
+from . import ann, decontamination, html, jaccard, mixing, pii, sharding, substring, toxicity, warc
 from .common import table
 
 
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.dedup_substrings(table(spark, sf_dir, "documents"), k=13, keep_text=False)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("bigint").alias("size"))
     return sharding.shard(docs, "doc_id", F.col("size")).drop("size")
@@ -64,6 +69,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 
 SQL = {
+    "op1_substring": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+wins AS (SELECT rid, doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+copied AS (SELECT rid, i FROM (SELECT rid, doc_id, i, min(doc_id) OVER (PARTITION BY s) AS least FROM wins)
+    WHERE least < doc_id OR doc_id IS NULL AND least IS NOT NULL),
+gone AS (SELECT rid, list(DISTINCT p) AS p FROM (SELECT rid, unnest(range(i, i + 13)) AS p FROM copied) GROUP BY rid),
+kept AS (SELECT d.rid, doc_id, len(w) AS n_words, coalesce(len(p), 0) AS n_removed,
+    CASE WHEN p IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(p, i)) END AS k FROM d LEFT JOIN gone USING (rid))
+SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256 FROM kept
+""",
     "op2_sharding": """
 WITH RECURSIVE d AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS size,
     row_number() OVER (PARTITION BY doc_id, strlen(text)) AS copy FROM documents),
