@@ -140,6 +140,13 @@ def _scan(held: list, window: int, text: str, k: int, *, last: bool):
     return make
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of docs, with their columns alone, that are not contaminated."""
+    hidden = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{options.get('text', 'text')}`").alias("_text"))
+    found = find_hits(hidden, benchmark, **options | {"text": "_text"})
+    return found.where(~F.col("contaminated")).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+
+
 def covered(spans: list[int]) -> int:
     """How many positions the [start, end) pairs cover together."""
     total, reach = 0, -1

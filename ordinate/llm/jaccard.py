@@ -352,7 +352,7 @@ class Join:
         return map_arrow(both, run, "a bigint, b bigint")
 
     def run(self) -> DataFrame:
-        """doc_id, mark, n_shingles, class, component_id, n_links (of the class, to other classes that were compared and not yet connected)."""
+        """doc_id, mark, n_shingles, class, root (names the component), component_id, n_links (of the class, among the links that were found)."""
         members = checkpointed(self.members())
         postings = checkpointed(self.postings(*self.filters()))
         pairs = checkpointed(self.pairs(postings))
@@ -390,9 +390,9 @@ class Join:
         rooted = classes.join(labels.select(F.col("v").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
         names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
         degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
-        named = rooted.join(names, "root").join(degree, "class", "left").select("class", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-        alone = members.where("class is null").select("doc_id", "mark", F.col("n").alias("n_shingles"), "class", F.col("doc_id").alias("component_id"), F.lit(0).cast("bigint").alias("n_links"))
-        linked = members.where("class is not null").join(named, "class").select("doc_id", "mark", F.col("n").alias("n_shingles"), "class", "component_id", "n_links")
+        named = rooted.join(names, "root").join(degree, "class", "left").select("class", "root", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        alone = members.where("class is null").select("doc_id", "mark", F.col("n").alias("n_shingles"), "class", F.lit(None).cast("bigint").alias("root"), F.col("doc_id").alias("component_id"), F.lit(0).cast("bigint").alias("n_links"))
+        linked = members.where("class is not null").join(named, "class").select("doc_id", "mark", F.col("n").alias("n_shingles"), "class", "root", "component_id", "n_links")
         return linked.unionByName(alone)
 
 
@@ -424,6 +424,28 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """One row for each row of docs: doc_id, mark (MD5 of the text), n_shingles, class, component_id, n_links."""
+    """One row for each row of docs: doc_id, mark (MD5 of the text), n_shingles, class, root, component_id, n_links."""
     return Join(docs, **options).run()
 
+
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of docs, with their columns alone, that stay: of each component the row with the smallest id (then the smallest MD5), and every text without shingles."""
+    found = checkpointed(near_duplicates(docs, doc_id=doc_id, text=text, **options))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark"))
+    linked = found.where("class is not null")
+    kept = linked.groupBy("root").agg(first.alias("s")).select("s.doc_id", "s.mark")
+    bare = found.where("class is null").select("doc_id", "mark").distinct()
+    kept = checkpointed(kept.unionByName(bare))
+    hidden = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), _row_key(F.col(f"`{doc_id}`"), F.md5(f"`{text}`")).alias("_key"))
+    chosen = hidden.join(kept.select(_row_key(F.col("doc_id"), F.col("mark")).alias("_key")), "_key", "left_semi")
+    # A row that is repeated has the same key; only one of them stays.
+    repeated = linked.groupBy("doc_id", "mark").count().where("count > 1").select(_row_key(F.col("doc_id"), F.col("mark")).alias("_key"))
+    repeated = checkpointed(repeated)
+    if not repeated.isEmpty():
+        several = chosen.join(repeated, "_key", "left_semi").groupBy("_key").agg(F.first("_row").alias("_row")).select("_row", "_key")
+        chosen = chosen.join(repeated, "_key", "left_anti").unionByName(several)
+    return chosen.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+
+
+def _row_key(doc_id, mark):
+    return F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("null")), F.coalesce(mark, F.lit("null")))
