@@ -8,12 +8,12 @@ the evidence of a segment of score S is S - ln(K n), with K estimated from
 documents that are not toxic; the evidence of a document's significant segments
 is summed, and a logistic curve turns it into a score from 0 to 1.
 
-Three passes: labelled documents of the learning folds give the candidate
-tokens; all documents give the corpus frequencies that shape the prior; all
-documents are scanned.  The model is small by its parameter ``max_tokens`` (the
+The labelled documents of the learning folds (one of each distinct text) give
+the candidate tokens; all documents give the corpus frequencies that shape the
+prior; then all documents are scanned.  Only the first of these moves texts.  The model is small by its parameter ``max_tokens`` (the
 tokens with the surest positive scores; any other token has the one background
 score) and is sent to the executors whole.  The logistic curve has two
-coefficients and is fitted to at most ``max_fit`` labelled documents, chosen by
+coefficients and is fitted to about ``max_fit`` labelled documents at most, chosen by
 a hash of their ids.
 
 Edge cases: null and empty texts have no evidence and get the curve's value at
@@ -90,13 +90,15 @@ def passages(text: str | None, model: Model, *, least: float = 0.0) -> tuple[int
     return len(tokens), sum(x[2] for x in found), found
 
 
-def labelled(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, label: str, learn: Column | None) -> DataFrame:
-    """Distinct (text, toxic) of the documents that have a label and belong to the learning folds."""
-    marks = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.when(F.avg(F.col(label).cast("double")) >= 0.5, 1).otherwise(0).alias("toxic"))
+def learners(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, label: str, learn: Column | None) -> tuple[DataFrame, DataFrame]:
+    """The rows (id, body) that may be learnt from, and (id, toxic) of those to learn from: one id for each distinct text and label."""
+    toxic = F.when(F.avg(F.col(label).cast("double")) >= 0.5, 1).otherwise(0).alias("toxic")
+    marks = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(toxic)
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("body"))
     if learn is not None:
         rows, marks = rows.where(learn), marks.where(learn)
-    return rows.join(marks, "id").groupBy("body", "toxic").agg(F.count(F.lit(1)).alias("n")).select("body", "toxic")
+    named = rows.select("id", F.md5("body").alias("mark")).join(marks.hint("merge"), "id")
+    return rows, checkpointed(named.groupBy("mark", "toxic").agg(F.min("id").alias("id")).select("id", "toxic").distinct())
 
 
 def _counted(df: DataFrame, known: frozenset[bytes] | None) -> DataFrame:
@@ -132,8 +134,9 @@ def log_odds(toxic, plain, n_toxic, n_plain, prior, size):
 
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", learn: Column | None = None, max_tokens: int = 20_000, least_docs: int = 3, strength: float = 20.0, least_g: float = 12.0, max_fit: int = 50_000) -> Model:
     """learn: which ids may be learnt from, an expression over ``id``."""
-    train = checkpointed(labelled(docs, labels, doc_id=doc_id, text=text, label=label, learn=learn))
-    counts = checkpointed(_counted(train, None))
+    rows, marks = learners(docs, labels, doc_id=doc_id, text=text, label=label, learn=learn)
+    # Always a merge join: the marks grow with the input, and so the plan should stay the same.
+    counts = checkpointed(_counted(rows.join(marks.hint("merge"), "id").select("body", "toxic"), None))
     whole = counts.where("token = X''").first()
     n_toxic, n_plain = (whole["toxic"], whole["plain"]) if whole else (0, 0)
     if not n_toxic or not n_plain:
@@ -160,30 +163,35 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     # What all other tokens share: their log-odds as one class, per token of a toxic document.
     share_toxic = min(0.5, float(toxic[sure].sum()) / n_toxic / 20)
     model = Model(weights, background=min(-0.05, math.log1p(-share_toxic)))
-    return calibrate(model, train, max_fit)
+    return calibrate(model, rows, marks, max_fit)
 
 
-def calibrate(model: Model, train: DataFrame, max_fit: int) -> Model:
+def calibrate(model: Model, rows: DataFrame, marks: DataFrame, max_fit: int) -> Model:
     """K from the documents that are not toxic (method of moments), then the logistic curve."""
 
-    def best(batch: pa.RecordBatch) -> list[pa.Array]:
-        size, top = [], []
-        for body in batch.column("body").to_pylist():
-            tokens = tokens_of(body)
-            hits = [(i, w) for i, w in enumerate(map(model.weights.get, tokens)) if w is not None]
-            size.append(len(tokens))
-            top.append(max((s[2] for s in segments(hits, len(tokens), model.background)), default=0.0))
-        return [pa.array(size, pa.int64()), pa.array(top, pa.float64())]
-
-    tops = arrow_columns(train, [("size", "bigint"), ("top", "double")], lambda: best)
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, found = [], []
+            for body in batch.column("body").to_pylist():
+                tokens = tokens_of(body)
+                hits = [(i, w) for i, w in enumerate(map(model.weights.get, tokens)) if w is not None]
+                size.append(len(tokens))
+                found.append([x[2] for x in segments(hits, len(tokens), model.background)])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(size, pa.int64()), pa.array(found, pa.list_(pa.float64()))], names=["id", "size", "found"])
+
+    kind = dict(rows.dtypes)["id"]
+    seen = map_arrow(rows, scan, f"id {kind}, size bigint, found array<double>")
+    seen = checkpointed(seen.join(marks.hint("merge"), "id"))
     # The mean of an extreme-value law with scale 1 lies Euler's constant above its mode.
-    mean = tops.where("toxic = 0 and size > 0").agg(F.avg(F.col("top") - F.log("size"))).first()[0]
-    model.log_k = float(mean if mean is not None else 0.0) - 0.5772156649
-    model.log_k = max(model.log_k, -4.0)
-    sample = train.orderBy(F.xxhash64("body")).limit(max_fit)
-    seen = arrow_columns(sample, [("evidence", "double")], lambda: lambda batch: [pa.array([passages(b, model)[1] for b in batch.column("body").to_pylist()], pa.float64())])
-    rows = seen.select("toxic", "evidence").toPandas()
-    model.slope, model.intercept = logistic(squash(rows["evidence"].to_numpy(float)), rows["toxic"].to_numpy(float))
+    top = F.coalesce(F.array_max("found"), F.lit(0.0))
+    mean = seen.where("toxic = 0 and size > 0").agg(F.avg(top - F.log("size"))).first()[0]
+    model.log_k = max(-4.0, float(mean if mean is not None else 0.0) - 0.5772156649)
+    total = seen.count()
+    cut = min(1 << 20, (max_fit << 20) // max(1, total))
+    excess = F.transform("found", lambda x: F.greatest(x - F.log(F.greatest("size", F.lit(1))) - F.lit(model.log_k), F.lit(0.0)))
+    evidence = F.aggregate(excess, F.lit(0.0), lambda a, x: a + x)
+    fitted = seen.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < cut).select("toxic", evidence.alias("evidence")).toPandas()
+    model.slope, model.intercept = logistic(squash(fitted["evidence"].to_numpy(float)), fitted["toxic"].to_numpy(float))
     return model
 
 
@@ -206,6 +214,12 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50
     return max(0.0, a), b
 
 
+def probability(model: Model, evidence: np.ndarray) -> np.ndarray:
+    if model.intercept == -math.inf:
+        return np.zeros(len(evidence))
+    return 1 / (1 + np.exp(-np.clip(model.slope * squash(evidence) + model.intercept, -30, 30)))
+
+
 RESULT = [("n_tokens", "bigint"), ("evidence", "double"), ("passages", "array<struct<start:int,end:int,evidence:double>>"), ("score", "double"), ("predicted", "int")]
 
 
@@ -215,7 +229,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", threshold: float
     def work(batch: pa.RecordBatch) -> list[pa.Array]:
         rows = [passages(t, model) for t in batch.column(text).to_pylist()]
         evidence = np.array([r[1] for r in rows], float)
-        value = np.zeros(len(rows)) if model.intercept == -math.inf else 1 / (1 + np.exp(-np.clip(model.slope * squash(evidence) + model.intercept, -30, 30)))
+        value = probability(model, evidence)
         spans = [[{"start": s, "end": e, "evidence": v} for s, e, v in r[2]] for r in rows]
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("evidence", pa.float64())]))
         return [pa.array([r[0] for r in rows], pa.int64()), pa.array(evidence), pa.array(spans, kind), pa.array(value), pa.array((value >= threshold).astype(np.int32))]
@@ -223,6 +237,17 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", threshold: float
     return arrow_columns(docs, RESULT, lambda: work)
 
 
+def keep_clean(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of docs, with their columns alone, whose score stays below the threshold."""
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            evidence = np.array([passages(t, model)[1] for t in batch.column(text).to_pylist()], float)
+            yield batch.filter(pa.array(probability(model, evidence) < threshold))
+
+    return map_arrow(docs, clean, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """The fold that is never learnt from."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1
