@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
+from ..plans.checkpoints import checkpointed
 
 PUT, DELETE = 0, 1
 
@@ -73,12 +74,14 @@ def ranked(df: DataFrame, name: str = "rank", reverse: bool = False, parts: int
     """df with the place of each row in key order, from 1.
 
     Range partitions are sorted each by itself; only their sizes meet, so no
-    task sees all rows.
+    task sees all rows.  The sorted rows are written to the checkpoint folder,
+    as the bounds of the partitions are drawn anew whenever they are planned.
     """
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = F.col("k").desc() if reverse else F.col("k").asc()
     place = F.monotonically_increasing_id()
     laid = df.repartitionByRange(parts, by).sortWithinPartitions(by).withColumn("_p", F.shiftright(place, 33)).withColumn("_at", place.bitwiseAND(F.lit((1 << 33) - 1)))
+    laid = checkpointed(laid)
     sizes = laid.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     # One row for each partition: a bound set by the number of partitions.
