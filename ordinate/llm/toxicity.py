@@ -26,12 +26,14 @@ through, those named like an output column are replaced.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,29 +103,43 @@ def learners(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, labe
     return rows, checkpointed(named.groupBy("mark", "toxic").agg(F.min("id").alias("id")).select("id", "toxic").distinct())
 
 
-def _counted(df: DataFrame, known: frozenset[bytes] | None) -> DataFrame:
-    """(token, toxic, plain): in how many rows of (body, toxic) a token stands; the empty token counts all rows."""
+def _counted(df: DataFrame, known: frozenset[bytes] | None, *, least: int = 0, buckets: int = 1, flush_at: int = 150_000) -> DataFrame:
+    """(token, toxic, plain): in how many rows of (body, toxic) a token stands, if it stands in ``least`` toxic ones; the empty token counts all rows.
+
+    Tokens travel by the bucket of a checksum, many to a row, and are summed
+    bucket by bucket.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (Counter(), Counter())
 
         def flush() -> pa.RecordBatch:
-            names = list(held[0].keys() | held[1].keys())
-            out = pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), *[pa.array([c[t] for t in names], pa.int64()) for c in (held[1], held[0])]], names=["token", "toxic", "plain"])
+            names = sorted(held[0].keys() | held[1].keys(), key=lambda t: (zlib.crc32(t) % buckets, t))
+            where = [zlib.crc32(t) % buckets for t in names]
+            cuts = np.searchsorted(where, np.arange(buckets + 1)).astype(np.int32)
+            full = np.flatnonzero(np.diff(cuts))
+            ends = pa.array(np.concatenate([cuts[full], cuts[-1:]]), pa.int32())
+            columns = [pa.array(names, pa.binary()), *[pa.array([c[t] for t in names], pa.int64()) for c in (held[1], held[0])]]
             for c in held:
                 c.clear()
-            return out
+            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *[pa.ListArray.from_arrays(ends, c) for c in columns]], names=["bucket", "token", "toxic", "plain"])
 
         for batch in batches:
             for body, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen = set(tokens_of(body))
                 held[toxic].update(seen if known is None else seen & known)
                 held[toxic][b""] += 1
-            if len(held[0]) + len(held[1]) > 400_000:
-                yield flush()
+                if len(held[0]) + len(held[1]) > flush_at:
+                    yield flush()
         yield flush()
 
-    return map_arrow(df, count, "token binary, toxic bigint, plain bigint").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
+    def total(group: pa.Table) -> pa.Table:
+        flat = pa.table({n: group.column(n).combine_chunks().flatten() for n in ("token", "toxic", "plain")})
+        summed = flat.group_by("token").aggregate([("toxic", "sum"), ("plain", "sum")]).rename_columns(["token", "toxic", "plain"])
+        return summed.filter(pc.or_(pc.greater_equal(summed["toxic"], least), pc.equal(summed["token"], b"")))
+
+    packed = map_arrow(df, count, "bucket int, token array<binary>, toxic array<bigint>, plain array<bigint>")
+    return packed.groupBy("bucket").applyInArrow(total, "token binary, toxic bigint, plain bigint")
 
 
 def log_odds(toxic, plain, n_toxic, n_plain, prior, size):
@@ -136,7 +152,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     """learn: which ids may be learnt from, an expression over ``id``."""
     rows, marks = learners(docs, labels, doc_id=doc_id, text=text, label=label, learn=learn)
     # Always a merge join: the marks grow with the input, and so the plan should stay the same.
-    counts = checkpointed(_counted(rows.join(marks.hint("merge"), "id").select("body", "toxic"), None))
+    learnt = rows.join(marks.hint("merge"), "id").select("body", "toxic")
+    buckets = max(16, marks.count() // 1000)
+    counts = checkpointed(_counted(learnt, None, least=least_docs, buckets=buckets))
     whole = counts.where("token = X''").first()
     n_toxic, n_plain = (whole["toxic"], whole["plain"]) if whole else (0, 0)
     if not n_toxic or not n_plain:
