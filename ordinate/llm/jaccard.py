@@ -14,9 +14,11 @@ to what candidates cost:
 * A document with too few rare shingles (most members of a large group of near
   copies) keeps hot ones in its prefix.  Their postings are never paired off.
   Each posting list gets a hub, every member is compared with its hub, and what
-  is not yet connected meets further hubs; only members that are still in
-  different components after ``hub_rounds`` are paired with each other.  So each
-  pair with a shared prefix shingle is either verified or already connected.
+  is not yet connected meets further hubs while that connects many, for
+  ``hub_rounds`` at most; then only members that are still in different
+  components are paired, and only if their hot shingles suffice for a link (the
+  rare ones they share have been met already).  So each pair with a shared
+  prefix shingle is either verified, or already connected, or known not to link.
 
 Verification intersects the whole sets.  Components come from alternating large
 and small stars over the links.
@@ -25,8 +27,9 @@ Scale: counts and postings travel packed, sorted and delta-coded, a few bytes a
 shingle, in buckets whose number follows the input.  No posting list is longer
 than ``small`` inside a bucket; hot ones are plain rows that Spark can split.
 The set of hot shingles is a bit field of at most ``hot_bits`` bits; should they
-be too many for it, the bound for hot rises until they fit (a wrong bit only
-makes a shingle hot everywhere alike).  Nothing else reaches the driver.
+be too many for it, the bound for hot rises until they fit (a wrong bit only makes a
+shingle hot everywhere alike).  A second bit field of that size names the rows
+whose sets are to be verified.  Nothing else reaches the driver.
 
 Edge cases: null, empty and blank texts have no shingles, no links, and are
 their own component; shorter texts than a shingle have one, the whole text;
@@ -42,7 +45,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import binary_list, checkpointed, map_arrow
@@ -85,33 +88,64 @@ def short(tokens: np.ndarray, buckets: int) -> np.ndarray:
     return ((tokens >> U64(32)) % U64(buckets) << U64(32)) | (tokens & _LOW)
 
 
+def stretches(starts: np.ndarray, end: int) -> list[slice]:
+    """From each start to the next one, the last to the end."""
+    edges = [*starts.tolist(), end] if len(starts) else []
+    return [slice(lo, hi) for lo, hi in zip(edges, edges[1:], strict=False)]
+
+
 def by_bucket(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
     """The stretches of sorted short keys that share a bucket."""
     top = (keys >> U64(32)).astype(np.int64)
-    cuts = np.flatnonzero(np.diff(top, prepend=-1))
-    for lo, hi in zip(cuts, [*cuts[1:], len(top)], strict=True):
-        yield int(top[lo]), slice(lo, hi)
+    for s in stretches(np.flatnonzero(np.diff(top, prepend=-1)), len(top)):
+        yield int(top[s.start]), s
 
 
 class Bits:
-    """A set of keys as one bit each, with false members but none missing."""
+    """A set of 64-bit keys in two bits each, with false members but none missing."""
 
-    def __init__(self, size: int, keys: np.ndarray | None = None):
+    def __init__(self, size: int):
         self.size = size
         self.bits = np.zeros(size // 8, np.uint8)
-        if keys is not None and len(keys):
-            at = self._at(keys)
-            np.bitwise_or.at(self.bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
 
-    def _at(self, keys: np.ndarray) -> np.ndarray:
-        return (mix(keys) % U64(self.size)).astype(np.int64)
-
-    def __contains__(self, key) -> bool:
-        return bool(self.holds(np.array([key], U64))[0])
+    @staticmethod
+    def places(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        h = mix(keys)
+        return (h % U64(size)).astype(np.int64), (mix(h) % U64(size)).astype(np.int64)
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
-        at = self._at(keys)
-        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        one, two = self.places(keys, self.size)
+        bit = lambda at: self.bits[at >> 3] >> (at & 7).astype(np.uint8)
+        return bit(one) & bit(two) & 1 == 1
+
+
+def bits_of(rows: DataFrame, keys, size: int, segment: int = 1 << 16) -> Bits:
+    """The keys that ``keys`` takes from each batch of rows as a bit set, put together from segments that are built apart."""
+
+    def places(batches):
+        for batch in batches:
+            at = np.unique(np.concatenate(Bits.places(keys(batch), size)))
+            number, cuts = np.unique(at // segment, return_index=True)
+            parts = [at[s].astype("<u4").tobytes() for s in stretches(cuts, len(at))]
+            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(parts, pa.binary())], names=["number", "places"])
+
+    def joined(group: pa.Table) -> pa.Table:
+        number = group.column("number")[0].as_py()
+        bits = np.zeros(segment, np.uint8)
+        for x in group.column("places"):
+            bits[np.frombuffer(x.as_buffer(), "<u4") - number * segment] = 1
+        return pa.table({"number": pa.array([number], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    out = Bits(size)
+    for r in map_arrow(rows, places, "number bigint, places binary").groupBy("number").applyInArrow(joined, "number bigint, bits binary").collect():
+        at = r["number"] * segment // 8
+        out.bits[at : at + segment // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _room(n: int, bits: int, most: int) -> int:
+    """A size for a bit set of n keys, a power of two from 2 ** 16 to most."""
+    return min(most, 1 << max(16, (bits * max(1, n) - 1).bit_length()))
 
 
 class Join:
@@ -135,27 +169,10 @@ class Join:
 
         return map_arrow(df, run, schema)
 
-    def members(self) -> DataFrame:
-        """doc_id, mark (names the text), n, class (null without shingles)."""
-        df = self.docs.select("doc_id", F.md5("text").alias("mark"), F.coalesce("text", F.lit("")).alias("text"))
-
-        def make():
-            def work(batch, sets):
-                n, c = [], []
-                for s in sets:
-                    n.append(len(s))
-                    c.append(class_of(s) if len(s) else None)
-                return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(n, pa.int64()), pa.array(c, pa.int64())], names=["doc_id", "mark", "n", "class"])
-
-            return work
-
-        kind = dict(self.docs.dtypes)["doc_id"]
-        return self._map(df, make, f"doc_id {kind}, mark string, n bigint, class bigint")
-
     # Which shingles are hot
 
     def counts(self) -> DataFrame:
-        """bucket, low (packed), df (16 bits each): the shingles in more than four classes, with their class frequencies (65535: at least)."""
+        """bucket, low (packed), df (16 bits each): the shingles in more than one class, with their class frequencies (65535: at least)."""
         buckets = self.buckets
 
         def make():
@@ -183,7 +200,7 @@ class Join:
             low = both >> U64(16)
             first = np.flatnonzero(np.diff(low, prepend=~low[:1]))
             df = np.add.reduceat(both & U64(0xFFFF), first)
-            keep = df > U64(4)
+            keep = df > U64(1)
             low, df = low[first][keep], np.minimum(df[keep], U64(65535))
             return pa.table({"bucket": pa.array([bucket], pa.int32()), "low": pa.array([pack(low)], pa.binary()), "df": pa.array([df.astype("<u2").tobytes()], pa.binary())})
 
@@ -191,9 +208,9 @@ class Join:
         return packed.groupBy("bucket").applyInArrow(total, "bucket int, low binary, df binary")
 
     def filters(self) -> tuple[Bits, Bits]:
-        """Hot shingles, and those that are in more than four classes but not hot."""
+        """Hot shingles, and those that are in several classes but not hot."""
         counts = checkpointed(self.counts())
-        bounds = sorted({4, self.small, *(2**i for i in range(5, 17) if 2**i > self.small)})
+        bounds = sorted({1, 2, 3, 4, 6, 8, self.small, *(2**i for i in range(4, 17) if 2**i > self.small)})
 
         def over(batches):
             for batch in batches:
@@ -201,92 +218,137 @@ class Join:
                 yield pa.RecordBatch.from_arrays([pa.array(bounds, pa.int64()), pa.array([int(sum((d > b).sum() for d in df)) for b in bounds], pa.int64())], names=["bound", "n"])
 
         held = {r["bound"]: r["n"] for r in map_arrow(counts, over, "bound bigint, n bigint").groupBy("bound").agg(F.sum("n").alias("n")).collect()}
-        most = self.hot_bits // 32
+        most = self.hot_bits // 16
         fits = lambda least: next((b for b in bounds if b >= least and held.get(b, 0) <= most), bounds[-1])
-        self.hot_bound = fits(self.small)
-        hot = self._keys(counts, self.hot_bound, None)
-        warm = self._keys(counts, 4, self.hot_bound) if held.get(4, 0) - held.get(self.hot_bound, 0) <= most else np.empty(0, U64)
-        size = lambda n: min(self.hot_bits, 1 << max(16, (32 * max(1, n)).bit_length()))
-        return Bits(size(len(hot)), hot), Bits(size(len(warm)), warm)
+        self.hot_bound, warm_bound = fits(self.small), fits(1)
 
-    def _keys(self, counts: DataFrame, above: int, upto: int | None) -> np.ndarray:
-        """Short keys by class frequency; the caller has checked how many there are."""
-
-        def pick(batches):
-            for batch in batches:
-                out = []
+        def between(above: int, upto: int):
+            def keys(batch):
+                out = [np.empty(0, U64)]
                 for b, low, df in zip(batch.column("bucket").to_pylist(), batch.column("low"), batch.column("df"), strict=True):
                     df = np.frombuffer(df.as_buffer(), "<u2")
-                    keep = (df > above) & (df <= (upto if upto is not None else 65535))
-                    out.append((unpack(low.as_buffer())[keep].astype(U64) | U64(b << 32)).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["keys"])
+                    out.append(unpack(low.as_buffer())[(df > above) & (df <= upto)].astype(U64) | U64(b << 32))
+                return np.concatenate(out)
 
-        rows = map_arrow(counts, pick, "keys binary").collect()
-        return np.concatenate([np.empty(0, U64), *[np.frombuffer(r["keys"], U64) for r in rows]])
+            return keys
+
+        hot = bits_of(counts, between(self.hot_bound, 65535), _room(held.get(self.hot_bound, 0), 32, self.hot_bits))
+        return hot, bits_of(counts, between(warm_bound, self.hot_bound), _room(held.get(warm_bound, 0), 16, self.hot_bits))
 
     # Candidates
 
-    def postings(self, hot: Bits, warm: Bits) -> DataFrame:
-        """Packed postings of rare shingles by bucket (low, class, need), and hot ones as rows (key, class)."""
-        buckets, percent = self.buckets, self.percent
-        held = self.spark.sparkContext.broadcast((hot, warm))
+    def _prefix(self, s: np.ndarray, hot: Bits, warm: Bits) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
+        """A set's rare prefix shingles, how many of them a partner must share, the hot ones that fill the prefix up, and all hot ones."""
+        k = short(s, self.buckets)
+        is_hot = hot.holds(k)
+        rare, p, need = k[~is_hot], prefix_size(len(s), self.percent), 1
+        if len(rare) > p and warm.holds(rare[:p]).any():
+            need = min(1 + p // 2, len(rare) - p + 1, 65535)
+        return rare[: p + need - 1], need, k[is_hot][: max(0, p - len(rare))], k[is_hot]
+
+    def postings(self, held) -> DataFrame:
+        """Packed postings of rare prefix shingles: bucket, low, classes (the distinct owners), owner (their places in it), need."""
+        prefix = self._prefixer()
 
         def make():
             hot, warm = held.value
 
             def work(batch, sets):
-                seen, keys, owners, needs, hot_keys, hot_owners = set(), [], [], [], [], []
+                seen, keys, owners, needs = set(), [], [], []
                 for s in sets:
-                    n = len(s)
-                    if not n or (c := class_of(s)) in seen:
+                    if not len(s) or (c := class_of(s)) in seen:
                         continue
                     seen.add(c)
-                    k = short(s, buckets)
-                    is_hot = hot.holds(k)
-                    rare, p = k[~is_hot], prefix_size(n, percent)
-                    more = 1
-                    if len(rare) > p:
-                        costly = int(warm.holds(rare[:p]).sum())
-                        more = min(1 + (costly > 0) + (costly > 8), len(rare) - p + 1)
-                    chosen = rare[: p + more - 1]
+                    chosen, need, _, _ = prefix(s, hot, warm)
                     keys.append(chosen)
                     owners.append(np.full(len(chosen), c, np.int64))
-                    needs.append(np.full(len(chosen), more, np.uint8))
-                    if len(rare) < p:
-                        chosen = k[is_hot][: p - len(rare)]
-                        hot_keys.append(chosen)
-                        hot_owners.append(np.full(len(chosen), c, np.int64))
+                    needs.append(np.full(len(chosen), need, "<u2"))
                 if not keys:
                     return None
                 keys, owners, needs = np.concatenate(keys), np.concatenate(owners), np.concatenate(needs)
                 order = np.argsort(keys, kind="stable")
                 keys, owners, needs = keys[order], owners[order], needs[order]
-                rows = list(by_bucket(keys))
-                hot_keys, hot_owners = (np.concatenate([np.empty(0, t), *x]) for t, x in ((U64, hot_keys), (np.int64, hot_owners)))
-                none = [None] * len(hot_keys)
-                return pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([b for b, _ in rows] + none, pa.int32()),
-                        pa.array([pack((keys[s] & _LOW).astype(np.uint32)) for _, s in rows] + none, pa.binary()),
-                        pa.array([owners[s].tobytes() for _, s in rows] + none, pa.binary()),
-                        pa.array([needs[s].tobytes() for _, s in rows] + none, pa.binary()),
-                        pa.array([None] * len(rows) + hot_keys.view(np.int64).tolist(), pa.int64()),
-                        pa.array([None] * len(rows) + hot_owners.tolist(), pa.int64()),
-                    ],
-                    names=["bucket", "low", "owner", "need", "key", "class"],
-                )
+                out = {n: [] for n in ("bucket", "low", "classes", "owner", "need")}
+                for b, at in by_bucket(keys):
+                    classes, owner = np.unique(owners[at], return_inverse=True)
+                    wide = "<u2" if len(classes) <= 1 << 16 else "<u4"
+                    for n, v in zip(out, (b, pack(keys[at] & _LOW), classes.tobytes(), owner.astype(wide).tobytes(), needs[at].tobytes()), strict=True):
+                        out[n].append(v)
+                return pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if n == "bucket" else pa.binary()) for n, v in out.items()], names=list(out))
+
+            return work
+
+        return self._map(self.docs, make, "bucket int, low binary, classes binary, owner binary, need binary")
+
+    def _prefixer(self):
+        """_prefix without what must stay on the driver."""
+        bare = object.__new__(Join)
+        bare.buckets, bare.percent = self.buckets, self.percent
+        return bare._prefix
+
+    def _rows(self) -> DataFrame:
+        """The rows with mark (names the text) and row (names id and text)."""
+        return self.docs.select("doc_id", F.md5("text").alias("mark"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", F.md5("text")).alias("row"))
+
+    def members(self, held) -> DataFrame:
+        """doc_id, mark, row, n, class (null without shingles), hot (the hot shingles in its prefix, packed), n_hot (of all), sketch (how many of all fall to each of 128 hash cells; null if too many for a byte)."""
+        prefix = self._prefixer()
+
+        def make():
+            hot, warm = held.value
+
+            def work(batch, sets):
+                n, c, h, m, k = [], [], [], [], []
+                for s in sets:
+                    n.append(len(s))
+                    c.append(class_of(s) if len(s) else None)
+                    _, _, keys, all_hot = prefix(s, hot, warm) if len(s) else ((), 1, (), ())
+                    h.append(keys.tobytes() if len(keys) else None)
+                    m.append(len(all_hot))
+                    cells = np.bincount((mix(all_hot) >> U64(57)).astype(np.int64), minlength=128) if len(keys) else None
+                    k.append(cells.tolist() if cells is not None and cells.max() < 128 else None)
+                return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), batch.column("row"), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(h, pa.binary()), pa.array(m, pa.int64()), pa.array(k, pa.list_(pa.int8()))], names=["doc_id", "mark", "row", "n", "class", "hot", "n_hot", "sketch"])
 
             return work
 
-        return self._map(self.docs, make, "bucket int, low binary, owner binary, need binary, key bigint, class bigint")
+        kind = dict(self.docs.dtypes)["doc_id"]
+        return self._map(self._rows(), make, f"doc_id {kind}, mark string, row bigint, n bigint, class bigint, hot binary, n_hot bigint, sketch array<tinyint>")
+
+    @staticmethod
+    def hot_rows(members: DataFrame) -> DataFrame:
+        """key, class, n, n_hot: each class that keeps hot shingles in its prefix, with those."""
+        one = members.where("hot is not null").groupBy("class").agg(*[F.first(c).alias(c) for c in ("hot", "n", "n_hot")])
+
+        def opened(batches):
+            for batch in batches:
+                keys = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("hot")]
+                many = [len(x) for x in keys]
+                others = [pa.array(np.repeat(batch.column(c).to_numpy(), many)) for c in ("class", "n", "n_hot")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *keys])), *others], names=["key", "class", "n", "n_hot"])
+
+        return map_arrow(one, opened, "key bigint, class bigint, n bigint, n_hot bigint")
+
+    def _may_link(self, a: str, b: str) -> str:
+        """Whether the hot shingles alone can make a link of two classes.
+
+        A class that keeps hot shingles in its prefix has posted all its rare
+        ones; so two of them that share a rare one are compared for that, and
+        any other two share hot ones at most.
+        """
+        return f"{100 + self.percent} * least(n_hot{a}, n_hot{b}) >= {self.percent} * (n{a} + n{b})"
 
     def pairs(self, postings: DataFrame) -> DataFrame:
         """a < b: classes that share as many rare prefix shingles as either asks for."""
 
         def meet(group: pa.Table) -> pa.Table:
             low = np.concatenate([unpack(x.as_buffer()) for x in group.column("low")])
-            owner = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in group.column("owner")])
-            need = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in group.column("need")])
+            owner = []
+            for x, y, low_of in zip(group.column("classes"), group.column("owner"), group.column("low"), strict=True):
+                size = len(low_of.as_buffer()) // 4
+                place = np.frombuffer(y.as_buffer(), "<u2" if len(y.as_buffer()) == 2 * size else "<u4")
+                owner.append(np.frombuffer(x.as_buffer(), np.int64)[place])
+            owner = np.concatenate(owner)
+            need = np.concatenate([np.frombuffer(x.as_buffer(), "<u2") for x in group.column("need")])
             # Shingles of one owner only go first; the rest is small.
             order = np.argsort(low, kind="stable")
             low = low[order]
@@ -311,26 +373,33 @@ class Join:
             first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.empty(0, np.int64)
             return pa.table({"a": a[first], "b": b[first], "shared": np.diff(first, append=len(a)), "need": np.minimum.reduceat(k, first) if len(first) else k})
 
-        packed = postings.where("bucket is not null").select("bucket", "low", "owner", "need")
-        met = packed.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint, shared bigint, need bigint")
+        met = postings.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint, shared bigint, need bigint")
         return met.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("a", "b")
 
     # Verification
 
     def sets(self, members: DataFrame, classes: DataFrame) -> DataFrame:
-        """class, n, tokens: the whole sets of the given classes."""
-        key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
-        one = members.join(classes, "class", "left_semi").groupBy("class").agg(F.min(F.concat_ws("|", key("doc_id"), "mark")).alias("row")).select("row")
-        texts = self.docs.where("text is not null").withColumn("row", F.concat_ws("|", key("doc_id"), F.md5("text"))).join(one, "row", "left_semi").select("text")
-
-        def make():
-            def work(batch, sets):
-                kept = {class_of(s): s for s in sets}
-                return pa.RecordBatch.from_arrays([pa.array(list(kept), pa.int64()), pa.array([len(s) for s in kept.values()], pa.int64()), pa.array([s.tobytes() for s in kept.values()], pa.binary())], names=["class", "n", "tokens"])
-
-            return work
+        """class, n, tokens: the whole sets of the given classes.
+
+        One row stands for each class.  The rows wanted reach the executors as a
+        filter of bounded size, so texts stay where they are; a row that slips
+        through adds a set that nobody asks for.
+        """
+        rows = members.join(classes, "class", "left_semi").groupBy("class").agg(F.min("row").alias("row"))
+        rows = checkpointed(rows.select("row"))
+        wanted = bits_of(rows, lambda batch: batch.column("row").to_numpy().view(U64), _room(rows.count(), 32, self.hot_bits))
+        held = self.spark.sparkContext.broadcast(wanted)
+
+        def run(batches, words=self.words, seed=self.seed):
+            hasher, wanted = Hasher(seed, lower=True), held.value
+            for batch in batches:
+                batch = batch.filter(pa.array(wanted.holds(batch.column("row").to_numpy().view(U64))))
+                kept = {class_of(s): s for s in shingle_sets(binary_list(batch.column("text")), words, hasher) if len(s)}
+                yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.int64()), pa.array([len(s) for s in kept.values()], pa.int64()), pa.array([s.tobytes() for s in kept.values()], pa.binary())], names=["class", "n", "tokens"])
 
-        return self._map(texts, make, "class bigint, n bigint, tokens binary").dropDuplicates(["class"])
+        found = map_arrow(self._rows().select("text", "row"), run, "class bigint, n bigint, tokens binary")
+        repeated = members.groupBy("class", "row").count().where("count > 1").join(rows, "row", "left_semi")
+        return found if repeated.isEmpty() else found.dropDuplicates(["class"])
 
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs that link."""
@@ -349,42 +418,73 @@ class Join:
                 mask = pa.array(keep, pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
-        return map_arrow(both, run, "a bigint, b bigint")
+        # A set that came twice would tell a pair twice.
+        return map_arrow(both, run, "a bigint, b bigint").distinct()
 
     def run(self) -> DataFrame:
         """doc_id, mark, n_shingles, class, root (names the component), component_id, n_links (of the class, among the links that were found)."""
-        members = checkpointed(self.members())
-        postings = checkpointed(self.postings(*self.filters()))
-        pairs = checkpointed(self.pairs(postings))
-        hot = checkpointed(postings.where("key is not null").select("key", "class").distinct())
-        # Every class that can be compared at all.
-        hubs = hot.groupBy("key").agg(F.min("class").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
-        stars = hot.join(hubs, "key").where("class != hub").select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct()
+        held = self.spark.sparkContext.broadcast(self.filters())
+        pairs = checkpointed(self.pairs(self.postings(held)))
+        members = checkpointed(self.members(held))
+        hot = self.hot_rows(members)
+        hot = checkpointed(hot.coalesce(max(8, self.buckets)))
+        n_hot = hot.count()
+        hub = F.min(F.struct("class", "n", "n_hot"))
+        hubs = hot.groupBy("key").agg(hub.alias("h"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", F.col("h.class").alias("hub"), F.col("h.n").alias("n2"), F.col("h.n_hot").alias("n_hot2"))
+        stars = hot.join(hubs, "key").where("class != hub").where(self._may_link("", "2")).select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct()
         pairs = checkpointed(pairs.union(stars).distinct())
-        able = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+        # Every class that any round may have to verify: a link takes this share of the whole set at least.
+        later = hot.where(f"100 * n_hot >= {self.percent} * n").select("class")
+        able = pairs.select(F.explode(F.array("a", "b")).alias("class")).union(later).distinct()
         sets = checkpointed(self.sets(members, able))
-        links = checkpointed(self.verified(pairs, sets))
+        n_pairs = pairs.count()
+        links = checkpointed(_few(self.verified(pairs, sets), n_pairs))
         labels = components(links)
-        done = pairs
-        for k in range(self.hub_rounds + 1):
-            open_keys = _unsettled(hot, labels)
+        done, dense = pairs, None
+        k = 0
+        while k <= self.hub_rounds:
+            open_keys = _unsettled(hot, labels, n_hot)
             if open_keys.isEmpty():
                 break
             if k < self.hub_rounds:
-                pick = F.min(F.struct(F.xxhash64("class", F.lit(k)).alias("h"), F.col("class").alias("hub"), F.col("root").alias("hub_root")))
-                hub = open_keys.groupBy("key").agg(pick.alias("s")).select("key", "s.hub", "s.hub_root")
-                more = open_keys.join(hub, "key").where("root != hub_root").select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b"))
+                pick = F.min(F.struct(F.xxhash64("class", F.lit(k)).alias("h"), F.col("class").alias("hub"), F.col("root").alias("root2"), F.col("n").alias("n2"), F.col("n_hot").alias("n_hot2")))
+                hubs = open_keys.groupBy("key").agg(pick.alias("s")).select("key", "s.hub", "s.root2", "s.n2", "s.n_hot2")
+                more = open_keys.join(hubs, "key").where("root != root2").where(self._may_link("", "2")).select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b"))
             else:
-                other = open_keys.select("key", F.col("class").alias("other"), F.col("root").alias("other_root"))
-                more = open_keys.join(other, "key").where("class < other and root != other_root").select(F.col("class").alias("a"), F.col("other").alias("b"))
-            more = checkpointed(more.distinct().join(done, ["a", "b"], "left_anti"))
-            found = checkpointed(self.verified(more, sets))
-            done = checkpointed(done.union(more))
-            if not found.isEmpty():
-                links = checkpointed(links.union(found))
+                more = self._cross_pairs(open_keys, members)
+            more = checkpointed(_few(_few(more.distinct(), n_hot).join(done, ["a", "b"], "left_anti"), n_hot))
+            if dense is None:  # the few sets that all further rounds need
+                dense = checkpointed(sets.join(hot.select("class").distinct(), "class", "left_semi"))
+            tried = more.count()
+            found = checkpointed(_few(self.verified(more, dense), tried))
+            linked = found.count()
+            done = checkpointed(_few(done.union(more), n_pairs + n_hot))
+            if linked:
+                links = checkpointed(_few(links.union(found), n_pairs))
                 labels = components(links)
+            # Hubs are worth it while they connect many.
+            k = k + 1 if k >= self.hub_rounds or 20 * linked >= tried else self.hub_rounds
         return self._result(members, links, labels)
 
+    def _cross_pairs(self, open_keys: DataFrame, members: DataFrame, first: int = 8) -> DataFrame:
+        """a < b: the classes that share a key but no component, and that can make a link.
+
+        Most pairs share many keys. Each class carries its smallest keys along,
+        and a pair that shares one of those is told under the smallest of them
+        only.  Two classes share no more hot shingles than their sketches have in
+        common, cell by cell.
+        """
+        lowest = open_keys.select("class", "key").withColumn("r", F.row_number().over(Window.partitionBy("class").orderBy("key"))).where(F.col("r") <= first)
+        sketches = members.where("sketch is not null").groupBy("class").agg(F.first("sketch").alias("sketch"))
+        known = lowest.groupBy("class").agg(F.collect_list("key").alias("low")).join(sketches, "class", "left")
+        sides = open_keys.join(known, "class")
+        left, right = (sides.select("key", F.col("class").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("root", "low", "n", "n_hot", "sketch")]) for s in "ab")
+        fits = F.expr(f"a < b and root_a != root_b and {self._may_link('_a', '_b')}")
+        once = F.coalesce(F.array_min(F.array_intersect("low_a", "low_b")) >= left["key"], F.lit(True))
+        common = F.expr("aggregate(zip_with(sketch_a, sketch_b, (x, y) -> least(x, y)), 0L, (t, v) -> t + v)")
+        enough = F.coalesce((100 + self.percent) * common >= self.percent * (F.col("n_a") + F.col("n_b")), F.lit(True))
+        return left.join(right, (left["key"] == right["key"]) & fits & once & enough).select("a", "b")
+
     def _result(self, members: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
         classes = members.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
         rooted = classes.join(labels.select(F.col("v").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
@@ -396,31 +496,38 @@ class Join:
         return linked.unionByName(alone)
 
 
-def _unsettled(hot: DataFrame, labels: DataFrame) -> DataFrame:
-    """key, class, root: the hot postings whose members are in several components."""
+def _unsettled(hot: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
+    """The hot postings with the root of each class, of the keys whose members are in several components."""
     rooted = hot.join(labels.select(F.col("v").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    mixed_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-    return checkpointed(rooted.join(mixed_keys, "key", "left_semi").select("key", "class", "root"))
+    rooted = checkpointed(_few(rooted, rows))
+    mixed_keys = _few(rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key"), rows)
+    return checkpointed(_few(rooted.join(mixed_keys, "key", "left_semi").select("key", "class", "root", "n", "n_hot"), rows))
+
+
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """df in as many partitions as its rows deserve: a few thousand rows in hundreds of tasks cost more in files than in work."""
+    return df.coalesce(max(8, rows // 100_000))
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """v, root: the least member of each linked vertex's component, by alternating large and small stars."""
     edges = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-    before = None
+    before, n = None, edges.count()
+    few = lambda df: _few(df, n)
     for _ in range(rounds):
         # Large star: every larger neighbour moves to the least neighbour.
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        both = few(edges.union(edges.select("v", "u")))
+        least = few(both.groupBy("u").agg(F.min("v").alias("m"))).select("u", F.least("u", "m").alias("m"))
+        large = few(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v"))
         # Small star: every vertex and its smaller neighbours move to the least of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = few(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = checkpointed(small.where("u != v").distinct())
+        edges = checkpointed(few(few(small.where("u != v")).distinct()))
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if now == before:
             break
         before = now
-    return edges.select(F.col("u").alias("v"), F.col("v").alias("root")).union(edges.select("v", F.col("v").alias("root")).distinct())
+    return checkpointed(few(edges.select(F.col("u").alias("v"), F.col("v").alias("root")).union(edges.select("v", F.col("v").alias("root")).distinct())))
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
