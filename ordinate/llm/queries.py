@@ -18,7 +18,7 @@ def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("bigint").alias("size"))
-    return sharding.shard(docs, "doc_id", F.col("size")).drop("size")
+    return sharding.shard(docs, F.col("size")).drop("size")
 
 
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +82,7 @@ SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha25
     "op2_sharding": """
 WITH RECURSIVE d AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS size,
     row_number() OVER (PARTITION BY doc_id, strlen(text)) AS copy FROM documents),
-h AS (SELECT *, ('0x' || substr(md5(coalesce('=' || doc_id, 'null') || '|' || copy), 1, 15))::BIGINT AS h FROM d),
+h AS (SELECT *, ('0x' || substr(md5(coalesce('=' || doc_id, 'null') || '|=' || size || '|' || copy), 1, 15))::BIGINT AS h FROM d),
 lv AS (SELECT h.*, t.depth, CASE WHEN t.depth = 0 THEN '' ELSE substr(lpad(bin(h), 60, '0'), 1, t.depth::INT) END AS shard
     FROM h, (SELECT unnest(range(0, 61)) AS depth) t),
 s AS (SELECT *, sum(size) OVER (PARTITION BY depth, shard) AS shard_bytes, count(*) OVER (PARTITION BY depth, shard) AS shard_rows FROM lv),

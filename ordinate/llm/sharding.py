@@ -9,8 +9,9 @@ cells roll up to the sums of every prefix above them, and the directory is the
 shallowest prefixes that fit.  Cells that are still too large at that depth,
 and only those, are split again on further bits in the next round.
 
-Equal rows would share every bit, so each row's hash also covers the number of
-its copy: rows are counted by their content first, then numbered.  A shard
+The hash covers all values of a row.  Equal rows would share every bit, so it
+also covers the number of the copy: rows are counted by their content first,
+then numbered.  A shard
 exceeds the limit only if a single row does; such a shard is reported as
 ``oversize``.
 
@@ -18,7 +19,7 @@ Scale: one narrow pass over (hash, bytes), rollups of a few cells per shard,
 and one join of the rows with the cells on the hash prefix, which is even by
 construction.
 
-Edge cases: null keys hash like an empty key of their own; null or empty
+Edge cases: nulls hash like a value of their own; null or empty
 payloads count 0 bytes; an empty table gives no shard; extra columns pass
 through; input columns named like an output column are replaced.
 """
@@ -36,10 +37,10 @@ BITS = 60
 LIMIT = 64 << 20
 
 
-def row_hash(key: Column, copy: Column) -> Column:
-    """60 hash bits of a key and the number of the row among equal ones."""
-    name = F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit("null"))
-    return md5_int(F.concat_ws("|", name, copy.cast("string")), BITS // 4)
+def row_hash(columns: list[Column], copy: Column) -> Column:
+    """60 hash bits of a row's values and its number among equal rows."""
+    said = [F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null")) for c in columns]
+    return md5_int(F.concat_ws("|", *said, copy.cast("string")), BITS // 4)
 
 
 def prefix(h: Column, depth: Column | int) -> Column:
@@ -74,12 +75,12 @@ def directory(rows: DataFrame, limit: int) -> list[tuple[int, DataFrame]]:
 RESULT = ["row_bytes", "shard", "shard_depth", "shard_bytes", "shard_rows", "oversize"]
 
 
-def shard(df: DataFrame, key: str, size: Column, *, limit: int = LIMIT) -> DataFrame:
+def shard(df: DataFrame, size: Column, *, limit: int = LIMIT) -> DataFrame:
     """df with row_bytes (``size``, an expression over df), shard (its prefix bits, "" for the only one), shard_depth, shard_bytes, shard_rows and oversize."""
     df = without(df.withColumn("_bytes", F.coalesce(size, F.lit(0)).cast("bigint")), RESULT)
     names = [f"`{c}`" for c in df.columns if c != "_bytes"]
     counted = df.groupBy(*names, "_bytes").agg(F.count(F.lit(1)).alias("_n"))
-    rows = numbered(counted, "_n", "_copy").withColumn("_h", row_hash(F.col(f"`{key}`"), F.col("_copy")))
+    rows = numbered(counted, "_n", "_copy").withColumn("_h", row_hash([F.col(c) for c in names], F.col("_copy")))
     tables = directory(checkpointed(rows.select(F.col("_h").alias("h"), F.col("_bytes").alias("bytes"))), limit)
     out = None
     for depth, cells in tables:
