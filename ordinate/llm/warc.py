@@ -171,13 +171,15 @@ def write_archives(pages: DataFrame, path: str, *, page_id: str = "page_id", url
 
 
 def _rename(spark: SparkSession, path: str) -> None:
-    """Give the files the archive suffix; only names change."""
+    """Give the files the archive suffix, and drop those of tasks that had no record."""
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for status in fs.listStatus(folder):
         name = status.getPath().getName()
-        if name.startswith("part-") and name.endswith(".txt"):
+        if name.startswith("part-") and status.getLen() == 0:
+            fs.delete(status.getPath(), False)
+        elif name.startswith("part-") and name.endswith(".txt"):
             fs.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(folder, name[:-4] + ".warc.zst"))
 
 
