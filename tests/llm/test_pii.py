@@ -1,0 +1,106 @@
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from ordinate.llm import pii
+
+ENTITIES = {
+    "email": ["ann.lee@mail.example.com", "ANN.LEE@MAIL.EXAMPLE.COM", "x_1+y@b-c.org"],
+    "phone": ["+1 (017) 555-7713", "+44 20 7946 0958", "(212) 555-0199", "212-555-0199"],
+    "ip": ["97.51.17.173", "8.8.8.8", "255.0.10.1"],
+    "card": ["4111111111111111", "4111 1111 1111 1111", "9807915762804490"],
+    "ssn": ["123-45-6789"],
+    "iban": ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"],
+    "secret": ["24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "24BE64439E3E49CF46B2D7C90F3602A3D0B907FF"],
+    "person": ["Mr. John Smith", "Mrs Anna Smith", "Herr Müller", "Dr. Ada King Noel", "Господин Иванов"],
+}
+
+
+def shape(s):
+    return re.sub(r"[a-zà-ÿα-ωа-я]", "a", re.sub(r"[A-ZÀ-ÞΑ-ΩА-Я]", "A", re.sub(r"\d", "9", s)))
+
+
+def luhn(s):
+    digits = [int(c) for c in s if c.isdigit()][::-1]
+    return sum(d if i % 2 == 0 else (d * 2 - 9 if d > 4 else d * 2) for i, d in enumerate(digits)) % 10 == 0
+
+
+def run(df, **more):
+    return {r["doc_id"]: r for r in pii.with_surrogates(df, key="secret", **more).collect()}
+
+
+def test_every_kind(frame):
+    rows = [(i, f"so {e}, then {e}. End") for i, e in enumerate(e for es in ENTITIES.values() for e in es)]
+    out = run(frame(rows))
+    for i, (kind, e) in enumerate((k, e) for k, es in ENTITIES.items() for e in es):
+        text, old = out[i]["text"], rows[i][1]
+        assert e not in text and out[i]["n_entities"] == 2 and out[i]["kinds"] == {kind: 2}, (kind, e, text)
+        m = re.fullmatch(r"so (.*), then (.*)\. End", text)
+        assert m and m[1] == m[2], (old, text)
+        new = m[1]
+        if kind not in ("person", "ip"):
+            assert shape(new) == shape(e)
+        if kind == "ip":
+            assert all(0 <= int(o) <= 255 and len(o) == len(p) for o, p in zip(new.split("."), e.split("."), strict=True))
+        if kind == "card":
+            assert luhn(new) == luhn(e) or not luhn(e)
+            assert luhn(new) if luhn(e) else True
+        if kind == "email":
+            assert new.rpartition(".")[2] == e.rpartition(".")[2]
+        if kind == "person":
+            assert new.split()[0] == e.split()[0] and len(new.split()) == len(e.split())
+
+
+def test_same_entity_same_surrogate(frame):
+    out = run(frame([(1, "a@b.example.com or A@B.EXAMPLE.COM"), (2, "4111 1111 1111 1111"), (3, "4111111111111111"), (4, "Mr. John Smith met Mr. Smith"), (5, "to a@b.example.com")]))
+    low, high = out[1]["text"].split(" or ")
+    assert low.upper() == high and out[5]["text"] == f"to {low}"
+    assert out[2]["text"].replace(" ", "") == out[3]["text"]
+    words = out[4]["text"].split()
+    assert words[2] == words[5] and "Smith" not in out[4]["text"]
+
+
+def test_gender_and_script(frame):
+    out = run(frame([(1, "Mrs. Mary Stone"), (2, "Mr. Mary Stone"), (3, "Госпожа Анна Иванова"), (4, "MR. JOHN SMITH")]))
+    assert re.search(r"(a|ina|elle|ia)$", out[1]["text"].split()[1]) and re.search(r"(o|us|ert|an)$", out[2]["text"].split()[1])
+    assert re.fullmatch(r"Госпожа [а-яА-Я]+ [а-яА-Я]+", out[3]["text"])
+
+
+def test_clean_text_stays(frame):
+    clean = ["Nothing here at all.", "Version 3.0 of 2024-01-05", "10 + 20 = 30", "user@", "1.2.3", "999.1.1.1.1", "", " ", "Ms is short", "the year 1999 and 12,000 items", "x" * 60_000, "1234567890"]
+    out = run(frame(list(enumerate(clean)) + [(99, None)]))
+    assert [out[i]["text"] for i in range(len(clean))] == clean and out[99]["text"] is None
+    assert all(r["n_entities"] == 0 for r in out.values())
+
+
+def test_collisions_draw_again(frame, spark):
+    """With a tiny space of surrogates every unit still ends with one of its own, never a real value."""
+
+    def tiny(kind, norm, attempt, key):
+        return F.concat(F.lit("s"), F.pmod(F.xxhash64(norm, attempt), F.lit(40)).cast("string"))
+
+    units = spark.createDataFrame([("email", f"u{i}@x.org") for i in range(25)] + [("email", "s3")], "kind string, norm string")
+    again = pii.redrawn(units, "k", tiny)
+    state = units.join(again, ["kind", "norm"], "left").withColumn("attempt", F.coalesce("attempt", F.lit(0)))
+    drawn = [r["s"] for r in state.select(tiny(F.col("kind"), F.col("norm"), F.col("attempt"), "k").alias("s")).collect()]
+    assert len(set(drawn)) == 26 and "s3" not in drawn
+
+
+def test_units_that_draw_again_are_told_to_the_texts(frame, spark):
+    clash = lambda kind, norm, attempt, key: F.when(attempt == 0, F.lit("same")).otherwise(pii.canonical(kind, norm, attempt, key))
+    df = frame([(1, "a@x.org b@x.org"), (2, "b@x.org"), (3, "no one"), (1, "a@x.org b@x.org")])
+    plain, again = run(df), run(df, draw=clash)
+    kept = [w for w in plain[1]["text"].split() if w in again[1]["text"].split()]
+    assert len(kept) == 1 and again[2]["text"] in again[1]["text"] and again[3]["text"] == "no one"
+
+
+@pytest.mark.parametrize("rows", [[], [(None, "a@b.org"), (None, "a@b.org")]])
+def test_edges(frame, rows):
+    out = pii.with_surrogates(frame(rows), key="k").collect()
+    assert len(out) == len(rows) and len({r["text"] for r in out}) <= 1 and all("a@b.org" not in r["text"] for r in out)
+
+
+def test_native(frame):
+    plan = pii.with_surrogates(frame([(1, "a@b.org")]))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)

@@ -1,0 +1,73 @@
+"""The registered corpus queries: against SQL where there is one, else against brute force."""
+
+import math
+from collections import Counter
+from pathlib import Path
+
+import duckdb
+import numpy as np
+import pytest
+
+from ordinate.llm import queries
+
+DATA = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="needs the generated tables")
+
+
+def plain(v):
+    if isinstance(v, float):
+        return None if math.isnan(v) else float(f"{v:.9g}")
+    return v
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for p in Path(DATA).glob("*.parquet"):
+        con.sql(f"create view {p.stem} as select * from '{p}'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_sql(spark, duck, name):
+    df = queries.queries()[name](spark, DATA)
+    columns = sorted(df.columns)
+    want = duck.sql(queries.SQL[name])
+    assert sorted(want.columns) == columns
+    place = [want.columns.index(c) for c in columns]
+    got = Counter(tuple(plain(r[c]) for c in columns) for r in df.collect())
+    assert got == Counter(tuple(plain(r[i]) for i in place) for r in want.fetchall())
+
+
+def test_ann(spark, duck):
+    rows = duck.sql("select vec_id, embedding from embeddings").fetchall()
+    ids, m = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float32).astype(float)
+    got = {}
+    for r in queries.op3_ann(spark, DATA).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(got) == {i for i in ids.tolist() if i % 20 == 0}
+    for q, found in got.items():
+        s = m @ m[ids == q][0]
+        want = sorted((-s[i], ids[i]) for i in range(len(ids)) if ids[i] != q)[:20]
+        assert [(r, i) for r, i, _ in sorted(found)] == [(k + 1, i) for k, (_, i) in enumerate(want)]
+        assert np.allclose([x[2] for x in sorted(found)], [-x for x, _ in want])
+
+
+def test_html(spark, duck):
+    pages = dict(duck.sql("select page_id, html from pages").fetchall())
+    rows = queries.op8_html(spark, DATA).collect()
+    assert len(rows) == len(pages)
+    for r in rows:
+        assert r["n_chars"] == len(r["text"]) > 0 and "<" not in r["text"] and "\n\n" not in r["text"]
+
+
+def test_toxicity(spark, duck):
+    n = duck.sql("select count(*) from documents").fetchone()[0]
+    rows = queries.op7_toxicity(spark, DATA).collect()
+    assert len(rows) == n and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in rows)
+
+
+def test_pii(spark, duck):
+    old = dict(duck.sql("select doc_id, text from documents").fetchall())
+    for r in queries.op4_pii(spark, DATA).collect():
+        assert (r["text"] == old[r["doc_id"]]) == (r["n_entities"] == 0)
