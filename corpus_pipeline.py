@@ -39,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row with the shard it belongs to."""
-    return sharding.shard(docs, "doc_id", F.octet_length("text"))
+    return sharding.shard(docs, F.octet_length("text"))
 
 
 STAGES = [
