@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .common import binary_list, map_arrow
 from .hashing import U64, Hasher, hashed
-from .jaccard import by_bucket, pack, short, unpack
+from .jaccard import by_bucket, pack, short, stretches, unpack
 
 _LOW = U64(0xFFFFFFFF)
 _LAST = np.iinfo(np.int64).max
@@ -54,8 +54,12 @@ class Windows:
     """All windows of a group's documents: full names, the document and the position of each."""
 
     def __init__(self, group: pa.Table, k: int, seeds: tuple[int, ...]):
-        self.texts = binary_list(group.column("text").combine_chunks()) if group.num_rows else []
-        ids = [x if x is not None else _LAST for x in group.column("doc_id").to_pylist()]
+        texts = binary_list(group.column("text").combine_chunks()) if group.num_rows else []
+        ids = np.array([x if x is not None else _LAST for x in group.column("doc_id").to_pylist()], np.int64)
+        # Documents in the order of their ids: of equal windows the first one by number is then the first occurrence.
+        self.order = np.argsort(ids, kind="stable")
+        ids = ids[self.order]
+        self.texts = [texts[i] for i in self.order]
         tools = [Hasher(s) for s in seeds]
         names, counts = [[] for _ in tools], []
         self.n_words = np.zeros(len(ids), np.int64)
@@ -69,9 +73,18 @@ class Windows:
         self.row = np.repeat(np.arange(len(ids)), counts)
         self.first = np.concatenate([[0], np.cumsum(counts)])
         self.place = np.arange(len(self.row)) - self.first[self.row]
-        self.ids = np.array(ids, np.int64)
+        self.ids = ids
         self.doc = self.ids[self.row]
 
+    def runs(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The given windows in order of their names, where each run of equal ones starts, and the first occurrence of each run."""
+        order = at[np.argsort(self.names[0][at])]
+        one, two = self.names[0][order], self.names[1][order] & _LOW
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        starts = np.flatnonzero(fresh)
+        return order, starts, np.minimum.reduceat(order, starts) if len(starts) else order
+
 
 def _rare(windows: Windows, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct short names in order, and for each window which of them it has."""
@@ -108,18 +121,13 @@ def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
         for b, s in by_bucket(keys):
             if b in bits:
                 live[s] = np.unpackbits(np.frombuffer(bits[b].as_buffer(), np.uint8), count=s.stop - s.start).astype(bool)
-        at = np.flatnonzero(live[which])
+        _, _, at = w.runs(np.flatnonzero(live[which]))
         k1, k2 = w.names[0][at], w.names[1][at] & _LOW
-        order = np.lexsort((w.place[at], w.doc[at], k2, k1))
-        at, k1, k2 = at[order], k1[order], k2[order]
-        fresh = np.ones(len(at), bool)
-        fresh[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
-        at, k1, k2 = at[fresh], k1[fresh], k2[fresh]
         bucket = (k1 >> U64(40)) % U64(buckets)
         order = np.argsort(bucket, kind="stable")
         at, k1, k2, bucket = at[order], k1[order], k2[order], bucket[order]
         cuts = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1))
-        found = [slice(lo, hi) for lo, hi in zip(cuts, [*cuts[1:], len(at)], strict=True)]
+        found = stretches(cuts, len(at))
         doc, place = w.doc[at], w.place[at].astype("<u4")
         g = group.column("g")[0].as_py() if group.num_rows else 0
         return pa.table(
@@ -150,11 +158,8 @@ def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
         w = Windows(group, k, seeds)
         k1, k2 = w.names[0], w.names[1] & _LOW
         # First occurrence within the group, then what other groups know.
-        order = np.lexsort((w.place, w.doc, k2, k1))
-        first = np.ones(len(order), bool)
-        first[1:] = (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1])
-        starts = np.flatnonzero(first)
-        lead = order[np.repeat(starts, np.diff(starts, append=len(order)))]
+        order, starts, heads = w.runs(np.arange(len(k1)))
+        lead = np.repeat(heads, np.diff(starts, append=len(order)))
         source, place = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
         source[order], place[order] = w.doc[lead], w.place[lead]
         if replies.num_rows:
@@ -162,7 +167,6 @@ def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
             by_name = np.lexsort((r2, r1))
             r1, r2, rd, rp = r1[by_name], r2[by_name].astype(U64), rd[by_name], rp[by_name]
             # Both sides in order of their names: one merge.
-            heads = order[starts]
             lo, hi = np.searchsorted(r1, k1[heads]), np.searchsorted(r1, k1[heads], "right")
             for step in range(int((hi - lo).max(initial=0))):
                 here = np.flatnonzero(lo + step < hi)
@@ -191,7 +195,7 @@ def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
             kept.append(left if keep_text else None)
             spans.append([dict(zip(("start", "words", "source", "source_start"), x, strict=True)) for x in found])
         kind = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32()), ("source", pa.int64()), ("source_start", pa.int32())]))
-        return pa.table({"doc_id": group.column("doc_id"), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digest, pa.string()), "kept": pa.array(kept, pa.binary()).cast(pa.string()), "spans": pa.array(spans, kind)})
+        return pa.table({"doc_id": group.column("doc_id").take(pa.array(w.order)), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digest, pa.string()), "kept": pa.array(kept, pa.binary()).cast(pa.string()), "spans": pa.array(spans, kind)})
 
     map_arrow(rows.limit(0), _nothing, rows.schema)  # ships the package
     told = grouped.groupBy("g").applyInArrow(tell, "bucket int, g int, low binary")
@@ -230,7 +234,7 @@ def paths(copied: np.ndarray, source: np.ndarray, place: np.ndarray, k: int) ->
     start = np.ones(len(at), bool)
     start[1:] = (at[1:] != at[:-1] + 1) | (source[at][1:] != source[at][:-1]) | (place[at][1:] != place[at][:-1] + 1)
     heads = np.flatnonzero(start)
-    return [(int(at[a]), int(at[b - 1] - at[a] + k), int(source[at[a]]), int(place[at[a]])) for a, b in zip(heads, [*heads[1:], len(at)], strict=True)]
+    return [(int(at[s.start]), int(at[s.stop - 1] - at[s.start] + k), int(source[at[s.start]]), int(place[at[s.start]])) for s in stretches(heads, len(at))]
 
 
 def passages(result: DataFrame) -> DataFrame:
