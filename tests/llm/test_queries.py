@@ -62,7 +62,7 @@ def test_html(spark, duck):
 
 
 def test_toxicity(spark, duck):
-    n = duck.sql("select count(*) from documents").fetchone()[0]
+    n = duck.sql("select count(*) from documents").fetchall()[0][0]
     rows = queries.op7_toxicity(spark, DATA).collect()
     assert len(rows) == n and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in rows)
 
