@@ -51,6 +51,7 @@ _DROPPED = frozenset("nav aside form button select footer menu dialog head input
 #: Tags that end a block where they open and close.
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_LISTS = frozenset("ul ol dl menu dir".split())
 _CONTAINERS = frozenset("article main section div td body center".split())
 #: Opening one of these closes an open paragraph.
 _ENDS_P = _BLOCK - {"html", "body", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup", "legend", "summary"}
@@ -63,6 +64,14 @@ _JUNK = frozenset(
     "comment comments commentlist reply replies respond discussion disqus feedback share sharing social follow newsletter subscribe subscription signup login related recommended recommendations widget masthead skip hidden".split()
 )
 
+#: Beginnings and ends of longer words that mark the same.
+_JUNK_START = ("advert", "adsby", "adslot", "cookie", "breadcrumb", "sidebar", "newsletter", "sponsor", "popup", "paginat")
+_JUNK_END = ("nav", "menu", "banner", "sidebar", "footer", "comments", "cookies")
+
+
+def _is_junk(word: str) -> bool:
+    return word in _JUNK or word.startswith(_JUNK_START) or word.endswith(_JUNK_END)
+
 
 class Node:
     __slots__ = ("tag", "path", "junk", "main", "top")
@@ -150,7 +159,7 @@ def blocks_of(page: str) -> list[tuple[str, list[Node], float]]:
         raw = m[4]
         words, label, hidden = _names(raw) if len(raw) > 3 else ([], "", False)
         inside = top.main
-        junk = top.junk or hidden or tag in _DROPPED or any(w in _JUNK for w in words) or (tag == "header" or "header" in words or "banner" in words) and not inside
+        junk = top.junk or hidden or tag in _DROPPED or any(map(_is_junk, words)) or (tag == "header" or "header" in words or "banner" in words) and not inside
         main = inside or not junk and (tag in ("article", "main") or "main" in words and tag in _CONTAINERS or "articlebody" in words)
         if raw.rstrip().endswith("/") and tag not in _BLOCK:
             continue
@@ -195,7 +204,9 @@ def extract(page: str | None, winner: str | None) -> tuple[str, str | None]:
         if around[-1].junk:
             continue
         if any(node.path == path and (node.tag in _CONTAINERS or node.top) for node in around):
-            kept.append(text)
+            # Outside an article element, a list of bare links is a menu.
+            if around[-1].main or linked < 0.9 or not any(node.tag in _LISTS for node in around):
+                kept.append(text)
         elif not kept and around[-1].tag in ("h1", "h2") and linked < 0.9:
             # A heading that stands right above the container, in the element around it, is its title.
             holder = next((node.path for node in reversed(around) if node.tag in _CONTAINERS or node.top), "")
