@@ -8,6 +8,7 @@ AROUND = [
     ("<html><head><title>t</title><style>p{}</style><script>var a='<p>no</p>';</script></head><body><nav><ul><li><a href=/>home</a></ul></nav><article>", '</article><aside>side text that is long enough to matter</aside><footer>foot</footer></body></html>'),
     ('<body><div id="header" class="header">Site name</div><div class="cookie-notice">We use cookies, quite many of them</div><div class="post-content-17">', '<div class="comments"><p>A reader says a lot of things that are not the article</p></div></div><div class="sidebar">links and more links</div></body>'),
     ('<body><div class="menu"><a href=a>a</a> <a href=b>b</a></div><main><!-- <p>hidden</p> --><form><input name=q><button>Go</button></form>', '<div class="share">Share this</div><div hidden>gone</div></main><div class="ad">Buy now, buy cheap, buy again</div>'),
+    ('<body><ul><li><a href=1>home</a><li><a href=2>news</a></ul><div class="topnav">top</div><div class="adsbygoogle">ad</div><section>', "</section></body>"),
     ('<table><tr><td class="nav">left menu</td><td class="body">', "</td></tr></table>"),
     ("", ""),
 ]
