@@ -63,9 +63,9 @@ def binary_list(column: pa.Array) -> list[bytes | None]:
 _shipped: set[str] = set()
 
 
-def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """df.mapInArrow, with this package at hand on executors that don't have it installed."""
-    sc = df.sparkSession.sparkContext
+def ship(spark: SparkSession) -> None:
+    """Send this package to executors that don't have it installed, once for each application."""
+    sc = spark.sparkContext
     if sc.applicationId not in _shipped:
         _shipped.add(sc.applicationId)
         root = Path(__file__).resolve().parents[1]
@@ -75,6 +75,11 @@ def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator
             for f in sorted(root.rglob("*.py")):
                 z.write(f, f.relative_to(root.parent))
         sc.addPyFile(f"{folder}/{root.name}.zip")
+
+
+def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow, with this package at hand on the executors."""
+    ship(df.sparkSession)
     return df.mapInArrow(work, schema)
 
 

@@ -149,7 +149,7 @@ def _room(n: int, bits: int, most: int) -> int:
 
 
 class Join:
-    def __init__(self, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, small: int = 12, hub_rounds: int = 3, hot_bits: int = 1 << 27, bucket_bytes: int = 32 << 20, seed: int = 1):
+    def __init__(self, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, small: int = 12, hub_rounds: int = 3, hot_bits: int = 1 << 27, bucket_bytes: int = 16 << 20, seed: int = 1):
         self.spark = docs.sparkSession
         self.docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
         self.words, self.percent, self.small, self.hub_rounds, self.hot_bits, self.seed = words, percent, small, hub_rounds, hot_bits, seed
@@ -157,15 +157,13 @@ class Join:
         self.buckets = max(8, math.ceil(size / bucket_bytes))
 
     def _map(self, df: DataFrame, make, schema: str) -> DataFrame:
-        """make() gives a function from (batch, sets of its texts) to a batch."""
+        """make() gives a generator of batches from (batch, sets of its texts)."""
         words, seed = self.words, self.seed
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hasher, work = Hasher(seed, lower=True), make()
             for batch in batches:
-                out = work(batch, shingle_sets(binary_list(batch.column("text")), words, hasher))
-                if out is not None:
-                    yield out
+                yield from work(batch, shingle_sets(binary_list(batch.column("text")), words, hasher))
 
         return map_arrow(df, run, schema)
 
@@ -176,20 +174,26 @@ class Join:
         buckets = self.buckets
 
         def make():
-            def work(batch, sets):
-                seen, kept = set(), []
-                for s in sets:
-                    if len(s) and (c := class_of(s)) not in seen:
-                        seen.add(c)
-                        kept.append(s)
-                if not kept:
-                    return None
+            def packed(kept):
                 keys, n = np.unique(short(np.concatenate(kept), buckets), return_counts=True)
                 rows = list(by_bucket(keys))
                 low = [pack((keys[s] & _LOW).astype(np.uint32)) for _, s in rows]
                 many = [np.minimum(n[s], 65535).astype("<u2").tobytes() for _, s in rows]
                 return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array(low, pa.binary()), pa.array(many, pa.binary())], names=["bucket", "low", "df"])
 
+            def work(batch, sets):
+                seen, kept, size = set(), [], 0
+                for s in sets:
+                    if len(s) and (c := class_of(s)) not in seen:
+                        seen.add(c)
+                        kept.append(s)
+                        size += len(s)
+                        if size > 1 << 21:
+                            yield packed(kept)
+                            kept, size = [], 0
+                if kept:
+                    yield packed(kept)
+
             return work
 
         def total(group: pa.Table) -> pa.Table:
@@ -264,7 +268,7 @@ class Join:
                     owners.append(np.full(len(chosen), c, np.int64))
                     needs.append(np.full(len(chosen), need, "<u2"))
                 if not keys:
-                    return None
+                    return
                 keys, owners, needs = np.concatenate(keys), np.concatenate(owners), np.concatenate(needs)
                 order = np.argsort(keys, kind="stable")
                 keys, owners, needs = keys[order], owners[order], needs[order]
@@ -274,7 +278,7 @@ class Join:
                     wide = "<u2" if len(classes) <= 1 << 16 else "<u4"
                     for n, v in zip(out, (b, pack(keys[at] & _LOW), classes.tobytes(), owner.astype(wide).tobytes(), needs[at].tobytes()), strict=True):
                         out[n].append(v)
-                return pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if n == "bucket" else pa.binary()) for n, v in out.items()], names=list(out))
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if n == "bucket" else pa.binary()) for n, v in out.items()], names=list(out))
 
             return work
 
@@ -307,7 +311,7 @@ class Join:
                     m.append(len(all_hot))
                     cells = np.bincount((mix(all_hot) >> U64(57)).astype(np.int64), minlength=128) if len(keys) else None
                     k.append(cells.tolist() if cells is not None and cells.max() < 128 else None)
-                return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), batch.column("row"), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(h, pa.binary()), pa.array(m, pa.int64()), pa.array(k, pa.list_(pa.int8()))], names=["doc_id", "mark", "row", "n", "class", "hot", "n_hot", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), batch.column("row"), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(h, pa.binary()), pa.array(m, pa.int64()), pa.array(k, pa.list_(pa.int8()))], names=["doc_id", "mark", "row", "n", "class", "hot", "n_hot", "sketch"])
 
             return work
 

@@ -34,14 +34,12 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_list, map_arrow
+from .common import binary_list, ship
 from .hashing import U64, Hasher, hashed
 from .jaccard import by_bucket, pack, short, stretches, unpack
 
@@ -197,7 +195,7 @@ def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
         kind = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32()), ("source", pa.int64()), ("source_start", pa.int32())]))
         return pa.table({"doc_id": group.column("doc_id").take(pa.array(w.order)), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digest, pa.string()), "kept": pa.array(kept, pa.binary()).cast(pa.string()), "spans": pa.array(spans, kind)})
 
-    map_arrow(rows.limit(0), _nothing, rows.schema)  # ships the package
+    ship(docs.sparkSession)
     told = grouped.groupBy("g").applyInArrow(tell, "bucket int, g int, low binary")
     bits = told.groupBy("bucket").applyInArrow(shared, "g int, bucket int, bits binary")
     # Edges shared within one group only need no reply: the last pass sees them by itself.
@@ -207,10 +205,6 @@ def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     return out if keep_text else out.drop("kept")
 
 
-def _nothing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from ()
-
-
 def _within(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     if not len(ordered):
         return np.zeros(len(values), bool)
