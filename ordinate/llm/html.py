@@ -64,25 +64,50 @@ _JUNK = frozenset(
     "comment comments commentlist reply replies respond discussion disqus feedback share sharing social follow newsletter subscribe subscription signup login related recommended recommendations widget masthead skip hidden".split()
 )
 
+#: Those of them that an id says of a part of the page; the others may as well be what a section is about.
+_PART_IDS = frozenset("ad ads adsense comment comments commentlist respond disqus sidebar navbar menubar breadcrumb breadcrumbs crumb pager pagination topbar toolbar footer colophon masthead".split())
+#: Elements that no class, id or role condemns.
+_SPARED = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
+#: Names of two words mark the same if they say where such a part stands, or what kind of box it is.
+_PLACES, _PLACED = frozenset("site main primary global top bottom".split()), frozenset("nav navbar navigation menu menubar footer breadcrumb breadcrumbs topbar toolbar banner".split())
+_BOXED = frozenset("ad ads advert advertisement breadcrumb breadcrumbs comment comments cookie newsletter promo related search share skip social sponsored subscribe".split())
+_BOXES = frozenset("area articles bar block box button buttons container form icons items link links list posts section slot thread unit wrap wrapper".split())
+
 #: Beginnings and ends of longer words that mark the same.
 _JUNK_START = ("advert", "adsby", "adslot", "cookie", "breadcrumb", "sidebar", "newsletter", "sponsor", "popup", "paginat")
 _JUNK_END = ("nav", "menu", "banner", "sidebar", "footer", "comments", "cookies")
 
 
-def _is_junk(word: str) -> bool:
-    return word in _JUNK or word.startswith(_JUNK_START) or word.endswith(_JUNK_END)
+def _words(name: str) -> list[str]:
+    return re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+
+
+def _is_junk(name: str) -> bool:
+    """Whether a whole name marks what is not the article: "sidebar" and "cookie-notice" do, "has-sidebar" does not."""
+    words = _words(name)
+    if len(words) == 2 and (words[0] in _PLACES and words[1] in _PLACED or words[0] in _BOXED and words[1] in _BOXES):
+        return True
+    return bool(words) and all(w in _JUNK or w.startswith(_JUNK_START) or w.endswith(_JUNK_END) for w in words)
+
+
+def _condemned(tag: str, names: list[str], ids: list[str], inside: bool) -> bool:
+    if tag in _SPARED or tag == "form":
+        return False
+    if inside or tag == "section" or "section" in names:
+        return any(map(_is_junk, names)) or any(i.lower() in _PART_IDS for i in ids)
+    return any(map(_is_junk, names)) or any(map(_is_junk, ids))
 
 
 class Node:
-    __slots__ = ("tag", "path", "junk", "main", "top")
+    __slots__ = ("tag", "path", "junk", "main", "top", "form")
 
-    def __init__(self, tag: str, path: str, junk: bool, main: bool, top: bool):
-        self.tag, self.path, self.junk, self.main, self.top = tag, path, junk, main, top
+    def __init__(self, tag: str, path: str, junk: bool, main: bool, top: bool, form: int = 0):
+        self.tag, self.path, self.junk, self.main, self.top, self.form = tag, path, junk, main, top, form
 
 
-def _names(raw: str) -> tuple[list[str], str, bool]:
-    """Words of class, id and role; the generalised label; whether the element is hidden."""
-    words, label, hidden = [], "", False
+def _names(raw: str) -> tuple[list[str], list[str], str, bool]:
+    """Whole names of class and role; those of id; the generalised label; whether the element is hidden."""
+    names, ids, label, hidden = [], [], "", False
     for m in _CLASS.finditer(raw):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key in ("hidden", "aria-hidden"):
@@ -90,11 +115,10 @@ def _names(raw: str) -> tuple[list[str], str, bool]:
         elif key == "style":
             hidden |= re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) is not None
         else:
-            split = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
-            words += split
+            (ids if key == "id" else names).extend(value.split())
             if key == "class":
-                label = "." + ".".join(sorted(set(split)))
-    return words, label, hidden
+                label = "." + ".".join(sorted(set(_words(value))))
+    return names, ids, label, hidden
 
 
 def blocks_of(page: str) -> list[tuple[str, list[Node], float]]:
@@ -103,7 +127,7 @@ def blocks_of(page: str) -> list[tuple[str, list[Node], float]]:
     root = Node("", "", False, False, True)
     stack = [root]
     parts: list[str] = []
-    state = {"link": 0, "all": 0, "open": 0}
+    state = {"link": 0, "all": 0, "open": 0, "forms": 0}
 
     def flush() -> None:
         if parts:
@@ -157,17 +181,30 @@ def blocks_of(page: str) -> list[tuple[str, list[Node], float]]:
                     break
         top = stack[-1]
         raw = m[4]
-        words, label, hidden = _names(raw) if len(raw) > 3 else ([], "", False)
+        names, ids, label, hidden = _names(raw) if len(raw) > 3 else ([], [], "", False)
         inside = top.main
-        junk = top.junk or hidden or tag in _DROPPED or any(map(_is_junk, words)) or (tag == "header" or "header" in words or "banner" in words) and not inside
-        main = inside or not junk and (tag in ("article", "main") or "main" in words and tag in _CONTAINERS or "articlebody" in words)
+        heads = tag == "header" or tag not in _SPARED and any(n.lower() in ("header", "banner") for n in names + ids)
+        junk = top.junk or hidden and tag not in ("html", "body") or tag in _DROPPED and tag != "form" or _condemned(tag, names, ids, inside) or heads and not inside
+        main = inside or not junk and (tag in ("article", "main") or tag in _CONTAINERS and any("main" in _words(n) for n in names + ids) or any(n.lower() == "articlebody" for n in names + ids))
+        state["forms"] += tag == "form"
+        form = top.form or state["forms"] * (tag == "form")
         if raw.rstrip().endswith("/") and tag not in _BLOCK:
             continue
-        node = Node(tag, f"{top.path}/{tag}{label}" if tag in _BLOCK else top.path, junk, main, False)
+        node = Node(tag, f"{top.path}/{tag}{label}" if tag in _BLOCK else top.path, junk, main, False, form)
         stack.append(node)
         state["open"] += tag == "a"
     say(page[at:])
     flush()
+    # A form goes, unless it holds most of the page's text.
+    held = Counter()
+    for text, around, _ in out:
+        if not around[-1].junk:
+            held[around[-1].form] += len(text)
+    whole = sum(held.values())
+    for _, around, _ in out:
+        form = around[-1].form
+        if form and 2 * held[form] <= whole:
+            around[-1].junk = True
     return out
 
 

@@ -48,3 +48,20 @@ def test_long_and_clashing(spark):
     df = spark.createDataFrame([(1, "u", f"<article>{body}</article>")], "page_id bigint, url string, html string").withColumn("text", F.lit(5))
     row = h.extract_main_text(df).collect()[0]
     assert row["text"].count("\n") == 19_999 and h.extract_main_text(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("around", [
+    ('<body class="has-sidebar sidebar">', "</body>"),
+    ('<body class="sticky-header"><article class="post no-comments">', "</article>"),
+    ('<main class="overflow-hidden" id="search">', "</main>"),
+    ('<body><form id="form1" class="search"><div class="menu">menu</div>', "</form></body>"),
+    ('<div class="with-share col-ad-free"><p>', "</p></div>"),
+])
+def test_words_that_do_not_condemn(around):
+    assert h.extract(around[0] + ARTICLE + around[1], None)[0] == TEXT
+
+
+def test_sections_named_after_their_subject():
+    page = '<article><p>text</p><h2 id="related-work">Related</h2><p>a</p><section id="discussion"><p>b</p></section><h2 id="search-algorithms" class="menu">Search</h2><div id="navigation"><p>c</p></div>%s</article>'
+    gone = '<div id="comments">x</div><div class="left"><div class="comments-area">y</div></div><div class="cookie-notice">z</div><form><p>Send</p></form><div class="adSlot">v</div>'
+    assert h.extract(page % gone, None)[0] == "text\nRelated\na\nb\nSearch\nc"
