@@ -4,7 +4,9 @@ Pages of one host share a template, so they can vote on where the article
 stands.  The first pass reads each page, scores its containers by the text of
 the paragraphs in them (less what stands in links), and gives each container a
 generalised path: tag names with their classes, digits taken out.  Spark sums
-the scores for each (host, path); the best path of a host wins.  The second
+the scores for each (host, path); the best path of a host wins, and hands over to
+the containers around it while one holds clearly more text (a tenth more), as an
+article split into several boxes needs; article and main elements stay.  The second
 pass extracts every page again from the containers on its host's winning path;
 a page that lacks the path uses its own best container.
 
@@ -53,6 +55,10 @@ _BLOCK = frozenset("address article aside blockquote body caption center dd deta
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _LISTS = frozenset("ul ol dl menu dir".split())
 _CONTAINERS = frozenset("article main section div td body center".split())
+#: Those that compete for the article; a cell is part of its table.
+_SCORED = _CONTAINERS - {"td"}
+#: How much more text a container has to hold to take over from one inside it.
+CLEARLY = 1.1
 #: Opening one of these closes an open paragraph.
 _ENDS_P = _BLOCK - {"html", "body", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup", "legend", "summary"}
 #: Opening the first closes the second, if it is the innermost of its kind.
@@ -208,45 +214,62 @@ def blocks_of(page: str) -> list[tuple[str, list[Node], float]]:
     return out
 
 
-def scored(page: str) -> tuple[list[tuple[str, list[Node], float]], dict[str, float]]:
-    """The page's blocks and the scores of its container paths."""
+def scored(page: str) -> tuple[list[tuple[str, list[Node], float]], dict[str, float], dict[str, float]]:
+    """The page's blocks, the scores of its container paths, and the text that each path holds."""
     blocks = blocks_of(page)
     scores: Counter = Counter()
+    holds: Counter = Counter()
     for text, around, linked in blocks:
         if around[-1].junk or linked > 0.5:
             continue
         weight, worth = 1.0, len(text) * (1 - linked)
         for node in reversed(around):
-            if node.tag in _CONTAINERS or node is around[0]:
+            if node.tag in _SCORED or node is around[0]:
                 # An article or main element speaks for all of its text; other containers pass on half.
                 scores[node.path] += worth * (3.0 if node.tag in ("article", "main") else weight)
+                holds[node.path] += worth
                 weight *= 0.5
-    return blocks, scores
+    return blocks, scores, holds
 
 
-def best_path(scores: dict[str, float]) -> str | None:
-    return min(scores, key=lambda p: (-scores[p], p)) if scores else None
+def climbed(path: str, holds: dict[str, float]) -> str:
+    """From a path outwards, to a container around it as long as one holds clearly more text."""
+    if path.rpartition("/")[2].partition(".")[0] in ("article", "main"):
+        return path
+    for outer in sorted((p for p in holds if path.startswith(p + "/")), key=len, reverse=True):
+        if holds[outer] >= CLEARLY * holds[path]:
+            path = outer
+    return path
+
+
+def best_path(scores: dict[str, float], holds: dict[str, float]) -> str | None:
+    return climbed(min(scores, key=lambda p: (-scores[p], p)), holds) if scores else None
 
 
 def extract(page: str | None, winner: str | None) -> tuple[str, str | None]:
     """The text of the page under the winning path (or its own best), and the path used."""
     if not page:
         return "", None
-    blocks, scores = scored(page)
-    path = winner if winner is not None and winner in scores else best_path(scores)
+    blocks, scores, holds = scored(page)
+    path = winner if winner is not None and winner in scores else best_path(scores, holds)
     if path is None:
         return "", None
     kept, title = [], []
+    whole = path.rpartition("/")[2].partition(".")[0] in ("body", "html", "")
+    # Outside an article element, a list of bare links is a menu if it comes before any text, or in the page as a whole if no heading leads to it.
+    follows = False
     for text, around, linked in blocks:
         if around[-1].junk:
             continue
-        if any(node.path == path and (node.tag in _CONTAINERS or node.top) for node in around):
-            # Outside an article element, a list of bare links is a menu.
-            if around[-1].main or linked < 0.9 or not any(node.tag in _LISTS for node in around):
+        if any(node.path == path and (node.tag in _SCORED or node.top) for node in around):
+            menu = linked >= 0.9 and any(node.tag in _LISTS for node in around)
+            if around[-1].main or not menu or follows:
                 kept.append(text)
+            if not menu:
+                follows = not whole or around[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6")
         elif not kept and around[-1].tag in ("h1", "h2") and linked < 0.9:
             # A heading that stands right above the container, in the element around it, is its title.
-            holder = next((node.path for node in reversed(around) if node.tag in _CONTAINERS or node.top), "")
+            holder = next((node.path for node in reversed(around) if node.tag in _SCORED or node.top), "")
             if path.rpartition("/")[0] == holder and holder.rpartition("/")[2] not in ("body", "html", ""):
                 title.append(text)
     return "\n".join(title + kept), path
@@ -260,44 +283,53 @@ def host_of(url: str | None) -> str:
 
 
 def host_votes(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, path, votes, pages): the summed scores of every container path of a host."""
+    """(host, path, votes, holds, pages): of every container path of a host the summed scores and shares of the text."""
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], list[float]] = {}
+        held: dict[tuple[str, str], list[float]] = {}  # score, share of the text, pages
 
         def flush() -> pa.RecordBatch:
             keys = list(held)
-            arrays = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([held[k][0] for k in keys], pa.float64()), pa.array([int(held[k][1]) for k in keys], pa.int64())]
+            arrays = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), *[pa.array([held[k][i] for k in keys], pa.float64()) for i in (0, 1)], pa.array([int(held[k][2]) for k in keys], pa.int64())]
             held.clear()
-            return pa.RecordBatch.from_arrays(arrays, names=["host", "path", "votes", "pages"])
+            return pa.RecordBatch.from_arrays(arrays, names=["host", "path", "votes", "holds", "pages"])
 
         for batch in batches:
             for u, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if page:
-                    host, (_, scores) = host_of(u), scored(page)
-                    whole = sum(scores.values())
+                    host, (_, scores, holds) = host_of(u), scored(page)
+                    whole, text = sum(scores.values()), holds.get("", 0.0)
                     for path, score in scores.items():
-                        entry = held.setdefault((host, path), [0.0, 0])
+                        entry = held.setdefault((host, path), [0.0, 0.0, 0])
                         entry[0] += score / whole if whole else 0.0
-                        entry[1] += 1
+                        entry[1] += holds[path] / text if text else 0.0
+                        entry[2] += 1
             if len(held) > 50_000:
                 yield flush()
         if held:
             yield flush()
 
     slim = pages.select(F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
-    raw = map_arrow(slim, vote, "host string, path string, votes double, pages bigint")
-    return raw.groupBy("host", "path").agg(F.round(F.sum("votes"), 9).alias("votes"), F.sum("pages").alias("pages"))
+    raw = map_arrow(slim, vote, "host string, path string, votes double, holds double, pages bigint")
+    return raw.groupBy("host", "path").agg(F.round(F.sum("votes"), 9).alias("votes"), F.round(F.sum("holds"), 9).alias("holds"), F.sum("pages").alias("pages"))
 
 
 def winners(votes: DataFrame) -> DataFrame:
-    """(host, path): the path with the most votes; ties to the first in order."""
-    return votes.groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("less"), "path")).alias("w")).select("host", F.col("w.path").alias("path"))
+    """(host, path): the path with the most votes, ties to the first in order, or the container around it that holds clearly more."""
+    best = votes.groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("less"), "path", "holds")).alias("w")).select("host", "w.path", "w.holds")
+    outer = votes.select("host", F.col("path").alias("outer"), F.col("holds").alias("more"))
+    # As many rows for each host as its winner has containers around it.
+    around = best.join(outer, "host").where(F.col("path").startswith(F.concat("outer", F.lit("/"))))
+    steps = around.groupBy("host").agg(F.array_sort(F.collect_list(F.struct((-F.length("outer")).alias("less"), F.col("outer").alias("path"), F.col("more").alias("holds")))).alias("steps"))
+    climb = lambda at, step: F.when(step["holds"] >= CLEARLY * at["holds"], F.struct(step["path"].alias("path"), step["holds"].alias("holds"))).otherwise(at)
+    top = F.aggregate(F.col("steps"), F.struct("path", "holds"), climb)["path"]
+    stays = F.col("steps").isNull() | F.regexp_extract("path", r"([^/.]*)[^/]*$", 1).isin("article", "main")
+    return best.join(steps, "host", "left").select("host", F.when(stays, F.col("path")).otherwise(top).alias("path"))
 
 
 def extract_main_text(pages: DataFrame, *, url: str = "url", html: str = "html", broadcast_bytes: int = 8 << 20) -> DataFrame:
     """pages with text, n_chars and path (the container path used)."""
-    best = checkpointed(winners(host_votes(pages, url=url, html=html)))
+    best = checkpointed(winners(checkpointed(host_votes(pages, url=url, html=html))))
     size = best.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path") + 64), F.lit(0)).alias("b")).first()["b"]
     fields = [("text", "string"), ("n_chars", "bigint"), ("path", "string")]
     if size <= broadcast_bytes:

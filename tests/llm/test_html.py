@@ -65,3 +65,28 @@ def test_sections_named_after_their_subject():
     page = '<article><p>text</p><h2 id="related-work">Related</h2><p>a</p><section id="discussion"><p>b</p></section><h2 id="search-algorithms" class="menu">Search</h2><div id="navigation"><p>c</p></div>%s</article>'
     gone = '<div id="comments">x</div><div class="left"><div class="comments-area">y</div></div><div class="cookie-notice">z</div><form><p>Send</p></form><div class="adSlot">v</div>'
     assert h.extract(page % gone, None)[0] == "text\nRelated\na\nb\nSearch\nc"
+
+
+SPLIT = [
+    ('<div class="lead"><p>{a}</p></div><div class="text"><p>{b}</p></div>', 400, 2000),
+    ("<p>{a}</p><table><tr><td>{b}</td></tr></table>", 1000, 3000),
+    ('<p>{a}</p><div class="scroll"><table><tr><td><div>{b}</div></td></tr></table></div>', 1000, 3000),
+    ('<div class="row"><div class="col"><p>{a}</p></div><div class="side-by"><p>{b}</p></div></div><div class="more"><p>{b}</p></div>', 500, 600),
+]
+REFERENCES = '<h2>References</h2><ul><li><a href="1">first source</a></li><li><a href="2">second source</a></li></ul>'
+
+
+@pytest.mark.parametrize(("inside", "a", "b"), SPLIT)
+def test_split_articles(spark, inside, a, b):
+    a, b = ("word " * (n // 5) for n in (a, b))
+    page = f'<body><ul><li><a href="/">home</a></li></ul><div class="post">{inside.format(a=a, b=b)}{REFERENCES}</div><div class="menu">menu</div></body>'
+    want = "\n".join([a.strip()] + [b.strip()] * inside.count("{b}") + ["References", "first source", "second source"])
+    assert h.extract(page, None) == (want, "/body/div.post")
+    df = spark.createDataFrame([(i, "http://split.example/", page) for i in range(5)], "page_id bigint, url string, html string")
+    assert {(r["text"], r["path"]) for r in h.extract_main_text(df).collect()} == {(want, "/body/div.post")}
+
+
+def test_winners_climb(spark):
+    rows = [("a", "", 0.1, 1.0), ("a", "/body", 0.2, 1.0), ("a", "/body/div", 0.3, 0.99), ("a", "/body/div/div", 0.9, 0.5), ("b", "/body", 0.1, 1.0), ("b", "/body/article", 0.9, 0.2), ("c", "", 1.0, 1.0)]
+    votes = spark.createDataFrame(rows, "host string, path string, votes double, holds double")
+    assert {(r["host"], r["path"]) for r in h.winners(votes).collect()} == {("a", "/body/div"), ("b", "/body/article"), ("c", "")}
