@@ -246,8 +246,13 @@ def delete_then_put(spark, d):
 
 @query(f"SELECT {_ORDER} FROM orders WHERE o_orderkey = 77")
 def pop(spark, d):
-    """What a pop gives; the rest is in the delete query."""
-    return R.get(orders(spark, d), 77).drop("k")
+    """What a pop gives; what it leaves is in pop_rest."""
+    return R.pop(orders(spark, d), 77)[0].drop("k")
+
+
+@query(f"SELECT {_ORDER} FROM orders WHERE o_orderkey <> 77")
+def pop_rest(spark, d):
+    return R.pop(orders(spark, d), 77)[1].drop("k")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey > (SELECT min(o_orderkey) FROM orders)")
@@ -368,31 +373,52 @@ def doc_roundtrip(spark, d):
 # Versions and models
 
 
-@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey < 1000")
-def snapshot_read(spark, d):
-    """A bulk-loaded collection as it was before a later write."""
+def loaded_then_changed(spark, d, stop=None):
+    """The orders of a bulk-loaded collection as it was before a later write, all or those below a key."""
     db = open_database()
-    rows = orders(spark, d).where("o_orderkey < 1000")
+    rows = orders(spark, d)
     c = db["orders"]
     c.put_df(rows.select("k", D.document_of(rows, "o_orderkey", "o_orderstatus").alias("doc")))
-    before = c.df()
+    before = c.df(None, stop)
     c.clear()
     c[1] = {"o_orderkey": -1, "o_orderstatus": "later"}
     return before.select(D.field(F.col("doc"), "o_orderkey", "bigint").alias("o_orderkey"), D.field(F.col("doc"), "o_orderstatus", "string").alias("o_orderstatus"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'put' ELSE o_orderstatus END AS status FROM orders WHERE o_orderkey < 1000 AND o_orderkey % 5 <> 0")
-def collection_merge(spark, d):
-    """Bulk load, bulk put, bulk delete, compaction and a read, through the collection."""
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey < 1000")
+def snapshot_read(spark, d):
+    """A key range of the whole collection's snapshot."""
+    return loaded_then_changed(spark, d, 1000)
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders")
+def snapshot_read_all(spark, d):
+    return loaded_then_changed(spark, d)
+
+
+def loaded_and_merged(spark, d, stop=None):
+    """Bulk load, bulk put, bulk delete and compaction of all orders, through the collection, and a read of all or of those below a key."""
     db = open_database()
-    rows = orders(spark, d).where("o_orderkey < 1000").select("k", "o_orderkey", F.col("o_orderstatus").alias("status"))
+    rows = orders(spark, d).select("k", "o_orderkey", F.col("o_orderstatus").alias("status"))
     doc = lambda df: df.select("k", D.document_of(df, "o_orderkey", "status").alias("doc"))
     c = db["orders"]
     c.put_df(doc(rows))
     c.compact()
     c.put_df(doc(rows.where("o_orderkey % 3 = 0").withColumn("status", F.lit("put"))))
     c.delete_df(rows.where("o_orderkey % 5 = 0"))
-    return c.df().select(D.field(F.col("doc"), "o_orderkey", "bigint").alias("o_orderkey"), D.field(F.col("doc"), "status", "string").alias("status"))
+    c.compact()
+    return c.df(None, stop).select(D.field(F.col("doc"), "o_orderkey", "bigint").alias("o_orderkey"), D.field(F.col("doc"), "status", "string").alias("status"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'put' ELSE o_orderstatus END AS status FROM orders WHERE o_orderkey < 1000 AND o_orderkey % 5 <> 0")
+def collection_merge(spark, d):
+    """A key range of the whole collection, after the merge."""
+    return loaded_and_merged(spark, d, 1000)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'put' ELSE o_orderstatus END AS status FROM orders WHERE o_orderkey % 5 <> 0")
+def collection_merge_all(spark, d):
+    return loaded_and_merged(spark, d)
 
 
 @dataclass

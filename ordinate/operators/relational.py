@@ -128,6 +128,11 @@ def setdefault(base: DataFrame, rows: DataFrame) -> DataFrame:
     return base.unionByName(rows.join(base.select("k"), "k", "left_anti").select(*base.columns))
 
 
+def pop(base: DataFrame, key) -> tuple[DataFrame, DataFrame]:
+    """The row of a key (none if it is missing), and the rest."""
+    return get(base, key), base.where(F.col("k") != F.lit(K.encode(key)))
+
+
 def pop_first(base: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The row of the smallest key, and the rest."""
     taken = first(base)

@@ -51,3 +51,26 @@ def test_key_bounds_reach_the_scan(spark, tmp_path):
 def test_flagship(spark):
     rows = catalogue.flagship(spark, DATA).orderBy("rank").collect()
     assert [r["rank"] for r in rows] == list(range(1, 101)) and [r["o_orderkey"] for r in rows] == list(range(100, 200))
+
+
+def test_whole_tables_go_through_the_collection(spark, monkeypatch):
+    from ordinate.collection import Collection
+
+    loads, put = [], Collection.put_df
+    monkeypatch.setattr(Collection, "put_df", lambda self, rows, seq=None: (loads.append(rows.count()), put(self, rows, seq))[1])
+    n = catalogue.orders(spark, DATA).count()
+    for name in ("snapshot_read", "collection_merge", "snapshot_read_all", "collection_merge_all"):
+        loads.clear()
+        catalogue.QUERIES[name](spark, DATA)
+        assert loads[0] == n
+
+
+def test_pop_and_its_rest(spark):
+    from ordinate.operators import relational as R
+
+    base = catalogue.orders(spark, DATA)
+    keys = sorted(r["o_orderkey"] for r in base.collect())
+    for key in (77, -5):
+        taken, rest = R.pop(base, key)
+        assert [r["o_orderkey"] for r in taken.collect()] == [k for k in keys if k == key]
+        assert sorted(r["o_orderkey"] for r in rest.collect()) == [k for k in keys if k != key]
