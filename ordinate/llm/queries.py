@@ -17,8 +17,12 @@ def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("bigint").alias("size"))
-    return sharding.shard(docs, F.col("size")).drop("size")
+    placed = sharding.shard(table(spark, sf_dir, "documents"), F.octet_length("text"), by=["doc_id"])
+    folder = warc.archive_folder(spark, "shards")
+    sharding.write_shards(placed, folder)
+    written = sharding.read_shards(spark, folder, placed.schema)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("row_bytes")
+    return written.select("doc_id", *[size if c == "row_bytes" else c for c in sharding.RESULT])
 
 
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

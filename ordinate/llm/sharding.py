@@ -9,12 +9,18 @@ cells roll up to the sums of every prefix above them, and the directory is the
 shallowest prefixes that fit.  Cells that are still too large at that depth,
 and only those, are split again on further bits in the next round.
 
-The hash covers all values of a row.  Equal rows would share every bit, so it
-also covers the number of the copy: rows are counted by their content first,
-then numbered.  A shard
+The hash covers all values of a row, or its bytes and the columns named in
+``by``; whole rows are dealt out either way.  Rows alike in these would share
+every bit, so it also covers the number of the copy: rows are counted by their
+content first, then numbered, or numbered in the order of a hash of all values
+among those alike in ``by``.  A shard
 exceeds the limit only if a single row does; such a shard is reported as
 ``oversize``.
 
+``write_shards`` writes the rows, a folder for each shard.  Tasks take even ranges
+of (shard, hash of the row), so a large shard is several files and no task
+gathers one.
+
 Scale: one narrow pass over (hash, bytes), rollups of a few cells per shard,
 and one join of the rows with the cells on the hash prefix, which is even by
 construction.
@@ -28,13 +34,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import checkpointed, md5_int, numbered, without
 
 BITS = 60
 LIMIT = 64 << 20
+#: Cells, and keys of several rows, are handed to every executor up to so many, else joined.
+BROADCAST_ROWS = 100_000
 
 
 def row_hash(columns: list[Column], copy: Column) -> Column:
@@ -72,19 +81,52 @@ def directory(rows: DataFrame, limit: int) -> list[tuple[int, DataFrame]]:
         shallow, depth = depth + 1, min(BITS, depth + 6)
 
 
+def _copies(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """df with the number of each row among those alike in keys; only rows that have others alike move."""
+    marks = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    alike = checkpointed(df.select(*marks).groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"))
+    several = alike.count()
+    if not several:
+        return df.withColumn("_copy", F.lit(1))
+    alike = F.broadcast(alike) if several <= BROADCAST_ROWS else alike
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(*names)))
+    return df.join(alike, same, "left_anti").withColumn("_copy", F.lit(1)).unionByName(df.join(alike, same, "left_semi").withColumn("_copy", place))
+
+
 RESULT = ["row_bytes", "shard", "shard_depth", "shard_bytes", "shard_rows", "oversize"]
 
 
-def shard(df: DataFrame, size: Column, *, limit: int = LIMIT) -> DataFrame:
+def shard(df: DataFrame, size: Column, *, limit: int = LIMIT, by: list[str] | None = None) -> DataFrame:
     """df with row_bytes (``size``, an expression over df), shard (its prefix bits, "" for the only one), shard_depth, shard_bytes, shard_rows and oversize."""
     df = without(df.withColumn("_bytes", F.coalesce(size, F.lit(0)).cast("bigint")), RESULT)
     names = [f"`{c}`" for c in df.columns if c != "_bytes"]
-    counted = df.groupBy(*names, "_bytes").agg(F.count(F.lit(1)).alias("_n"))
-    rows = numbered(counted, "_n", "_copy").withColumn("_h", row_hash([F.col(c) for c in names], F.col("_copy")))
+    if by is None:
+        counted = df.groupBy(*names, "_bytes").agg(F.count(F.lit(1)).alias("_n"))
+        rows = numbered(counted, "_n", "_copy").withColumn("_h", row_hash([F.col(c) for c in names], F.col("_copy")))
+    else:
+        keys = [*[f"`{c}`" for c in by], "_bytes"]
+        rows = _copies(df, keys, names).withColumn("_h", row_hash([F.col(c) for c in keys], F.col("_copy")))
     tables = directory(checkpointed(rows.select(F.col("_h").alias("h"), F.col("_bytes").alias("bytes"))), limit)
     out = None
     for depth, cells in tables:
         cells = cells.select(F.col("leaf").alias("_leaf"), "shard", F.col("depth").alias("shard_depth"), "shard_bytes", "shard_rows")
+        # A few cells for each shard: handed out, so that the rows stay where they are.
+        cells = F.broadcast(cells) if cells.count() <= BROADCAST_ROWS else cells
         hit = rows.withColumn("_leaf", prefix(F.col("_h"), depth)).join(cells, "_leaf")
         out = hit if out is None else out.unionByName(hit)
     return out.select(*names, F.col("_bytes").alias("row_bytes"), "shard", "shard_depth", "shard_bytes", "shard_rows", (F.col("shard_bytes") > limit).alias("oversize"))
+
+
+def write_shards(placed: DataFrame, folder: str) -> None:
+    """The rows of ``shard`` as Parquet, those of each shard in a folder of its own."""
+    even = placed.repartitionByRange("shard", F.xxhash64(*[f"`{c}`" for c in placed.columns]))
+    # The only shard's name is empty, which no folder can be.
+    even.withColumn("_folder", F.concat(F.lit("p"), "shard")).write.partitionBy("_folder").parquet(folder)
+
+
+def read_shards(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """What ``write_shards`` wrote; schema is that of its rows."""
+    return spark.read.schema(schema).parquet(folder).select(*[f"`{c}`" for c in schema.names])

@@ -122,3 +122,36 @@ def test_clashing_names(spark):
     df = docs(spark, [(1, "abc", "s", 0)]).withColumn("shard", F.lit("mine")).withColumn("n", F.lit(1))
     row = sharding.shard(df, F.octet_length("text")).collect()[0]
     assert (row["shard"], row["n"], row["row_bytes"]) == ("", 1, 3)
+
+
+@pytest.mark.parametrize("handed_out", [100_000, 0])
+def test_whole_rows_reach_their_shards(spark, tmp_path, monkeypatch, handed_out):
+    """Rows that share id and length keep their own texts; shards are written and read again."""
+    rows = [(i % 300, f"{i:04d}" + "x" * (i % 7), "s", i % 5) for i in range(1200)] + [(7, "same", "s", 0)] * 3 + [(None, None, None, 0), (8, "", "s", 0)]
+    df = docs(spark, rows)
+    monkeypatch.setattr(sharding, "BROADCAST_ROWS", handed_out)
+    for limit in (300, 10**9):
+        placed = sharding.shard(df, F.octet_length("text"), limit=limit, by=["doc_id"])
+        folder = str(tmp_path / str(limit))
+        sharding.write_shards(placed, folder)
+        got = sharding.read_shards(spark, folder, placed.schema)
+        assert got.columns == placed.columns
+        got = got.collect()
+        assert Counter(r[: len(df.columns)] for r in map(tuple, got)) == Counter(map(tuple, df.collect()))
+        by = defaultdict(list)
+        for r in got:
+            by[r["shard"]].append(len((r["text"] or "").encode()))
+        assert {(r["shard"], r["shard_bytes"], r["shard_rows"]) for r in got} == {(s, sum(b), len(b)) for s, b in by.items()}
+        assert all(sum(b) <= limit for b in by.values()) and (limit > 300) == (len(by) == 1)
+        again = sharding.shard(df.repartition(7), F.octet_length("text"), limit=limit, by=["doc_id"]).collect()
+        assert Counter(map(tuple, got)) == Counter(map(tuple, again))
+
+
+def test_the_query_deals_out_whole_documents(spark, monkeypatch):
+    from ordinate.llm import queries
+
+    data, seen, write = "/root/testdata/sf0.001", [], sharding.write_shards
+    monkeypatch.setattr(sharding, "write_shards", lambda placed, folder: (seen.append(placed), write(placed, folder)))
+    queries.op2_sharding(spark, data)
+    table = spark.read.parquet(f"{data}/documents.parquet")
+    assert Counter(map(tuple, seen[0].select(*table.columns).collect())) == Counter(map(tuple, table.collect()))
