@@ -10,9 +10,13 @@ is summed, and a logistic curve turns it into a score from 0 to 1.
 
 The labelled documents of the learning folds (one of each distinct text) give
 the candidate tokens; all documents give the corpus frequencies that shape the
-prior; then all documents are scanned.  Only the first of these moves texts.  The model is small by its parameter ``max_tokens`` (the
-tokens with the surest positive scores; any other token has the one background
-score) and is sent to the executors whole.  The logistic curve has two
+prior; then all documents are scanned.  Only the first of these moves texts.  A
+candidate stands in ``least_docs`` toxic documents at least, more than its share
+of all; every candidate whose log-odds reach ln 4 is in the model, which grows
+with the vocabulary and is sent to the executors whole (any other token has the
+one background score).  The prior counts ``least_prior`` documents of each class
+at least, so that a rare word's score is held down and not the word.  Candidates
+beyond ``handed_out`` meet their corpus frequencies by a join.  The logistic curve has two
 coefficients and is fitted to about ``max_fit`` labelled documents at most, chosen by
 a hash of their ids.
 
@@ -148,7 +152,7 @@ def log_odds(toxic, plain, n_toxic, n_plain, prior, size):
     return odds(toxic, n_toxic) - odds(plain, n_plain)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", learn: Column | None = None, max_tokens: int = 20_000, least_docs: int = 3, strength: float = 20.0, least_g: float = 12.0, max_fit: int = 50_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", learn: Column | None = None, least_docs: int = 3, strength: float = 20.0, least_prior: float = 0.5, handed_out: int = 200_000, max_fit: int = 50_000) -> Model:
     """learn: which ids may be learnt from, an expression over ``id``."""
     rows, marks = learners(docs, labels, doc_id=doc_id, text=text, label=label, learn=learn)
     # Always a merge join: the marks grow with the input, and so the plan should stay the same.
@@ -159,20 +163,21 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     n_toxic, n_plain = (whole["toxic"], whole["plain"]) if whole else (0, 0)
     if not n_toxic or not n_plain:
         return Model(intercept=-math.inf)
-    # How far the toxic documents exceed what the overall share leads to expect, as a likelihood ratio (G).
     k, expected = F.col("toxic"), (F.col("toxic") + F.col("plain")) * (n_toxic / (n_toxic + n_plain))
-    g = 2 * (k * F.log(k / expected) - (k - expected))
-    fits = (F.col("token") != F.lit(b"")) & (k >= least_docs) & (k > expected) & (g >= least_g)
-    best = counts.where(fits).orderBy(F.desc(g), "token").limit(max_tokens).collect()
+    candidates = counts.where((F.col("token") != F.lit(b"")) & (k >= least_docs) & (k > expected))
+    everything = docs.select(F.col(text).alias("body"), F.lit(0).alias("toxic"))
+    known = frozenset(bytes(r["token"]) for r in candidates.select("token").collect()) if candidates.count() <= handed_out else None
+    corpus = checkpointed(_counted(everything, known, buckets=buckets).select("token", F.col("plain").alias("all")))
+    size = corpus.where("token = X''").first()["all"]
+    prior = F.greatest(F.lit(strength / size) * F.coalesce("all", F.lit(0)), F.lit(least_prior))
+    odds = lambda n, of: F.log(n + F.col("prior")) - F.log(F.lit(of + strength) - n - F.col("prior"))
+    weighed = candidates.join(corpus, "token", "left").withColumn("prior", prior).withColumn("delta", odds(k, n_toxic) - odds(F.col("plain"), n_plain))
+    # The odds alone decide which tokens stay; rounding is settled below.
+    best = weighed.where(F.col("delta") >= math.log(4) - 1e-6).orderBy("token").collect()
     if not best:
         return Model(intercept=-math.inf)
     names = [bytes(r["token"]) for r in best]
-    known = frozenset(names)
-    everything = docs.select(F.col(text).alias("body"), F.lit(0).alias("toxic"))
-    corpus = {bytes(r["token"]): r["plain"] for r in _counted(everything, known).collect()}
-    share_of = np.array([corpus.get(t, 0) for t in names]) / max(1, corpus[b""])
-    toxic, plain = np.array([r["toxic"] for r in best], float), np.array([r["plain"] for r in best], float)
-    prior = strength * np.maximum(share_of, 1e-7)
+    toxic, plain, prior = (np.array([r[c] for r in best], float) for c in ("toxic", "plain", "prior"))
     delta = log_odds(toxic, plain, n_toxic, n_plain, prior, strength)
     sure = delta >= math.log(4)
     weights = {t: float(w) for t, w, ok in zip(names, delta, sure, strict=True) if ok}

@@ -99,3 +99,18 @@ def test_folds(spark):
     ids = [*range(50), -4, 2**40]
     got = {r["i"]: r["h"] for r in spark.createDataFrame([(i,) for i in ids], "i bigint").select("i", t.held_out(F.col("i")).alias("h")).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in ids}
+
+
+def test_rare_words_stay_and_are_held_down(spark):
+    """Words in three toxic documents and no other are learnt, a joined corpus count changes nothing, and common mild words don't take their places."""
+    rows, labels = [], []
+    for i in range(600):
+        toxic = i % 6 == 0
+        words = [f"sun{chr(97 + (i * j) % 26)}" for j in range(1, 9)] + ([f"rare{chr(97 + i // 18 % 26)}{chr(97 + i // 468)}", "vex"] if toxic else ["hill"])
+        rows.append((i, " ".join(words + [f"mild{chr(97 + i % 5)}"] * (toxic or i % 3 == 0))))
+        labels.append((i, int(toxic)))
+    docs, marks = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    model = t.fit(docs, marks)
+    rare = {w: v for w, v in model.weights.items() if w.startswith(b"rare")}
+    assert len(rare) == 33 and max(rare.values()) < 6 and not any(w.startswith(b"mild") for w in model.weights)
+    assert t.fit(docs, marks, handed_out=0) == model
