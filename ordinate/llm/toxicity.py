@@ -4,8 +4,8 @@ Each token has a log-odds score: how much likelier it is in toxic text than in
 other text, smoothed by a Dirichlet prior that follows the corpus.  A linear
 scan (Ruzzo and Tompa's) finds every maximal segment of a text.  Under the
 background model the best segment of n tokens follows an extreme-value law, so
-the evidence of a segment of score S is S - ln(K n), with K estimated from
-documents that are not toxic; the evidence of a document's significant segments
+the evidence of a segment of score S is S - ln(K n).  K is the constant e^-4, unless
+documents that are not toxic score so high that their estimate of it is larger; the evidence of a document's significant segments
 is summed, and a logistic curve turns it into a score from 0 to 1.
 
 The labelled documents of the learning folds (one of each distinct text) give
@@ -190,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
 
 
 def calibrate(model: Model, rows: DataFrame, marks: DataFrame, max_fit: int) -> Model:
-    """K from the documents that are not toxic (method of moments), then the logistic curve."""
+    """K from the documents that are not toxic (method of moments), but e^-4 at least, which it mostly is; then the logistic curve."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
