@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
@@ -26,10 +27,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ready(spark: SparkSession) -> None:
-    """Make checkpoint() usable: the cluster's folder, or a temporary one in tests."""
+    """Make checkpoint() usable: the cluster's folder, or a temporary one in local mode (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ordinate-ckpt-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not (sc.master == "local" or sc.master.startswith("local[")):
+                raise RuntimeError("spark.checkpoint.dir is unset: a cluster needs a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="ordinate-ckpt-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; what lies there goes when the application ends."""
+    ready(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4()}"
+    path, fs = _file_system(spark, folder)
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return folder
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path, fs = _file_system(spark, folder)
+    fs.delete(path, True)
+
+
+def _file_system(spark: SparkSession, folder: str):
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(sc._jsc.hadoopConfiguration())
+
+
+class Workspace:
+    """Tables of one computation, written to the shared folder so that no lost executor makes anything be computed twice, and removed once they are of no use."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, shared_folder(spark, name)
+        self.names: set[str] = set()
+
+    def store(self, name: str, df: DataFrame) -> DataFrame:
+        at = f"{self.folder}/{name}"
+        df.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(at)
+        self.names.add(name)
+        return self.spark.read.schema(df.schema).parquet(at)
+
+    def drop(self, *names: str) -> None:
+        for name in names or tuple(self.names):
+            self.names.discard(name)
+            remove(self.spark, f"{self.folder}/{name}")
+
+    def keep(self, *names: str) -> None:
+        """Drop all others."""
+        for name in self.names - set(names):
+            self.drop(name)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

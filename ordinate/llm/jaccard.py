@@ -2,34 +2,42 @@
 
 Two documents link when the Jaccard similarity of their sets of word shingles
 reaches ``percent`` of 100.  Documents with equal sets form one class and are
-handled as one.  Sets are put in a global order, and a linked pair must share a
-shingle within short prefixes of that order.  The order and the prefixes adapt
-to what candidates cost:
-
-* Every shingle's class frequency is counted over all documents.  Shingles in
-  more than ``small`` classes are *hot* and come last in the order, so a prefix
-  lengthens past them; a document whose prefix still holds fairly frequent
-  shingles lengthens it by one or two more and must then share as many more
-  shingles with a partner (the smaller of both demands) before verification.
-* A document with too few rare shingles (most members of a large group of near
-  copies) keeps hot ones in its prefix.  Their postings are never paired off.
-  Each posting list gets a hub, every member is compared with its hub, and what
-  is not yet connected meets further hubs while that connects many, for
-  ``hub_rounds`` at most; then only members that are still in different
-  components are paired, and only if their hot shingles suffice for a link (the
-  rare ones they share have been met already).  So each pair with a shared
-  prefix shingle is either verified, or already connected, or known not to link.
-
-Verification intersects the whole sets.  Components come from alternating large
-and small stars over the links.
-
-Scale: counts and postings travel packed, sorted and delta-coded, a few bytes a
-shingle, in buckets whose number follows the input.  No posting list is longer
-than ``small`` inside a bucket; hot ones are plain rows that Spark can split.
-The set of hot shingles is a bit field of at most ``hot_bits`` bits; should they
-be too many for it, the bound for hot rises until they fit (a wrong bit only makes a
-shingle hot everywhere alike).  A second bit field of that size names the rows
-whose sets are to be verified.  Nothing else reaches the driver.
+handled as one.
+
+1.  *Frequencies.*  Every shingle meets its namesakes once, in buckets of the
+    hash; each block of documents gets back which of its shingles occur
+    elsewhere and how often.  A class of which fewer than ``percent`` of 100
+    shingles occur elsewhere can't link and is done.
+2.  *Prefixes.*  The rest put their shingles in one global order, rare ones
+    first.  A linked pair shares ``need`` shingles within the first ``n -
+    ceil(n * percent / 100) + need`` of either.  Each class chooses the need
+    for which the estimated cost of its postings and of its candidates (by the
+    frequencies of the shingles) is least; a pair must share the smaller need
+    of the two.
+3.  *Hot shingles* (in more than ``small`` classes) come last in the order, so
+    only a class that is nearly made of them keeps some in its prefix; its need
+    is one.  Their postings are never paired off: they are split by salt, every
+    member of a split meets a hub, the hubs of ``chunk`` members meet the
+    first.  Where a posting list still reaches into several components, one
+    member of each meets the list's hub, for ``hub_rounds`` at most, and what
+    stays apart then is compared in blocks, each pair that sizes and sketches
+    allow.  So each pair with a shared prefix shingle is either verified, or
+    connected already, or known not to link.
+4.  *Verification* intersects the whole sets, of which only shingles that occur
+    elsewhere matter.
+
+Names: a class is told by 128 bits of hash; shingles by 40 bits and their
+bucket, so that two shingles of a verified pair are taken for one with a chance
+of n * n / 2**46 or less for sets of n.
+
+Scale: the texts don't move.  All shingles are shuffled once, packed, sorted
+and delta-coded; those that occur elsewhere return once.  A block sends a
+shingle's owners to its bucket only up to ``local_owners``, more are counted
+where they are.  Nothing is broadcast by hand, only counts reach the driver, and
+every table in between lies in the shared folder until it isn't needed.  The
+blocks' names come from the documents in them, so the plan of ``docs`` must
+give each task the same rows when it runs again, as scans do; otherwise the
+job stops and says so.
 
 Edge cases: null, empty and blank texts have no shingles, no links, and are
 their own component; shorter texts than a shingle have one, the whole text;
@@ -40,18 +48,21 @@ columns are not touched.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_list, checkpointed, map_arrow
+from .common import Workspace, binary_list, map_arrow
 from .hashing import U64, Hasher, hashed, mix
 
-_LOW = U64(0xFFFFFFFF)
+_LOW = U64((1 << 40) - 1)
+_ALONE = 0xFFFF
 
 
 def shingle_sets(texts: list[bytes | None], words: int, hasher: Hasher) -> Iterator[np.ndarray]:
@@ -63,9 +74,10 @@ def shingle_sets(texts: list[bytes | None], words: int, hasher: Hasher) -> Itera
             yield np.unique(hasher.runs(w, min(words, len(w))))
 
 
-def class_of(tokens: np.ndarray) -> int:
-    """A signed 64-bit name of a set."""
-    return int(mix(np.array([np.add.reduce(mix(tokens ^ U64(0x5851F42D4C957F2D))) ^ U64(len(tokens))], U64)).view(np.int64)[0])
+def class_of(tokens: np.ndarray) -> bytes:
+    """A name of 128 bits for a set."""
+    halves = [np.add.reduce(mix(tokens ^ U64(k))) ^ U64(len(tokens)) for k in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
+    return mix(np.array(halves, U64)).tobytes()
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -73,485 +85,448 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 def pack(keys: np.ndarray) -> bytes:
-    """Sorted 32-bit numbers as differences, byte by byte, so that the next compressor finds the zeros."""
-    steps = np.diff(keys.astype(np.uint32), prepend=np.uint32(0)).astype("<u4")
-    return steps.view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Sorted numbers of 40 bits as differences, byte by byte, so that the next compressor finds the zeros."""
+    steps = np.diff(keys.astype("<u8"), prepend=np.zeros(1, "<u8"))
+    return steps.view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes()
 
 
 def unpack(data) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(4, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
+    planes = np.frombuffer(data, np.uint8).reshape(5, -1)
+    wide = np.zeros((planes.shape[1], 8), np.uint8)
+    wide[:, :5] = planes.T
+    return np.cumsum(wide.view("<u8").ravel(), dtype=U64)
 
 
-def short(tokens: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket number and 32 further bits: what stands for a token where candidates are sought."""
-    return ((tokens >> U64(32)) % U64(buckets) << U64(32)) | (tokens & _LOW)
+def starts(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal entries start."""
+    n = len(sorted_columns[0])
+    new = np.zeros(n, bool)
+    if n:
+        new[0] = True
+        for c in sorted_columns:
+            new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
 
 
-def stretches(starts: np.ndarray, end: int) -> list[slice]:
-    """From each start to the next one, the last to the end."""
-    edges = [*starts.tolist(), end] if len(starts) else []
-    return [slice(lo, hi) for lo, hi in zip(edges, edges[1:], strict=False)]
+def code(df) -> np.ndarray:
+    """Frequencies in a byte: exact below 200, powers of two above."""
+    df = np.maximum(np.asarray(df, np.float64), 1)
+    return np.where(df < 200, df, np.minimum(255, 200 + np.floor(np.log2(np.maximum(df, 200) / 200)))).astype(np.uint8)
 
 
-def by_bucket(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
-    """The stretches of sorted short keys that share a bucket."""
-    top = (keys >> U64(32)).astype(np.int64)
-    for s in stretches(np.flatnonzero(np.diff(top, prepend=-1)), len(top)):
-        yield int(top[s.start]), s
+def uncode(c: np.ndarray) -> np.ndarray:
+    c = c.astype(np.int64)
+    return np.where(c < 200, c, 200 * 2 ** np.maximum(0, c - 200))
 
 
-class Bits:
-    """A set of 64-bit keys in two bits each, with false members but none missing."""
+def best_need(df: np.ndarray, take: int, n: int, small: int) -> int:
+    """How many prefix shingles to ask for, when ``df`` are the frequencies in order and ``take`` of them make the shortest prefix.
 
-    def __init__(self, size: int):
-        self.size = size
-        self.bits = np.zeros(size // 8, np.uint8)
-
-    @staticmethod
-    def places(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        h = mix(keys)
-        return (h % U64(size)).astype(np.int64), (mix(h) % U64(size)).astype(np.int64)
-
-    def holds(self, keys: np.ndarray) -> np.ndarray:
-        one, two = self.places(keys, self.size)
-        bit = lambda at: self.bits[at >> 3] >> (at & 7).astype(np.uint8)
-        return bit(one) & bit(two) & 1 == 1
-
-
-def bits_of(rows: DataFrame, keys, size: int, segment: int = 1 << 16) -> Bits:
-    """The keys that ``keys`` takes from each batch of rows as a bit set, put together from segments that are built apart."""
-
-    def places(batches):
-        for batch in batches:
-            at = np.unique(np.concatenate(Bits.places(keys(batch), size)))
-            number, cuts = np.unique(at // segment, return_index=True)
-            parts = [at[s].astype("<u4").tobytes() for s in stretches(cuts, len(at))]
-            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(parts, pa.binary())], names=["number", "places"])
-
-    def joined(group: pa.Table) -> pa.Table:
-        number = group.column("number")[0].as_py()
-        bits = np.zeros(segment, np.uint8)
-        for x in group.column("places"):
-            bits[np.frombuffer(x.as_buffer(), "<u4") - number * segment] = 1
-        return pa.table({"number": pa.array([number], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
-
-    out = Bits(size)
-    for r in map_arrow(rows, places, "number bigint, places binary").groupBy("number").applyInArrow(joined, "number bigint, bits binary").collect():
-        at = r["number"] * segment // 8
-        out.bits[at : at + segment // 8] = np.frombuffer(r["bits"], np.uint8)
-    return out
-
-
-def _room(n: int, bits: int, most: int) -> int:
-    """A size for a bit set of n keys, a power of two from 2 ** 16 to most."""
-    return min(most, 1 << max(16, (bits * max(1, n) - 1).bit_length()))
+    The cost is four units for a posting and n for a candidate, of which there
+    are at most the entries in the posting lists by the need.
+    """
+    cheap = int(np.searchsorted(df, small, side="right"))
+    if take > cheap:
+        return 1
+    need = np.arange(1, cheap - take + 2)
+    candidates = np.cumsum(df[:cheap].astype(np.int64) - 1)[take - 1 :] / need
+    return int(np.argmin(4.0 * (take + need - 1) + n * candidates)) + 1
 
 
 class Join:
-    def __init__(self, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, small: int = 12, hub_rounds: int = 3, hot_bits: int = 1 << 27, bucket_bytes: int = 16 << 20, seed: int = 1):
+    def __init__(self, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, small: int = 12, hub_rounds: int = 2, chunk: int = 512, split: int = 4096, local_owners: int = 64, bucket_bytes: int = 16 << 20, block_shingles: int = 1 << 21, one_task: int = 1 << 22, seed: int = 1):
         self.spark = docs.sparkSession
-        self.docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-        self.words, self.percent, self.small, self.hub_rounds, self.hot_bits, self.seed = words, percent, small, hub_rounds, hot_bits, seed
-        size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b")).first()["b"]
-        self.buckets = max(8, math.ceil(size / bucket_bytes))
+        self.docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+        self.words, self.percent, self.small, self.hub_rounds, self.chunk, self.split = words, percent, small, hub_rounds, chunk, split
+        self.local_owners, self.block_shingles, self.one_task, self.seed = min(local_owners, _ALONE - 1), block_shingles, one_task, seed
+        size = self.docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
+        self.rows, self.buckets = size["n"], max(8, math.ceil(size["b"] / bucket_bytes))
+        self.space = Workspace(self.spark, "jaccard")
+
+    # Sets and frequencies
 
-    def _map(self, df: DataFrame, make, schema: str) -> DataFrame:
-        """make() gives a generator of batches from (batch, sets of its texts)."""
+    def members(self) -> DataFrame:
+        """doc_id, mark (MD5 of the text), n, class (null without shingles): one row for each document."""
         words, seed = self.words, self.seed
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hasher, work = Hasher(seed, lower=True), make()
+            hasher = Hasher(seed, lower=True)
             for batch in batches:
-                yield from work(batch, shingle_sets(binary_list(batch.column("text")), words, hasher))
-
-        return map_arrow(df, run, schema)
-
-    # Which shingles are hot
-
-    def counts(self) -> DataFrame:
-        """bucket, low (packed), df (16 bits each): the shingles in more than one class, with their class frequencies (65535: at least)."""
-        buckets = self.buckets
-
-        def make():
-            def packed(kept):
-                keys, n = np.unique(short(np.concatenate(kept), buckets), return_counts=True)
-                rows = list(by_bucket(keys))
-                low = [pack((keys[s] & _LOW).astype(np.uint32)) for _, s in rows]
-                many = [np.minimum(n[s], 65535).astype("<u2").tobytes() for _, s in rows]
-                return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array(low, pa.binary()), pa.array(many, pa.binary())], names=["bucket", "low", "df"])
-
-            def work(batch, sets):
-                seen, kept, size = set(), [], 0
-                for s in sets:
-                    if len(s) and (c := class_of(s)) not in seen:
-                        seen.add(c)
-                        kept.append(s)
-                        size += len(s)
-                        if size > 1 << 21:
-                            yield packed(kept)
-                            kept, size = [], 0
-                if kept:
-                    yield packed(kept)
-
-            return work
-
-        def total(group: pa.Table) -> pa.Table:
-            bucket = group.column("bucket")[0].as_py()
-            low = np.concatenate([unpack(x.as_buffer()) for x in group.column("low")]).astype(U64)
-            df = np.concatenate([np.frombuffer(x.as_buffer(), "<u2") for x in group.column("df")]).astype(U64)
-            both = np.sort(low << U64(16) | df)
-            low = both >> U64(16)
-            first = np.flatnonzero(np.diff(low, prepend=~low[:1]))
-            df = np.add.reduceat(both & U64(0xFFFF), first)
-            keep = df > U64(1)
-            low, df = low[first][keep], np.minimum(df[keep], U64(65535))
-            return pa.table({"bucket": pa.array([bucket], pa.int32()), "low": pa.array([pack(low)], pa.binary()), "df": pa.array([df.astype("<u2").tobytes()], pa.binary())})
-
-        packed = self._map(self.docs, make, "bucket int, low binary, df binary")
-        return packed.groupBy("bucket").applyInArrow(total, "bucket int, low binary, df binary")
-
-    def filters(self) -> tuple[Bits, Bits]:
-        """Hot shingles, and those that are in several classes but not hot."""
-        counts = checkpointed(self.counts())
-        bounds = sorted({1, 2, 3, 4, 6, 8, self.small, *(2**i for i in range(4, 17) if 2**i > self.small)})
-
-        def over(batches):
-            for batch in batches:
-                df = [np.frombuffer(x.as_buffer(), "<u2") for x in batch.column("df")]
-                yield pa.RecordBatch.from_arrays([pa.array(bounds, pa.int64()), pa.array([int(sum((d > b).sum() for d in df)) for b in bounds], pa.int64())], names=["bound", "n"])
-
-        held = {r["bound"]: r["n"] for r in map_arrow(counts, over, "bound bigint, n bigint").groupBy("bound").agg(F.sum("n").alias("n")).collect()}
-        most = self.hot_bits // 16
-        fits = lambda least: next((b for b in bounds if b >= least and held.get(b, 0) <= most), bounds[-1])
-        self.hot_bound, warm_bound = fits(self.small), fits(1)
-
-        def between(above: int, upto: int):
-            def keys(batch):
-                out = [np.empty(0, U64)]
-                for b, low, df in zip(batch.column("bucket").to_pylist(), batch.column("low"), batch.column("df"), strict=True):
-                    df = np.frombuffer(df.as_buffer(), "<u2")
-                    out.append(unpack(low.as_buffer())[(df > above) & (df <= upto)].astype(U64) | U64(b << 32))
-                return np.concatenate(out)
-
-            return keys
-
-        hot = bits_of(counts, between(self.hot_bound, 65535), _room(held.get(self.hot_bound, 0), 32, self.hot_bits))
-        return hot, bits_of(counts, between(warm_bound, self.hot_bound), _room(held.get(warm_bound, 0), 16, self.hot_bits))
-
-    # Candidates
-
-    def _prefix(self, s: np.ndarray, hot: Bits, warm: Bits) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
-        """A set's rare prefix shingles, how many of them a partner must share, the hot ones that fill the prefix up, and all hot ones."""
-        k = short(s, self.buckets)
-        is_hot = hot.holds(k)
-        rare, p, need = k[~is_hot], prefix_size(len(s), self.percent), 1
-        if len(rare) > p and warm.holds(rare[:p]).any():
-            need = min(1 + p // 2, len(rare) - p + 1, 65535)
-        return rare[: p + need - 1], need, k[is_hot][: max(0, p - len(rare))], k[is_hot]
-
-    def postings(self, held) -> DataFrame:
-        """Packed postings of rare prefix shingles: bucket, low, classes (the distinct owners), owner (their places in it), need."""
-        prefix = self._prefixer()
-
-        def make():
-            hot, warm = held.value
-
-            def work(batch, sets):
-                seen, keys, owners, needs = set(), [], [], []
-                for s in sets:
-                    if not len(s) or (c := class_of(s)) in seen:
-                        continue
-                    seen.add(c)
-                    chosen, need, _, _ = prefix(s, hot, warm)
-                    keys.append(chosen)
-                    owners.append(np.full(len(chosen), c, np.int64))
-                    needs.append(np.full(len(chosen), need, "<u2"))
-                if not keys:
-                    return
-                keys, owners, needs = np.concatenate(keys), np.concatenate(owners), np.concatenate(needs)
-                order = np.argsort(keys, kind="stable")
-                keys, owners, needs = keys[order], owners[order], needs[order]
-                out = {n: [] for n in ("bucket", "low", "classes", "owner", "need")}
-                for b, at in by_bucket(keys):
-                    classes, owner = np.unique(owners[at], return_inverse=True)
-                    wide = "<u2" if len(classes) <= 1 << 16 else "<u4"
-                    for n, v in zip(out, (b, pack(keys[at] & _LOW), classes.tobytes(), owner.astype(wide).tobytes(), needs[at].tobytes()), strict=True):
-                        out[n].append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if n == "bucket" else pa.binary()) for n, v in out.items()], names=list(out))
-
-            return work
-
-        return self._map(self.docs, make, "bucket int, low binary, classes binary, owner binary, need binary")
-
-    def _prefixer(self):
-        """_prefix without what must stay on the driver."""
-        bare = object.__new__(Join)
-        bare.buckets, bare.percent = self.buckets, self.percent
-        return bare._prefix
-
-    def _rows(self) -> DataFrame:
-        """The rows with mark (names the text) and row (names id and text)."""
-        return self.docs.select("doc_id", F.md5("text").alias("mark"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", F.md5("text")).alias("row"))
-
-    def members(self, held) -> DataFrame:
-        """doc_id, mark, row, n, class (null without shingles), hot (the hot shingles in its prefix, packed), n_hot (of all), sketch (how many of all fall to each of 128 hash cells; null if too many for a byte)."""
-        prefix = self._prefixer()
-
-        def make():
-            hot, warm = held.value
-
-            def work(batch, sets):
-                n, c, h, m, k = [], [], [], [], []
-                for s in sets:
-                    n.append(len(s))
-                    c.append(class_of(s) if len(s) else None)
-                    _, _, keys, all_hot = prefix(s, hot, warm) if len(s) else ((), 1, (), ())
-                    h.append(keys.tobytes() if len(keys) else None)
-                    m.append(len(all_hot))
-                    cells = np.bincount((mix(all_hot) >> U64(57)).astype(np.int64), minlength=128) if len(keys) else None
-                    k.append(cells.tolist() if cells is not None and cells.max() < 128 else None)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), batch.column("row"), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(h, pa.binary()), pa.array(m, pa.int64()), pa.array(k, pa.list_(pa.int8()))], names=["doc_id", "mark", "row", "n", "class", "hot", "n_hot", "sketch"])
-
-            return work
+                sets = list(shingle_sets(binary_list(batch.column("text")), words, hasher))
+                names = [class_of(s) if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary())], names=["doc_id", "mark", "n", "class"])
 
         kind = dict(self.docs.dtypes)["doc_id"]
-        return self._map(self._rows(), make, f"doc_id {kind}, mark string, row bigint, n bigint, class bigint, hot binary, n_hot bigint, sketch array<tinyint>")
+        rows = self.docs.select("doc_id", F.md5("text").alias("mark"), F.coalesce("text", F.lit("")).alias("text"))
+        return map_arrow(rows, run, f"doc_id {kind}, mark string, n bigint, class binary")
 
-    @staticmethod
-    def hot_rows(members: DataFrame) -> DataFrame:
-        """key, class, n, n_hot: each class that keeps hot shingles in its prefix, with those."""
-        one = members.where("hot is not null").groupBy("class").agg(*[F.first(c).alias(c) for c in ("hot", "n", "n_hot")])
+    def blocks(self) -> DataFrame:
+        """What blocks of documents send: rows for the buckets (key from 0), and one for the block itself (key below 0).
+
+        To a bucket: low (the shingles, sorted and packed), own (the place of
+        the owner in the block, or 65535 for a shingle with many owners), many
+        (how many).  To itself: low and own of the shingles with many owners,
+        many (their estimated frequency, coded), classes, sizes and the number
+        of rows that buckets got.
+        """
+        words, seed, buckets, limit, local, rows = self.words, self.seed, U64(self.buckets), self.block_shingles, self.local_owners, self.rows
+        names = ("key", "block", "low", "own", "many", "classes", "sizes", "pieces")
+        types = (pa.int64(), *[pa.binary()] * 6, pa.int64())
+
+        def flush(kept: dict[bytes, np.ndarray], ordinal: int) -> pa.RecordBatch:
+            sizes = np.array([len(s) for s in kept.values()], "<u4")
+            tokens, own = np.concatenate(list(kept.values())), np.repeat(np.arange(len(sizes), dtype="<u2"), sizes)
+            keys = (tokens >> U64(40)) % buckets << U64(40) | tokens & _LOW
+            order = np.argsort(keys, kind="stable")
+            keys, own = keys[order], own[order]
+            first = starts(keys)
+            times = np.diff(first, append=len(keys))
+            heavy = np.repeat(times > local, times)
+            sent = np.zeros(len(keys), bool)
+            sent[first] = True
+            sent |= ~heavy
+            task = TaskContext.get().partitionId()
+            block = hashlib.md5(b"".join([*kept, b"%d %d" % (task, ordinal)])).digest()
+            out = []
+            k, o, alone = keys[sent], np.where(heavy, _ALONE, own)[sent].astype("<u2"), np.repeat(times, times)[sent]
+            top = (k >> U64(40)).astype(np.int64)
+            at = starts(top)
+            for lo, hi in zip(at, [*at[1:], len(top)], strict=True):
+                part = slice(lo, hi)
+                out.append((int(top[lo]), block, pack(k[part] & _LOW), o[part].tobytes(), alone[part][o[part] == _ALONE].astype("<u4").tobytes(), None, None, None))
+            share = rows / len(sizes)  # what a block holds, times the number of such blocks
+            out.append((-1 - int.from_bytes(block[:7], "big"), block, keys[heavy].astype("<u8").tobytes(), own[heavy].tobytes(), code(np.repeat(times, times)[heavy] * share).tobytes(), b"".join(kept), sizes.tobytes(), len(out)))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=list(names))
 
-        def opened(batches):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hasher, kept, held, ordinal = Hasher(seed, lower=True), {}, 0, 0
             for batch in batches:
-                keys = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("hot")]
-                many = [len(x) for x in keys]
-                others = [pa.array(np.repeat(batch.column(c).to_numpy(), many)) for c in ("class", "n", "n_hot")]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *keys])), *others], names=["key", "class", "n", "n_hot"])
+                for s in shingle_sets(binary_list(batch.column("text")), words, hasher):
+                    if len(s) and (name := class_of(s)) not in kept:
+                        kept[name] = s
+                        held += len(s)
+                        if held > limit or len(kept) == _ALONE:
+                            yield flush(kept, ordinal)
+                            kept, held, ordinal = {}, 0, ordinal + 1
+            if kept:
+                yield flush(kept, ordinal)
+
+        return map_arrow(self.docs.select("text"), run, "key bigint, block binary, low binary, own binary, many binary, classes binary, sizes binary, pieces bigint")
+
+    def replies(self, blocks: DataFrame) -> DataFrame:
+        """To each block, from each bucket it wrote to: low, own and df (coded) of the shingles that occur elsewhere; and its own row."""
+
+        def count(group: pa.Table) -> pa.Table:
+            key = group.column("key")[0].as_py()
+            if key < 0:
+                return group.rename_columns({"many": "df"})
+            low = [unpack(x.as_buffer()) for x in group.column("low")]
+            own = [np.frombuffer(x.as_buffer(), "<u2") for x in group.column("own")]
+            sizes = [len(x) for x in low]
+            all_low, weight = np.concatenate(low), np.ones(sum(sizes), np.int64)
+            weight[np.concatenate(own) == _ALONE] = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in group.column("many")])
+            order = np.argsort(all_low, kind="stable")
+            first = starts(all_low[order])
+            df = np.add.reduceat(weight[order], first) if len(first) else weight
+            coded = np.empty(len(all_low), np.uint8)
+            coded[order] = np.repeat(code(df), np.diff(first, append=len(order)))
+            out = []
+            for x, o, c in zip(low, own, np.split(coded, np.cumsum(sizes)[:-1]), strict=True):
+                keep = (c > 1) & (o != _ALONE)
+                out.append((pack(x[keep]), o[keep].tobytes(), c[keep].tobytes()))
+            low, own, df = (pa.array(c, pa.binary()) for c in zip(*out, strict=True))
+            return pa.table([group.column("key"), group.column("block"), low, own, df, *[group.column(c) for c in ("classes", "sizes", "pieces")]], names=["key", "block", "low", "own", "df", "classes", "sizes", "pieces"])
 
-        return map_arrow(one, opened, "key bigint, class bigint, n bigint, n_hot bigint")
+        return blocks.groupBy("key").applyInArrow(count, "key bigint, block binary, low binary, own binary, df binary, classes binary, sizes binary, pieces bigint")
 
-    def _may_link(self, a: str, b: str) -> str:
-        """Whether the hot shingles alone can make a link of two classes.
+    def candidates(self, replies: DataFrame) -> DataFrame:
+        """class, n, tokens, df, sketch: each class of which enough shingles occur elsewhere, with those in the global order, their frequencies (coded), and how many of them fall to each of 128 hash cells (null if too many for a byte).
 
-        A class that keeps hot shingles in its prefix has posted all its rare
-        ones; so two of them that share a rare one are compared for that, and
-        any other two share hot ones at most.
+        A class that is in several blocks comes several times.
         """
-        return f"{100 + self.percent} * least(n_hot{a}, n_hot{b}) >= {self.percent} * (n{a} + n{b})"
+        percent, small = self.percent, self.small
+
+        def gather(group: pa.Table) -> pa.Table:
+            tokens, own, df, header = [], [], [], None
+            for r in range(group.num_rows):
+                key, low = group.column("key")[r].as_py(), group.column("low")[r].as_buffer()
+                if key < 0:
+                    header = r
+                    tokens.append(np.frombuffer(low, "<u8"))
+                else:
+                    tokens.append(unpack(low) | U64(key << 40))
+                own.append(np.frombuffer(group.column("own")[r].as_buffer(), "<u2"))
+                df.append(np.frombuffer(group.column("df")[r].as_buffer(), np.uint8))
+            if header is None or group.column("pieces")[header].as_py() != group.num_rows - 1:
+                raise RuntimeError("a task got other rows when it ran again: write docs to a table first")
+            sizes = np.frombuffer(group.column("sizes")[header].as_buffer(), "<u4").astype(np.int64)
+            names = group.column("classes")[header].as_py()
+            tokens, own, df = np.concatenate(tokens), np.concatenate(own), np.concatenate(df)
+            order = np.lexsort((tokens, np.minimum(df, small + 1), own))
+            tokens, own, df = tokens[order], own[order], df[order]
+            shared = np.bincount(own, minlength=len(sizes))
+            ends = np.cumsum(shared)
+            out = {c: [] for c in ("class", "n", "tokens", "df", "sketch")}
+            for i in np.flatnonzero((100 * shared >= percent * sizes) & (shared > 0)):
+                part = slice(ends[i] - shared[i], ends[i])
+                cells = np.bincount((mix(tokens[part]) >> U64(57)).astype(np.int64), minlength=128)
+                for c, v in zip(out, (names[16 * i : 16 * i + 16], int(sizes[i]), tokens[part].tobytes(), df[part].tobytes(), cells.astype(np.uint8).tobytes() if cells.max() < 256 else None), strict=True):
+                    out[c].append(v)
+            return pa.table([pa.array(v, pa.int64() if c == "n" else pa.binary()) for c, v in out.items()], names=list(out))
+
+        return replies.groupBy("block").applyInArrow(gather, "class binary, n bigint, tokens binary, df binary, sketch binary")
+
+    # Candidate pairs
+
+    def postings(self, sets: DataFrame) -> DataFrame:
+        """key, and packed: token, salt, c, n, need, open (whether other splits of the list exist) of prefix shingles."""
+        percent, small, split, groups = self.percent, self.small, self.split, self.buckets
+        kinds = {"token": "<u8", "salt": "<u4", "c": "<i8", "n": "<u4", "need": "<u4", "open": np.uint8}
 
-    def pairs(self, postings: DataFrame) -> DataFrame:
-        """a < b: classes that share as many rare prefix shingles as either asks for."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                cols = {k: [] for k in kinds}
+                for c, n, t, d in zip(batch.column("c").to_pylist(), batch.column("n").to_pylist(), batch.column("tokens"), batch.column("df"), strict=True):
+                    t, d = np.frombuffer(t.as_buffer(), "<u8"), np.frombuffer(d.as_buffer(), np.uint8)
+                    take = prefix_size(n, percent) - (n - len(t))
+                    need = best_need(np.minimum(d, small + 1), take, n, small)
+                    t, d = t[: take + need - 1], d[: take + need - 1]
+                    parts = np.maximum(1, -(-uncode(d) // split))
+                    salt = mix(np.array([c], np.int64).view(U64))[0] % parts.astype(U64)
+                    for k, v in zip(kinds, (t, salt, c, n, need, parts > 1), strict=True):
+                        cols[k].append(np.broadcast_to(v, len(t)).astype(kinds[k]))
+                if not cols["token"]:
+                    continue
+                cols = {k: np.concatenate(v) for k, v in cols.items()}
+                key = (mix(cols["token"] + cols["salt"].astype(U64) * U64(0x9E3779B97F4A7C15)) % U64(groups)).astype(np.int64)
+                order = np.argsort(key, kind="stable")
+                key, cols = key[order], {k: v[order] for k, v in cols.items()}
+                at = starts(key)
+                ends = [*at[1:], len(key)]
+                yield pa.RecordBatch.from_arrays([pa.array(key[at]), *[pa.array([v[lo:hi].tobytes() for lo, hi in zip(at, ends, strict=True)], pa.binary()) for v in cols.values()]], names=["key", *cols])
+
+        return map_arrow(sets.select("c", "n", "tokens", "df"), run, "key bigint, " + ", ".join(f"{k} binary" for k in kinds))
+
+    def met(self, postings: DataFrame) -> DataFrame:
+        """Pairs a < b with the number of prefix shingles they share and the need; and, with need 0, the entries of long lists: a the shingle, b the class, shared its size."""
+        small, chunk, percent = self.small, self.chunk, self.percent
+        kinds = {"token": "<u8", "salt": "<u4", "c": "<i8", "n": "<u4", "need": "<u4", "open": np.uint8}
 
         def meet(group: pa.Table) -> pa.Table:
-            low = np.concatenate([unpack(x.as_buffer()) for x in group.column("low")])
-            owner = []
-            for x, y, low_of in zip(group.column("classes"), group.column("owner"), group.column("low"), strict=True):
-                size = len(low_of.as_buffer()) // 4
-                place = np.frombuffer(y.as_buffer(), "<u2" if len(y.as_buffer()) == 2 * size else "<u4")
-                owner.append(np.frombuffer(x.as_buffer(), np.int64)[place])
-            owner = np.concatenate(owner)
-            need = np.concatenate([np.frombuffer(x.as_buffer(), "<u2") for x in group.column("need")])
-            # Shingles of one owner only go first; the rest is small.
-            order = np.argsort(low, kind="stable")
-            low = low[order]
-            same = low[1:] == low[:-1]
-            live = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            low, owner, need = low[live], owner[order][live], need[order][live]
-            order = np.lexsort((owner, low))
-            low, owner, need = low[order], owner[order], need[order]
-            fresh = np.ones(len(low), bool)
-            fresh[1:] = (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])
-            low, owner, need = low[fresh], owner[fresh], need[fresh]
-            first = np.flatnonzero(np.diff(low.astype(np.int64), prepend=-1))
-            size = np.diff(first, append=len(low))
-            out = []
-            for m in np.unique(size[size > 1]):
+            token, salt, c, n, need, is_open = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in group.column(k)]) for k, t in kinds.items())
+            order = np.lexsort((c, salt, token))
+            token, salt, c, n, need, is_open = token[order], salt[order], c[order], n[order].astype(np.int64), need[order].astype(np.int64), is_open[order]
+            first = starts(token, salt)
+            size = np.diff(first, append=len(token))
+            pairs = []
+            for m in np.unique(size[(size > 1) & (size <= small)]):
                 at = first[size == m][:, None] + np.arange(m)
                 i, j = np.triu_indices(m, 1)
-                out.append((owner[at[:, i]].ravel(), owner[at[:, j]].ravel(), np.minimum(need[at[:, i]], need[at[:, j]]).ravel()))
-            a, b, k = (np.concatenate([x[i] for x in out]) if out else np.empty(0, np.int64) for i in range(3))
+                pairs.append((at[:, i].ravel(), at[:, j].ravel()))
+            rank = np.arange(len(token)) - np.repeat(first, size)
+            in_long = np.repeat(size > small, size)
+            whole = np.repeat(first, size)
+            hub = whole + rank // chunk * chunk
+            hub = np.where(rank % chunk == 0, whole, hub)
+            members = np.flatnonzero(in_long & (rank > 0))
+            pairs.append((hub[members], members))
+            i, j = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+            fits = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+            i, j = i[fits], j[fits]
+            a, b, k = c[i], c[j], np.minimum(need[i], need[j])
             order = np.lexsort((b, a))
-            a, b, k = a[order], b[order], k[order].astype(np.int64)
-            first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.empty(0, np.int64)
-            return pa.table({"a": a[first], "b": b[first], "shared": np.diff(first, append=len(a)), "need": np.minimum.reduceat(k, first) if len(first) else k})
+            a, b, k = a[order], b[order], k[order]
+            at = starts(a, b)
+            listed = np.flatnonzero(in_long | (is_open > 0))
+            least = np.minimum.reduceat(k, at) if len(at) else k
+            return pa.table({"a": np.concatenate([a[at], token[listed].view(np.int64)]), "b": np.concatenate([b[at], c[listed]]), "shared": np.concatenate([np.diff(at, append=len(a)), n[listed]]), "need": np.concatenate([least, np.zeros(len(listed), np.int64)])})
 
-        met = postings.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint, shared bigint, need bigint")
-        return met.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("a", "b")
+        return postings.groupBy("key").applyInArrow(meet, "a bigint, b bigint, shared bigint, need bigint")
 
     # Verification
 
-    def sets(self, members: DataFrame, classes: DataFrame) -> DataFrame:
-        """class, n, tokens: the whole sets of the given classes.
-
-        One row stands for each class.  The rows wanted reach the executors as a
-        filter of bounded size, so texts stay where they are; a row that slips
-        through adds a set that nobody asks for.
-        """
-        rows = members.join(classes, "class", "left_semi").groupBy("class").agg(F.min("row").alias("row"))
-        rows = checkpointed(rows.select("row"))
-        wanted = bits_of(rows, lambda batch: batch.column("row").to_numpy().view(U64), _room(rows.count(), 32, self.hot_bits))
-        held = self.spark.sparkContext.broadcast(wanted)
-
-        def run(batches, words=self.words, seed=self.seed):
-            hasher, wanted = Hasher(seed, lower=True), held.value
-            for batch in batches:
-                batch = batch.filter(pa.array(wanted.holds(batch.column("row").to_numpy().view(U64))))
-                kept = {class_of(s): s for s in shingle_sets(binary_list(batch.column("text")), words, hasher) if len(s)}
-                yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.int64()), pa.array([len(s) for s in kept.values()], pa.int64()), pa.array([s.tobytes() for s in kept.values()], pa.binary())], names=["class", "n", "tokens"])
-
-        found = map_arrow(self._rows().select("text", "row"), run, "class bigint, n bigint, tokens binary")
-        repeated = members.groupBy("class", "row").count().where("count > 1").join(rows, "row", "left_semi")
-        return found if repeated.isEmpty() else found.dropDuplicates(["class"])
-
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs that link."""
         percent = self.percent
-        left, right = (sets.select(F.col("class").alias(s), F.col("n").alias(f"n_{s}"), F.col("tokens").alias(f"t_{s}")) for s in "ab")
-        near = pairs.join(left.drop("t_a"), "a").join(right.drop("t_b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b")
-        both = near.join(left, "a").join(right, "b").select("a", "b", "t_a", "t_b")
+        sides = (sets.select(F.col("c").alias(s), F.col("n").alias(f"n_{s}"), F.col("tokens").alias(f"t_{s}")) for s in "ab")
+        both = pairs
+        for s, side in zip("ab", sides, strict=True):
+            both = both.join(side.join(pairs.select(s).distinct(), s, "left_semi"), s)
 
-        def run(batches):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = []
-                for x, y in zip(batch.column("t_a"), batch.column("t_b"), strict=True):
-                    x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                    inter = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * inter >= percent * (len(x) + len(y) - inter))
+                for m, n, x, y in zip(batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist(), batch.column("t_a"), batch.column("t_b"), strict=True):
+                    both = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")]))
+                    inter = int((both[1:] == both[:-1]).sum())
+                    keep.append(100 * inter >= percent * (m + n - inter))
                 mask = pa.array(keep, pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
-        # A set that came twice would tell a pair twice.
-        return map_arrow(both, run, "a bigint, b bigint").distinct()
+        return map_arrow(both.select("a", "b", "n_a", "n_b", "t_a", "t_b"), run, "a bigint, b bigint")
+
+    # Long lists
+
+    def _open(self, lists: DataFrame, labels: DataFrame, k: int) -> DataFrame:
+        """key, c, n, root of the long lists that reach into several components; of lists with the same members one stays."""
+        rooted = lists.join(labels.select(F.col("v").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+        same = [F.sum(F.xxhash64("c", F.lit(i)).cast("decimal(20,0)")).alias(f"h{i}") for i in (0, 1)]
+        keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"), *same).where("lo < hi")
+        keys = keys.groupBy("m", "h0", "h1").agg(F.min("key").alias("key")).select("key")
+        return self.space.store(f"open{k}", rooted.join(keys, "key", "left_semi").select("key", "c", "n", "root"))
+
+    def _hub_pairs(self, rows: DataFrame, k: int) -> DataFrame:
+        """One member of each component in a list, paired with that of the component that holds most of the list."""
+        pick = F.min(F.struct(F.xxhash64("c", F.lit(k)).alias("h"), "c", "n"))
+        heads = rows.groupBy("key", "root").agg(pick.alias("s"), F.count(F.lit(1)).alias("m")).select("key", "root", "s.c", "s.n", "m")
+        hubs = heads.groupBy("key").agg(F.max(F.struct("m", F.xxhash64("root", F.lit(k)), "root", "c", "n")).alias("s")).select("key", F.col("s.root").alias("root2"), F.col("s.c").alias("c2"), F.col("s.n").alias("n2"))
+        pairs = heads.join(hubs, "key").where("root != root2").where(f"100 * least(n, n2) >= {self.percent} * greatest(n, n2)")
+        return pairs.select(F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b")).distinct()
+
+    def _cross_pairs(self, rows: DataFrame, sets: DataFrame, block: int = 512) -> DataFrame:
+        """a < b: the members of a list that are in different components and that sizes and sketches let link.
+
+        The component that holds most of a list is not compared with itself:
+        its members meet the others only, block by block.
+        """
+        percent = self.percent
+        most = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "root")).alias("s"), F.sum("m").alias("all"))
+        most = most.select("key", F.col("s.root").alias("main"), F.ceil(F.col("s.m") / block).alias("mains"), F.ceil((F.col("all") - F.col("s.m")) / block).alias("others"))
+        place = F.xxhash64("c", F.lit(7))
+        rows = rows.join(most, "key").withColumn("is_main", F.col("root") == F.col("main"))
+        rows = rows.withColumn("at", F.when(F.col("is_main"), -1 - F.pmod(place, F.col("mains"))).otherwise(F.pmod(place, F.col("others"))))
+        others, mains = F.sequence(F.lit(0).cast("bigint"), F.col("others") - 1), F.sequence(-F.col("mains"), F.lit(-1).cast("bigint"))
+        rows = rows.withColumn("with", F.explode(F.when(F.col("is_main"), others).otherwise(F.concat(mains, others))))
+        rows = rows.join(sets.select("c", "sketch"), "c").select("key", F.least("at", "with").alias("lo"), F.greatest("at", "with").alias("hi"), "at", "c", "n", "root", "sketch")
+
+        def compare(group: pa.Table) -> pa.Table:
+            at, lo, c, n, root = (group.column(x).to_numpy() for x in ("at", "lo", "c", "n", "root"))
+            full = np.array([255 * 128 if x is None else 0 for x in group.column("sketch").to_pylist()])
+            cells = np.array([np.frombuffer(x, np.uint8) if x is not None else np.full(128, 255, np.uint8) for x in group.column("sketch").to_pylist()])
+            out = []
+            one = np.flatnonzero(at == lo)
+            other = one if group.column("hi")[0].as_py() == lo[0] else np.flatnonzero(at != lo)
+            for i in one:
+                j = other[(root[other] != root[i]) & (100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i]))]
+                common = np.minimum(cells[j], cells[i]).sum(axis=1, dtype=np.int64)
+                ok = ((100 + percent) * common >= percent * (n[j] + n[i])) | (full[j] > 0) | (full[i] > 0)
+                out.append(np.stack([np.minimum(c[i], c[j[ok]]), np.maximum(c[i], c[j[ok]])]))
+            a, b = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.empty((2, 0), np.int64)
+            return pa.table({"a": a, "b": b})
+
+        return rows.groupBy("key", "lo", "hi").applyInArrow(compare, "a bigint, b bigint").distinct()
+
+    # All together
 
     def run(self) -> DataFrame:
-        """doc_id, mark, n_shingles, class, root (names the component), component_id, n_links (of the class, among the links that were found)."""
-        held = self.spark.sparkContext.broadcast(self.filters())
-        pairs = checkpointed(self.pairs(self.postings(held)))
-        members = checkpointed(self.members(held))
-        hot = self.hot_rows(members)
-        hot = checkpointed(hot.coalesce(max(8, self.buckets)))
-        n_hot = hot.count()
-        hub = F.min(F.struct("class", "n", "n_hot"))
-        hubs = hot.groupBy("key").agg(hub.alias("h"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", F.col("h.class").alias("hub"), F.col("h.n").alias("n2"), F.col("h.n_hot").alias("n_hot2"))
-        stars = hot.join(hubs, "key").where("class != hub").where(self._may_link("", "2")).select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct()
-        pairs = checkpointed(pairs.union(stars).distinct())
-        # Every class that any round may have to verify: a link takes this share of the whole set at least.
-        later = hot.where(f"100 * n_hot >= {self.percent} * n").select("class")
-        able = pairs.select(F.explode(F.array("a", "b")).alias("class")).union(later).distinct()
-        sets = checkpointed(self.sets(members, able))
-        n_pairs = pairs.count()
-        links = checkpointed(_few(self.verified(pairs, sets), n_pairs))
-        labels = components(links)
-        done, dense = pairs, None
-        k = 0
-        while k <= self.hub_rounds:
-            open_keys = _unsettled(hot, labels, n_hot)
-            if open_keys.isEmpty():
+        """doc_id, mark, n_shingles, class, root (names the component; null without shingles), component_id."""
+        space = self.space
+        members = space.store("members", self.members())
+        found = self.candidates(self.replies(self.blocks()))
+        one = found.groupBy("class").agg(F.first(F.struct("n", "tokens", "df", "sketch")).alias("s")).select("class", "s.*")
+        sets = space.store("sets", one.withColumn("c", F.monotonically_increasing_id()))
+        met = space.store("met", self.met(self.postings(sets)))
+        pairs = met.where("need > 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("a", "b")
+        pairs = space.store("pairs", pairs)
+        links = space.store("links", self.verified(pairs, sets))
+        labels = components(links, self.one_task, space, "labels")
+        lists = met.where("need = 0").select(F.col("a").alias("key"), F.col("b").alias("c"), F.col("shared").alias("n"))
+        for k in range(self.hub_rounds + 1):
+            rows = self._open(lists, labels, k)
+            if rows.isEmpty():
                 break
-            if k < self.hub_rounds:
-                pick = F.min(F.struct(F.xxhash64("class", F.lit(k)).alias("h"), F.col("class").alias("hub"), F.col("root").alias("root2"), F.col("n").alias("n2"), F.col("n_hot").alias("n_hot2")))
-                hubs = open_keys.groupBy("key").agg(pick.alias("s")).select("key", "s.hub", "s.root2", "s.n2", "s.n_hot2")
-                more = open_keys.join(hubs, "key").where("root != root2").where(self._may_link("", "2")).select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b"))
-            else:
-                more = self._cross_pairs(open_keys, members)
-            more = checkpointed(_few(_few(more.distinct(), n_hot).join(done, ["a", "b"], "left_anti"), n_hot))
-            if dense is None:  # the few sets that all further rounds need
-                dense = checkpointed(sets.join(hot.select("class").distinct(), "class", "left_semi"))
-            tried = more.count()
-            found = checkpointed(_few(self.verified(more, dense), tried))
-            linked = found.count()
-            done = checkpointed(_few(done.union(more), n_pairs + n_hot))
-            if linked:
-                links = checkpointed(_few(links.union(found), n_pairs))
-                labels = components(links)
-            # Hubs are worth it while they connect many.
-            k = k + 1 if k >= self.hub_rounds or 20 * linked >= tried else self.hub_rounds
-        return self._result(members, links, labels)
-
-    def _cross_pairs(self, open_keys: DataFrame, members: DataFrame, first: int = 8) -> DataFrame:
-        """a < b: the classes that share a key but no component, and that can make a link.
-
-        Most pairs share many keys. Each class carries its smallest keys along,
-        and a pair that shares one of those is told under the smallest of them
-        only.  Two classes share no more hot shingles than their sketches have in
-        common, cell by cell.
-        """
-        lowest = open_keys.select("class", "key").withColumn("r", F.row_number().over(Window.partitionBy("class").orderBy("key"))).where(F.col("r") <= first)
-        sketches = members.where("sketch is not null").groupBy("class").agg(F.first("sketch").alias("sketch"))
-        known = lowest.groupBy("class").agg(F.collect_list("key").alias("low")).join(sketches, "class", "left")
-        sides = open_keys.join(known, "class")
-        left, right = (sides.select("key", F.col("class").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("root", "low", "n", "n_hot", "sketch")]) for s in "ab")
-        fits = F.expr(f"a < b and root_a != root_b and {self._may_link('_a', '_b')}")
-        once = F.coalesce(F.array_min(F.array_intersect("low_a", "low_b")) >= left["key"], F.lit(True))
-        common = F.expr("aggregate(zip_with(sketch_a, sketch_b, (x, y) -> least(x, y)), 0L, (t, v) -> t + v)")
-        enough = F.coalesce((100 + self.percent) * common >= self.percent * (F.col("n_a") + F.col("n_b")), F.lit(True))
-        return left.join(right, (left["key"] == right["key"]) & fits & once & enough).select("a", "b")
-
-    def _result(self, members: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
+            more = self._hub_pairs(rows, k) if k < self.hub_rounds else self._cross_pairs(rows, sets)
+            more = space.store(f"pairs{k}", more.join(pairs, ["a", "b"], "left_anti"))
+            links = links.unionByName(space.store(f"links{k}", self.verified(more, sets)))
+            pairs = pairs.unionByName(more)
+            labels = components(links, self.one_task, space, f"labels{k}")
+        out = space.store("result", self._result(members, sets, labels))
+        space.keep("result")
+        return out
+
+    @staticmethod
+    def _result(members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+        linked = sets.select("class", F.col("c").alias("v")).join(labels, "v").select("class", F.col("root").cast("string").alias("root"))
         classes = members.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
-        rooted = classes.join(labels.select(F.col("v").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-        names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-        degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
-        named = rooted.join(names, "root").join(degree, "class", "left").select("class", "root", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-        alone = members.where("class is null").select("doc_id", "mark", F.col("n").alias("n_shingles"), "class", F.lit(None).cast("bigint").alias("root"), F.col("doc_id").alias("component_id"), F.lit(0).cast("bigint").alias("n_links"))
-        linked = members.where("class is not null").join(named, "class").select("doc_id", "mark", F.col("n").alias("n_shingles"), "class", "root", "component_id", "n_links")
-        return linked.unionByName(alone)
-
-
-def _unsettled(hot: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """The hot postings with the root of each class, of the keys whose members are in several components."""
-    rooted = hot.join(labels.select(F.col("v").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    rooted = checkpointed(_few(rooted, rows))
-    mixed_keys = _few(rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key"), rows)
-    return checkpointed(_few(rooted.join(mixed_keys, "key", "left_semi").select("key", "class", "root", "n", "n_hot"), rows))
-
-
-def _few(df: DataFrame, rows: int) -> DataFrame:
-    """df in as many partitions as its rows deserve: a few thousand rows in hundreds of tasks cost more in files than in work."""
-    return df.coalesce(max(8, rows // 100_000))
-
-
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """v, root: the least member of each linked vertex's component, by alternating large and small stars."""
-    edges = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-    before, n = None, edges.count()
-    few = lambda df: _few(df, n)
-    for _ in range(rounds):
+        rooted = classes.join(linked, "class", "left").withColumn("root", F.coalesce("root", F.hex("class")))
+        named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root")
+        out = members.join(named.select("class", "root", "component_id"), "class", "left")
+        return out.select("doc_id", "mark", F.col("n").alias("n_shingles"), "class", "root", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vertices of a graph and the least vertex that each is connected with."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    root = np.arange(len(names))
+    while True:
+        x, y = root[i], root[j]
+        if (x == y).all():
+            return names, names[root]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != root[root]).any():
+            root = root[root]
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of one partition as v, root; at no time more of them than vertices and a batch."""
+    v, root = np.empty(0, np.int64), np.empty(0, np.int64)
+    for batch in batches:
+        a, b = (np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate((v, root)))
+        v, root = _forest(a, b)
+    yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(root)], names=["v", "root"])
+
+
+def components(links: DataFrame, one_task: int, space: Workspace, name: str) -> DataFrame:
+    """v, root: the least member of each linked vertex's component.
+
+    Up to ``one_task`` links fit one task.  More are first contracted in parts of that
+    size, then by alternating large and small stars until nothing changes.
+    """
+    n = links.count()
+    parts = links.coalesce(1) if n <= one_task else links.repartition(-(-n // one_task), "a")
+    edges = space.store(name, map_arrow(parts, _contracted, "v bigint, root bigint"))
+    if n <= one_task:
+        return edges
+    edges = edges.select(F.col("v").alias("u"), F.col("root").alias("v")).where("u != v").distinct()
+    before, k = None, 0
+    while True:
         # Large star: every larger neighbour moves to the least neighbour.
-        both = few(edges.union(edges.select("v", "u")))
-        least = few(both.groupBy("u").agg(F.min("v").alias("m"))).select("u", F.least("u", "m").alias("m"))
-        large = few(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v"))
+        both = edges.union(edges.select("v", "u"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         # Small star: every vertex and its smaller neighbours move to the least of them.
-        low = few(large.groupBy("u").agg(F.min("v").alias("m")))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = checkpointed(few(few(small.where("u != v")).distinct()))
+        edges = space.store(f"{name}-{k}", small.where("u != v").distinct())
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if now == before:
             break
-        before = now
-    return checkpointed(few(edges.select(F.col("u").alias("v"), F.col("v").alias("root")).union(edges.select("v", F.col("v").alias("root")).distinct())))
+        if k > 0:
+            space.drop(f"{name}-{k - 1}")
+        before, k = now, k + 1
+    return edges.select(F.col("u").alias("v"), F.col("v").alias("root")).union(edges.select("v", F.col("v").alias("root")).distinct())
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """One row for each row of docs: doc_id, mark (MD5 of the text), n_shingles, class, root, component_id, n_links."""
+    """One row for each row of docs: doc_id, mark (MD5 of the text), n_shingles, class, root, component_id."""
     return Join(docs, **options).run()
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of docs, with their columns alone, that stay: of each component the row with the smallest id (then the smallest MD5), and every text without shingles."""
-    found = checkpointed(near_duplicates(docs, doc_id=doc_id, text=text, **options))
+    found = near_duplicates(docs, doc_id=doc_id, text=text, **options)
+    space = Workspace(docs.sparkSession, "kept")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark"))
     linked = found.where("class is not null")
     kept = linked.groupBy("root").agg(first.alias("s")).select("s.doc_id", "s.mark")
     bare = found.where("class is null").select("doc_id", "mark").distinct()
-    kept = checkpointed(kept.unionByName(bare))
+    kept = space.store("kept", kept.unionByName(bare))
     hidden = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), _row_key(F.col(f"`{doc_id}`"), F.md5(f"`{text}`")).alias("_key"))
     chosen = hidden.join(kept.select(_row_key(F.col("doc_id"), F.col("mark")).alias("_key")), "_key", "left_semi")
     # A row that is repeated has the same key; only one of them stays.
     repeated = linked.groupBy("doc_id", "mark").count().where("count > 1").select(_row_key(F.col("doc_id"), F.col("mark")).alias("_key"))
-    repeated = checkpointed(repeated)
+    repeated = space.store("repeated", repeated)
     if not repeated.isEmpty():
         several = chosen.join(repeated, "_key", "left_semi").groupBy("_key").agg(F.first("_row").alias("_row")).select("_row", "_key")
         chosen = chosen.join(repeated, "_key", "left_anti").unionByName(several)
