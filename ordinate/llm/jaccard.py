@@ -134,7 +134,7 @@ def best_need(df: np.ndarray, take: int, n: int, small: int) -> int:
 
 
 class Join:
-    def __init__(self, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, small: int = 12, hub_rounds: int = 2, chunk: int = 512, split: int = 4096, local_owners: int = 64, bucket_bytes: int = 16 << 20, block_shingles: int = 1 << 21, one_task: int = 1 << 22, seed: int = 1):
+    def __init__(self, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, small: int = 12, hub_rounds: int = 1, chunk: int = 512, split: int = 4096, local_owners: int = 64, bucket_bytes: int = 16 << 20, block_shingles: int = 1 << 21, one_task: int = 1 << 22, seed: int = 1):
         self.spark = docs.sparkSession
         self.docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
         self.words, self.percent, self.small, self.hub_rounds, self.chunk, self.split = words, percent, small, hub_rounds, chunk, split
@@ -372,7 +372,8 @@ class Join:
         rooted = lists.join(labels.select(F.col("v").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
         same = [F.sum(F.xxhash64("c", F.lit(i)).cast("decimal(20,0)")).alias(f"h{i}") for i in (0, 1)]
         keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"), *same).where("lo < hi")
-        keys = keys.groupBy("m", "h0", "h1").agg(F.min("key").alias("key")).select("key")
+        # Their names are a table of their own, which Spark broadcasts if it is small.
+        keys = self.space.store(f"keys{k}", keys.groupBy("m", "h0", "h1").agg(F.min("key").alias("key")).select("key"))
         return self.space.store(f"open{k}", rooted.join(keys, "key", "left_semi").select("key", "c", "n", "root"))
 
     def _hub_pairs(self, rows: DataFrame, k: int) -> DataFrame:
@@ -383,34 +384,38 @@ class Join:
         pairs = heads.join(hubs, "key").where("root != root2").where(f"100 * least(n, n2) >= {self.percent} * greatest(n, n2)")
         return pairs.select(F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b")).distinct()
 
-    def _cross_pairs(self, rows: DataFrame, sets: DataFrame, block: int = 512) -> DataFrame:
+    def _cross_pairs(self, rows: DataFrame, sets: DataFrame, block: int = 512, first: int = 64) -> DataFrame:
         """a < b: the members of a list that are in different components and that sizes and sketches let link.
 
         The component that holds most of a list is not compared with itself:
-        its members meet the others only, block by block.
+        its members meet the others only, block by block.  A pair that meets
+        in several lists is told in the first of them, as far as the ``first``
+        smallest lists of each class tell.
         """
         percent = self.percent
         most = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "root")).alias("s"), F.sum("m").alias("all"))
-        most = most.select("key", F.col("s.root").alias("main"), F.ceil(F.col("s.m") / block).alias("mains"), F.ceil((F.col("all") - F.col("s.m")) / block).alias("others"))
+        low = rows.groupBy("c").agg(F.slice(F.sort_array(F.collect_list("key")), 1, first).alias("low"))
+        most = self.space.store("most", most.select("key", F.col("s.root").alias("main"), F.ceil(F.col("s.m") / block).alias("mains"), F.ceil((F.col("all") - F.col("s.m")) / block).alias("others")))
         place = F.xxhash64("c", F.lit(7))
         rows = rows.join(most, "key").withColumn("is_main", F.col("root") == F.col("main"))
         rows = rows.withColumn("at", F.when(F.col("is_main"), -1 - F.pmod(place, F.col("mains"))).otherwise(F.pmod(place, F.col("others"))))
         others, mains = F.sequence(F.lit(0).cast("bigint"), F.col("others") - 1), F.sequence(-F.col("mains"), F.lit(-1).cast("bigint"))
         rows = rows.withColumn("with", F.explode(F.when(F.col("is_main"), others).otherwise(F.concat(mains, others))))
-        rows = rows.join(sets.select("c", "sketch"), "c").select("key", F.least("at", "with").alias("lo"), F.greatest("at", "with").alias("hi"), "at", "c", "n", "root", "sketch")
+        rows = rows.join(sets.select("c", "sketch").join(low, "c"), "c").select("key", F.least("at", "with").alias("lo"), F.greatest("at", "with").alias("hi"), "at", "c", "n", "root", "sketch", "low")
 
         def compare(group: pa.Table) -> pa.Table:
             at, lo, c, n, root = (group.column(x).to_numpy() for x in ("at", "lo", "c", "n", "root"))
             full = np.array([255 * 128 if x is None else 0 for x in group.column("sketch").to_pylist()])
             cells = np.array([np.frombuffer(x, np.uint8) if x is not None else np.full(128, 255, np.uint8) for x in group.column("sketch").to_pylist()])
-            out = []
+            key, low, out = group.column("key")[0].as_py(), [set(x) for x in group.column("low").to_pylist()], []
             one = np.flatnonzero(at == lo)
             other = one if group.column("hi")[0].as_py() == lo[0] else np.flatnonzero(at != lo)
             for i in one:
                 j = other[(root[other] != root[i]) & (100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i]))]
                 common = np.minimum(cells[j], cells[i]).sum(axis=1, dtype=np.int64)
                 ok = ((100 + percent) * common >= percent * (n[j] + n[i])) | (full[j] > 0) | (full[i] > 0)
-                out.append(np.stack([np.minimum(c[i], c[j[ok]]), np.maximum(c[i], c[j[ok]])]))
+                j = np.array([x for x in j[ok].tolist() if min(low[i] & low[x], default=key) == key], np.int64)
+                out.append(np.stack([np.minimum(c[i], c[j]), np.maximum(c[i], c[j])]))
             a, b = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.empty((2, 0), np.int64)
             return pa.table({"a": a, "b": b})
 
