@@ -5,12 +5,15 @@ Order-bearing queries return the rank of each row, keys are shown in hex.
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .collection import Collection
 from .database import open as open_database
 from .functions import documents as D
 from .functions import keys as K
@@ -44,6 +47,32 @@ def hexed(df: DataFrame) -> DataFrame:
     return df.withColumn("key_hex", F.hex("k")).drop("k")
 
 
+_LOADED: dict[tuple[str, str, str], Collection] = {}
+
+
+def stored(spark, d, table: str) -> Collection:
+    """A table as a collection of documents, loaded once for each application: segments sorted by key."""
+    at = (spark.sparkContext.applicationId, d, table)
+    if at not in _LOADED:
+        df = {"orders": orders, "conversations": conversations, "pages": pages, "lineitem": lineitem_keys, "mixed": mixed}[table](spark, d)
+        c = open_database()[table]
+        c.put_df(df.select("k", D.document_of(df, *[n for n in df.columns if n != "k"]).alias("doc")))
+        _LOADED[at] = c
+    return _LOADED[at]
+
+
+def shown(rows: DataFrame, fields: str) -> DataFrame:
+    """Fields of the documents as columns ("name type, ..."), beside k and rank if it is there."""
+    pairs = [f.split() for f in fields.split(",")]
+    return rows.select("k", *[D.field(F.col("doc"), n, t).alias(n) for n, t in pairs], *[c for c in rows.columns if c == "rank"])
+
+
+_ORDERS = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderpriority string"
+_CONVERSATIONS = "conv_id bigint, turn bigint, role string"
+_PAGES = "page_id bigint, url string"
+_MIXED_FIELDS = "kind string, name string"
+
+
 def orders(spark, d):
     df = read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     return keyed(df, "o_orderkey")
@@ -90,7 +119,7 @@ _MIXED = f"""(SELECT {int_hex("n_nationkey - 12")} AS key_hex, 'int' AS kind, n_
 
 @query(f"SELECT {_ORDER} FROM orders WHERE o_orderkey = 42")
 def point_get(spark, d):
-    return R.get(orders(spark, d), 42).drop("k")
+    return shown(stored(spark, d, "orders").get_df(42), _ORDERS).drop("k")
 
 
 @query("SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_orderkey = 20 * c_custkey) AS found FROM customer")
@@ -124,57 +153,57 @@ def equality(spark, d):
 
 @query(f"SELECT {int_hex('l_orderkey')} || {int_hex('l_linenumber')} AS key_hex, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS rank FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)")
 def iter_keys(spark, d):
-    return hexed(R.ranked(lineitem_keys(spark, d).select("k")))
+    return hexed(stored(spark, d, "lineitem").ranked_df().drop("doc"))
 
 
 @query(f"SELECT {int_hex('o_orderkey')} AS key_hex, row_number() OVER (ORDER BY o_orderkey DESC) AS rank FROM orders")
 def reverse_keys(spark, d):
-    return hexed(R.ranked(orders(spark, d).select("k"), reverse=True))
+    return hexed(stored(spark, d, "orders").ranked_df(reverse=True).drop("doc"))
 
 
 @query(f"SELECT {_ORDER}, row_number() OVER (ORDER BY o_orderkey) AS rank FROM orders")
 def values(spark, d):
-    return R.ranked(orders(spark, d)).drop("k")
+    return shown(stored(spark, d, "orders").ranked_df(), _ORDERS).drop("k")
 
 
 @query(f"SELECT {int_hex('conv_id')} || {int_hex('turn')} AS key_hex, conv_id, turn, role, row_number() OVER (ORDER BY conv_id, turn) AS rank FROM conversations")
 def items(spark, d):
-    return hexed(R.ranked(conversations(spark, d)))
+    return hexed(shown(stored(spark, d, "conversations").ranked_df(), _CONVERSATIONS))
 
 
 @query(f"SELECT {_ORDER}, row_number() OVER (ORDER BY o_orderkey) AS rank FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 2000")
 def range_int(spark, d):
-    return R.ranked(R.key_range(orders(spark, d), 100, 2000)).drop("k")
+    return shown(stored(spark, d, "orders").ranked_df(100, 2000), _ORDERS).drop("k")
 
 
 @query(f"SELECT {_ORDER} FROM orders WHERE o_orderkey >= 5000")
 def range_lo(spark, d):
-    return R.key_range(orders(spark, d), 5000, None).drop("k")
+    return shown(stored(spark, d, "orders").df(5000, None), _ORDERS).drop("k")
 
 
 @query(f"SELECT {_ORDER} FROM orders WHERE o_orderkey < 5000")
 def range_hi(spark, d):
-    return R.key_range(orders(spark, d), None, 5000).drop("k")
+    return shown(stored(spark, d, "orders").df(None, 5000), _ORDERS).drop("k")
 
 
 @query("SELECT conv_id, turn, role, row_number() OVER (ORDER BY conv_id, turn) AS rank FROM conversations WHERE (conv_id, turn) >= (10, 2) AND conv_id < 40")
 def range_tuple(spark, d):
-    return R.ranked(R.key_range(conversations(spark, d), (10, 2), (40,))).drop("k")
+    return shown(stored(spark, d, "conversations").ranked_df((10, 2), (40,)), _CONVERSATIONS).drop("k")
 
 
 @query(f"SELECT key_hex, kind, name, row_number() OVER (ORDER BY t, i, s) AS rank FROM {_MIXED} WHERE t = 1 OR t = 2 AND s < 'NATION_15'")
 def range_cross_type(spark, d):
-    return hexed(R.ranked(R.key_range(mixed(spark, d), None, "NATION_15")))
+    return hexed(shown(stored(spark, d, "mixed").ranked_df(None, "NATION_15"), _MIXED_FIELDS))
 
 
 @query(f"SELECT {_ORDER} FROM orders WHERE false")
 def range_reversed(spark, d):
-    return R.key_range(orders(spark, d), 2000, 100).drop("k")
+    return shown(stored(spark, d, "orders").df(2000, 100), _ORDERS).drop("k")
 
 
 @query("SELECT page_id, url, row_number() OVER (ORDER BY url) AS rank FROM pages WHERE starts_with(url, 'https://blog.')")
 def prefix_str(spark, d):
-    return R.ranked(R.prefix(pages(spark, d), "https://blog.")).drop("k")
+    return shown(stored(spark, d, "pages").ranked_df(prefix="https://blog."), _PAGES).drop("k")
 
 
 @query("SELECT doc_id, source FROM documents WHERE starts_with(source, 'src1')")
@@ -195,17 +224,17 @@ def prefix_tuple(spark, d):
 
 @query("SELECT count(*) AS n FROM orders")
 def prefix_all(spark, d):
-    return R.length(R.prefix(orders(spark, d), ()))
+    return R.length(stored(spark, d, "orders").prefix_df(()))
 
 
 @query("SELECT page_id, url FROM pages ORDER BY url LIMIT 1")
 def first(spark, d):
-    return R.first(pages(spark, d)).drop("k")
+    return shown(stored(spark, d, "pages").end_df(), _PAGES).drop("k")
 
 
 @query("SELECT page_id, url FROM pages ORDER BY url DESC LIMIT 1")
 def last(spark, d):
-    return R.last(pages(spark, d)).drop("k")
+    return shown(stored(spark, d, "pages").end_df(reverse=True), _PAGES).drop("k")
 
 
 # Writes
@@ -232,7 +261,7 @@ def update_batch(spark, d):
 
 @query(f"SELECT {_ORDER} FROM orders WHERE o_custkey % 7 <> 0")
 def delete(spark, d):
-    base = orders(spark, d)
+    base = shown(stored(spark, d, "orders").df(), _ORDERS)
     return R.delete(base, base.where("o_custkey % 7 = 0")).drop("k")
 
 
@@ -337,13 +366,23 @@ def key_decode(spark, d):
 
 @query("SELECT conv_id, turn, conv_id AS part1, turn AS part2, 2::BIGINT AS parts FROM conversations")
 def key_decode_tuple(spark, d):
-    df = conversations(spark, d).withColumn("p", K.decode_parts(F.col("k")))
-    return df.select("conv_id", "turn", F.col("p")[0]["i"].alias("part1"), F.col("p")[1]["i"].alias("part2"), F.size("p").cast("bigint").alias("parts"))
+    df = conversations(spark, d)
+    # The shape of the keys is known: two ints of nine bytes.
+    return df.select("conv_id", "turn", K.decode_int(F.col("k"), 1).alias("part1"), K.decode_int(F.col("k"), 10).alias("part2"), F.floor(F.octet_length("k") / 9).alias("parts"))
+
+
+@query("SELECT doc_id, 3::BIGINT AS parts, source AS part1, doc_id AS part2, lang AS part3 FROM documents")
+def key_decode_any(spark, d):
+    """Keys of any shape, component by component."""
+    df = read(spark, d, "documents").select("doc_id", "source", "lang")
+    k = K.key(K.str_part(F.col("source")), K.int_part(F.col("doc_id")), K.bytes_part(F.encode("lang", "UTF-8")))
+    p = F.col("p")
+    return df.select("doc_id", K.decode_parts(k).alias("p")).select("doc_id", F.size("p").cast("bigint").alias("parts"), p[0]["s"].alias("part1"), p[1]["i"].alias("part2"), F.decode(p[2]["b"], "UTF-8").alias("part3"))
 
 
 @query(f"SELECT key_hex, kind, name, row_number() OVER (ORDER BY t, i, s) AS rank FROM {_MIXED}")
 def mixed_type_order(spark, d):
-    return hexed(R.ranked(mixed(spark, d)))
+    return hexed(shown(stored(spark, d, "mixed").ranked_df(), _MIXED_FIELDS))
 
 
 def utc_micros(df: DataFrame, column: str) -> Column:
@@ -356,10 +395,15 @@ def ms_round(spark, d):
     return df.select("event_id", F.unix_micros(D.round_millis(D.as_utc(df, "ts"))).alias("micros"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey * 300000 BETWEEN -2147483648 AND 2147483647 THEN 'int32' ELSE 'int64' END AS stored FROM orders")
+@query("SELECT o_orderkey, CASE WHEN v BETWEEN -128 AND 127 THEN 1 WHEN v BETWEEN -32768 AND 32767 THEN 2 WHEN v BETWEEN -2147483648 AND 2147483647 THEN 4 ELSE 8 END AS bytes, v AS value FROM (SELECT o_orderkey, o_orderkey * 300000 - 1500000 AS v FROM orders)")
 def int_narrow(spark, d):
-    v = F.col("o_orderkey") * 300000
-    return read(spark, d, "orders").select("o_orderkey", D.int_width(v).alias("stored"))
+    """How many bytes the encoded document spends on an int, and the int read back."""
+    df = read(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") * 300000 - 1500000).alias("value"))
+    docs = df.select("o_orderkey", F.struct("value").alias("s")).select("o_orderkey", F.to_variant_object("s").alias("doc"))
+    # The type that Spark's own schema names is the one stored: all integers read as bigint, so the width is told by what a cast keeps.
+    value = D.field(F.col("doc"), "value", "bigint")
+    width = F.when(D.field(F.col("doc"), "value", "tinyint").isNotNull(), 1).when(D.field(F.col("doc"), "value", "smallint").isNotNull(), 2).when(D.field(F.col("doc"), "value", "int").isNotNull(), 4).otherwise(8)
+    return docs.select("o_orderkey", width.alias("bytes"), value.alias("value"))
 
 
 @query("SELECT event_id, user_id, event_type, round(value * 1000)::BIGINT AS milli, (round(epoch_us(ts) / 1000.0) * 1000)::BIGINT AS micros FROM events")
@@ -373,52 +417,70 @@ def doc_roundtrip(spark, d):
 # Versions and models
 
 
-def loaded_then_changed(spark, d, stop=None):
-    """The orders of a bulk-loaded collection as it was before a later write, all or those below a key."""
-    db = open_database()
-    rows = orders(spark, d)
-    c = db["orders"]
-    c.put_df(rows.select("k", D.document_of(rows, "o_orderkey", "o_orderstatus").alias("doc")))
-    before = c.df(None, stop)
-    c.clear()
-    c[1] = {"o_orderkey": -1, "o_orderstatus": "later"}
-    return before.select(D.field(F.col("doc"), "o_orderkey", "bigint").alias("o_orderkey"), D.field(F.col("doc"), "o_orderstatus", "string").alias("o_orderstatus"))
-
-
-@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey < 1000")
-def snapshot_read(spark, d):
-    """A key range of the whole collection's snapshot."""
-    return loaded_then_changed(spark, d, 1000)
+def documents_of_orders(rows: DataFrame, *fields: str) -> DataFrame:
+    return rows.select("k", D.document_of(rows, *fields).alias("doc"))
 
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders")
-def snapshot_read_all(spark, d):
-    return loaded_then_changed(spark, d)
-
-
-def loaded_and_merged(spark, d, stop=None):
-    """Bulk load, bulk put, bulk delete and compaction of all orders, through the collection, and a read of all or of those below a key."""
+def snapshot_read(spark, d):
+    """All orders of a bulk-loaded collection, as they were before it was cleared, written, compacted and vacuumed."""
     db = open_database()
-    rows = orders(spark, d).select("k", "o_orderkey", F.col("o_orderstatus").alias("status"))
-    doc = lambda df: df.select("k", D.document_of(df, "o_orderkey", "status").alias("doc"))
     c = db["orders"]
-    c.put_df(doc(rows))
-    c.compact()
-    c.put_df(doc(rows.where("o_orderkey % 3 = 0").withColumn("status", F.lit("put"))))
-    c.delete_df(rows.where("o_orderkey % 5 = 0"))
+    c.put_df(documents_of_orders(orders(spark, d), "o_orderkey", "o_orderstatus"))
+    before = c.df()
+    c.delete_df(before.where(D.field(F.col("doc"), "o_orderkey", "bigint") % 2 == 0))
+    c[1] = {"o_orderkey": -1, "o_orderstatus": "later"}
     c.compact()
-    return c.df(None, stop).select(D.field(F.col("doc"), "o_orderkey", "bigint").alias("o_orderkey"), D.field(F.col("doc"), "status", "string").alias("status"))
-
-
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'put' ELSE o_orderstatus END AS status FROM orders WHERE o_orderkey < 1000 AND o_orderkey % 5 <> 0")
-def collection_merge(spark, d):
-    """A key range of the whole collection, after the merge."""
-    return loaded_and_merged(spark, d, 1000)
+    db.vacuum()
+    return shown(before, "o_orderkey bigint, o_orderstatus string").drop("k")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'put' ELSE o_orderstatus END AS status FROM orders WHERE o_orderkey % 5 <> 0")
-def collection_merge_all(spark, d):
-    return loaded_and_merged(spark, d)
+def collection_merge(spark, d):
+    """Bulk load, bulk put, bulk delete and compaction of all orders, through the collection."""
+    rows = orders(spark, d).select("k", "o_orderkey", F.col("o_orderstatus").alias("status"))
+    c = open_database()["orders"]
+    c.put_df(documents_of_orders(rows, "o_orderkey", "status"))
+    c.put_df(documents_of_orders(rows.where("o_orderkey % 3 = 0").withColumn("status", F.lit("put")), "o_orderkey", "status"))
+    c.delete_df(rows.where("o_orderkey % 5 = 0"))
+    c.compact()
+    return shown(c.df(), "o_orderkey bigint, status string").drop("k")
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END AS round FROM customer")
+def stream_upserts(spark, d):
+    """Two rounds of upserts as a stream would bring them, and what the collection then holds."""
+    rows = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit(1).cast("bigint").alias("round"))
+    c = open_database()["customers"]
+    for part in (rows, rows.where("id % 3 = 0").withColumn("round", F.lit(2).cast("bigint"))):
+        c.put_df(documents_of_orders(keyed(part, "id"), "id", "round"))
+    return shown(c.df(), "id bigint, round int").drop("k")
+
+
+@query("SELECT r_name AS name, r_regionkey AS id, true AS reopened FROM region WHERE r_regionkey <> 2")
+def durable_reopen(spark, d):
+    """A database directory: written, closed, opened again, read."""
+    folder = tempfile.mkdtemp(prefix="ordinate-reopen-")
+    try:
+        with open_database(folder) as db:
+            db["region"].update({r["r_name"]: {"id": r["r_regionkey"]} for r in read(spark, d, "region").collect()})  # five rows by definition of the table
+            del db["region"][next(k for k, v in db["region"].items() if v["id"] == 2)]
+        with open_database(folder, durable=False) as db:
+            return spark.createDataFrame([(k, v["id"], True) for k, v in db["region"].items()], "name string, id int, reopened boolean")
+    finally:
+        shutil.rmtree(folder, ignore_errors=True)
+
+
+@query("SELECT n_name AS name, n_nationkey AS id FROM nation")
+def cursor(spark, d):
+    """A scan keeps its version while the collection changes under it."""
+    with open_database() as db:
+        c = db["nation"]
+        c.update({r["n_name"]: {"id": r["n_nationkey"]} for r in read(spark, d, "nation").collect()})  # 25 rows by definition of the table
+        pairs = c.items()
+        out = [next(pairs)]
+        c.clear()
+        return spark.createDataFrame([(k, v["id"]) for k, v in [*out, *pairs]], "name string, id int")
 
 
 @dataclass

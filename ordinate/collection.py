@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, MutableMapping
+import threading
+from collections.abc import Iterator, Mapping, MutableMapping
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -14,7 +15,7 @@ from .functions import keys as K
 from .functions import models as M
 from .operators import relational as R
 from .plans import snapshot as S
-from .sources.store import FLUSH_AT, Segment, State, Store
+from .sources.store import COMPACT_AT, FLUSH_AT, Segment, State, Store
 
 _NOTHING = State("")
 
@@ -26,6 +27,7 @@ class Collection(MutableMapping):
 
     def __init__(self, store: Store, name: str, model=None):
         self._store, self.name, self._model = store, name, model
+        self._counted: tuple[State, int] | None = None
 
     def __repr__(self) -> str:
         return f"<collection {self.name!r}>"
@@ -78,7 +80,10 @@ class Collection(MutableMapping):
             return sum(v is not None for v in state.recent.values())
         if len(state.segments) == 1 and not state.segments[0].delta and not state.recent:
             return state.segments[0].rows
-        return S.snapshot(S.session(), state).count()
+        counted = self._counted
+        if counted is None or counted[0] is not state:
+            self._counted = counted = (state, S.snapshot(S.session(), state).count())
+        return counted[1]
 
     def __iter__(self) -> Iterator:
         return self.keys()
@@ -120,14 +125,29 @@ class Collection(MutableMapping):
                 return None
             k = max(live) if reverse else min(live)
             return K.decode(k), self._load(state.recent[k])
-        df = S.snapshot(S.session(), state)
-        rows = (R.last(df) if reverse else R.first(df)).collect()
-        return (K.decode(bytes(rows[0]["k"])), self._load(rows[0]["doc"])) if rows else None
+        version = self._store.pinned()
+        for low, high in S.edge(state, reverse):
+            df = S.snapshot(S.session(), state, low, high)
+            rows = (R.last(df) if reverse else R.first(df)).collect()
+            if rows:
+                del version
+                return K.decode(bytes(rows[0]["k"])), self._load(rows[0]["doc"])
+        return None
 
     def __eq__(self, other) -> bool:
-        if not hasattr(other, "items"):
+        if isinstance(other, Collection):
+            pairs = zip(self.items(), other.items(), strict=True)
+        elif isinstance(other, Mapping):
+            if len(self) != len(other):
+                return False
+            missing = object()
+            pairs = (((k, v), (k, other.get(k, missing))) for k, v in self.items())
+        else:
             return NotImplemented
-        return dict(self.items()) == dict(other.items())
+        try:
+            return all(a == b for a, b in pairs)
+        except ValueError:  # one side ended before the other
+            return False
 
     # Writing
 
@@ -152,7 +172,7 @@ class Collection(MutableMapping):
 
     def update(self, other=(), /, **more) -> None:
         """Put many documents in one commit, or none if one of them is unfit."""
-        pairs = [(k, other[k]) for k in other.keys()] if hasattr(other, "keys") else list(other)
+        pairs = other.items() if hasattr(other, "items") else [(k, other[k]) for k in other.keys()] if hasattr(other, "keys") else other
         rows = {K.encode(k): D.to_variant(M.dump(v)) for k, v in [*pairs, *more.items()]}
         if rows:
             self._put(rows)
@@ -218,12 +238,35 @@ class Collection(MutableMapping):
 
     # Bulk
 
+    def _lent(self) -> State:
+        return self._store.lend(self._state())
+
     def df(self, start=None, stop=None) -> DataFrame:
-        """The current version as a DataFrame (k, doc), or the part of it between two keys."""
-        return S.snapshot(S.session(), self._store.pinned().collections.get(self.name, _NOTHING), *K.range_bounds(start, stop))
+        """The current version as a DataFrame (k, doc), or the part of it between two keys. It can be read as long as its lease lasts, whatever is written or vacuumed."""
+        return S.snapshot(S.session(), self._lent(), *K.range_bounds(start, stop))
 
     def prefix_df(self, p) -> DataFrame:
-        return S.snapshot(S.session(), self._store.pinned().collections.get(self.name, _NOTHING), *K.prefix_bounds(p))
+        return S.snapshot(S.session(), self._lent(), *K.prefix_bounds(p))
+
+    def get_df(self, key) -> DataFrame:
+        """The row of a key, if there is one."""
+        k = K.encode(key)
+        return S.snapshot(S.session(), self._lent(), k, k + b"\0")
+
+    def end_df(self, reverse: bool = False) -> DataFrame:
+        """The row of the smallest key, or of the largest; only files at that end are read."""
+        state = self._lent()
+        for low, high in S.edge(state, reverse):
+            df = S.snapshot(S.session(), state, low, high)
+            row = R.last(df) if reverse else R.first(df)
+            if not row.isEmpty():
+                return row
+        return S.snapshot(S.session(), _NOTHING)
+
+    def ranked_df(self, start=None, stop=None, *, prefix=None, reverse: bool = False, name: str = "rank") -> DataFrame:
+        """df, or the part between two keys or under a prefix, with the place of each row in key order."""
+        low, high = K.range_bounds(start, stop) if prefix is None else K.prefix_bounds(prefix)
+        return S.ranked(S.session(), self._lent(), low, high, reverse, name)
 
     def typed_df(self, start=None, stop=None) -> DataFrame:
         """df with the bound model's fields as columns."""
@@ -248,14 +291,19 @@ class Collection(MutableMapping):
                 state = self._flushed(state)
             last = changes.groupBy("k").agg(F.max_by(F.struct("doc", "op"), F.col("seq")).alias("last"))
             merged = last.select("k", "last.doc", F.lit(self._store.now().number + 1).cast("bigint").alias("seq"), "last.op")
-            segment = self._write(state, merged, delta=True)
+            if not state.segments:  # nothing that a change could beat
+                segment = self._write(state, merged.where(F.col("op") == R.PUT).select("k", "doc"), delta=False)
+            else:
+                segment = self._write(state, merged, delta=True)
             self._commit(lambda _: replace(state, segments=(*state.segments, segment)))
+            self._tidy()
 
     def _write(self, state: State, df: DataFrame, *, delta: bool) -> Segment:
         path = self._store.segment_path(state)
         df.repartitionByRange("k").sortWithinPartitions("k").write.parquet(path)
+        self._store.settle(path)
         written = S.session().read.schema(S.LOGGED if delta else S.SCHEMA).parquet(path)
-        return Segment(path, *S.describe(written), delta)
+        return Segment(path, S.describe(written), delta)
 
     def _flushed(self, state: State) -> State:
         rows = S.recent_rows(S.session(), state).withColumn("seq", F.lit(self._store.now().number).cast("bigint"))
@@ -267,6 +315,29 @@ class Collection(MutableMapping):
             if state.recent:
                 flushed = self._flushed(state)
                 self._commit(lambda _: flushed)
+                self._tidy()
+
+    def _tidy(self) -> None:
+        """Keep the segments few: the newest that are not much smaller than the next become one, or all with the base once they are a quarter of it."""
+        state = self._state()
+        deltas = [s for s in state.segments if s.delta]
+        if len(deltas) < COMPACT_AT:
+            return
+        if 4 * sum(s.rows for s in deltas) >= sum(s.rows for s in state.segments if not s.delta):
+            self.compact()
+            return
+        tail = [deltas[-1]]
+        for s in reversed(deltas[:-1]):
+            if s.rows > 4 * sum(t.rows for t in tail):
+                break
+            tail.insert(0, s)
+        if len(tail) > 1:
+            changes = S.files_of(S.session(), tail[0], list(tail[0].files))
+            for s in tail[1:]:
+                changes = changes.unionByName(S.files_of(S.session(), s, list(s.files)))
+            last = changes.groupBy("k").agg(F.max_by(F.struct("doc", "op", "seq"), F.col("seq")).alias("last")).select("k", "last.doc", "last.seq", "last.op")
+            segment = self._write(state, last, delta=True)
+            self._commit(lambda _: replace(state, segments=(*[s for s in state.segments if s not in tail], segment)))
 
     def compact(self) -> None:
         """Merge all segments and recent changes into one sorted segment."""
@@ -282,16 +353,18 @@ class _Cursor:
 
     def __init__(self, pairs: Iterator, version):
         self._pairs, self._version = pairs, version
+        self._mutex = threading.Lock()
 
     def __iter__(self):
         return self
 
     def __next__(self):
-        try:
-            return next(self._pairs)
-        except StopIteration:
-            self._version, self._pairs = None, iter(())
-            raise
+        with self._mutex:  # threads may share a cursor
+            try:
+                return next(self._pairs)
+            except StopIteration:
+                self._version, self._pairs = None, iter(())
+                raise
 
 
 class _each:

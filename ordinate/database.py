@@ -61,9 +61,9 @@ class Database(Mapping):
     def names_df(self) -> DataFrame:
         return session().createDataFrame([(n,) for n in self._names()], "name string")
 
-    def vacuum(self) -> int:
-        """Remove data files that no version in use needs; tells how many."""
-        return self._store.vacuum()
+    def vacuum(self, *, force: bool = False) -> int:
+        """Remove segments that no version in use needs; tells how many. Those behind a DataFrame count as in use for a day, unless forced."""
+        return self._store.vacuum(force)
 
     def close(self) -> None:
         """Close the database; every later use raises Error. The Spark session stays."""

@@ -150,24 +150,31 @@ def as_utc(df: DataFrame, column: str) -> Column:
     return c
 
 
-def int_width(v: Column) -> Column:
-    """How ``to_variant`` stores an int."""
-    return F.when(v.between(-(2**31), 2**31 - 1), F.lit("int32")).otherwise(F.lit("int64"))
+#: Types of Spark that hold what a document can hold, besides structs, arrays and times.
+_PLAIN = (T.NullType, T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DoubleType, T.StringType, T.BinaryType, T.VariantType)
+
+
+def _fit(c: Column, kind: T.DataType, path: str) -> Column:
+    """A column as documents hold it: times as instants in milliseconds, floats as doubles, at any depth."""
+    if isinstance(kind, _PLAIN):
+        return c
+    if isinstance(kind, T.FloatType):
+        return c.cast("double")
+    if isinstance(kind, T.TimestampNTZType):
+        return round_millis(F.from_utc_timestamp(c.cast("timestamp"), F.current_timezone()))
+    if isinstance(kind, T.TimestampType):
+        return round_millis(c)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _fit(x, kind.elementType, f"{path}[]"))
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[_fit(c[f.name], f.dataType, f"{path}.{f.name}").alias(f.name) for f in kind.fields]))
+    raise TypeError(f"a document can't hold {kind.simpleString()} at {path}")
 
 
 def document_of(df: DataFrame, *columns: str) -> Column:
-    """A document column of the named columns (all by default), times rounded to milliseconds, floats as doubles."""
-    fields = []
-    for f in df.schema.fields:
-        if columns and f.name not in columns:
-            continue
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
-            c = round_millis(as_utc(df, f.name))
-        if isinstance(f.dataType, T.FloatType):
-            c = c.cast("double")
-        fields.append(c.alias(f.name))
-    return F.to_variant_object(F.struct(*fields))
+    """A document column of the named columns (all by default), times rounded to milliseconds, floats as doubles. Decimals, dates, maps and intervals are refused, as on the driver."""
+    fields = [f for f in df.schema.fields if not columns or f.name in columns]
+    return F.to_variant_object(F.struct(*[_fit(F.col(f"`{f.name}`"), f.dataType, f"$.{f.name}").alias(f.name) for f in fields]))
 
 
 def field(document: Column, name: str, kind: str) -> Column:

@@ -14,10 +14,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..errors import Error
 
@@ -175,19 +173,19 @@ def decode_bytes(k: Column) -> Column:
     return _text(k)
 
 
-#: A decoded key of any shape: for each component its tag and its value in the field of its type.
-PARTS = T.ArrayType(T.StructType([T.StructField("t", T.ByteType()), T.StructField("i", T.LongType()), T.StructField("s", T.StringType()), T.StructField("b", T.BinaryType())]))
+#: One component in hex pairs, each followed by a blank: nine bytes, or bytes up to a 00 that no FF follows.
+_COMPONENT = "01 [0-9A-F ]{24}|0[23] [0-9A-F ]*?00 (?!FF )"
 
 
 def decode_parts(k: Column) -> Column:
-    """All components of keys of any shape, by batches in Python."""
+    """All components of keys of any shape: for each its tag t, and its value in i, s or b."""
+    found = F.regexp_extract_all(F.regexp_replace(F.hex(k), "(..)", "$1 "), F.lit(_COMPONENT), F.lit(0))
 
-    @F.pandas_udf(PARTS)
-    def parts(raw: pd.Series) -> pd.Series:
-        def one(part):
-            tag = STR if isinstance(part, str) else BYTES if isinstance(part, bytes) else INT
-            return {"t": tag, "i": part if tag == INT else None, "s": part if tag == STR else None, "b": part if tag == BYTES else None}
+    def one(x: Column) -> Column:
+        tag = F.substring(x, 2, 1).cast("tinyint")
+        number = F.conv(F.replace(F.substring(x, 4, 24), F.lit(" "), F.lit("")), 16, -10).cast("bigint").bitwiseXOR(F.lit(SMALLEST).cast("bigint"))
+        body = F.unhex(F.replace(F.replace(F.substring(x, F.lit(4), F.length(x) - 6), F.lit("00 FF "), F.lit("00 ")), F.lit(" "), F.lit("")))
+        fields = (tag.alias("t"), F.when(tag == INT, number).alias("i"), F.when(tag == STR, F.decode(body, "UTF-8")).alias("s"), F.when(tag == BYTES, body).alias("b"))
+        return F.struct(*fields)
 
-        return raw.map(lambda r: None if r is None else [one(p) for p in _parts(bytes(r))])
-
-    return parts(k)
+    return F.transform(found, one)

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written now to the folder in spark.checkpoint.dir, or to a temporary one where that is unset."""
+    """df, written now to the folder in spark.checkpoint.dir, or in local mode to a temporary one where that is unset."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ordinate-ckpt-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not (sc.master == "local" or sc.master.startswith("local[")):
+                raise RuntimeError("spark.checkpoint.dir is unset: a cluster needs a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="ordinate-ckpt-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

@@ -48,6 +48,13 @@ def test_key_bounds_reach_the_scan(spark, tmp_path):
     assert df.count() == sum(5 <= K.decode(bytes(r["k"])) < 9 for r in catalogue.orders(spark, DATA).select("k").collect())
 
 
+@pytest.mark.parametrize("name", ["point_get", "range_int", "range_tuple", "prefix_str", "first"])
+def test_stored_reads_push_their_bounds(spark, name):
+    plan = catalogue.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    pushed = [line for line in plan.splitlines() if "PushedFilters" in line]
+    assert pushed and all("GreaterThanOrEqual(k," in line for line in pushed) and "unhex" not in plan and "Exchange range" not in plan
+
+
 def test_flagship(spark):
     rows = catalogue.flagship(spark, DATA).orderBy("rank").collect()
     assert [r["rank"] for r in rows] == list(range(1, 101)) and [r["o_orderkey"] for r in rows] == list(range(100, 200))
@@ -59,7 +66,7 @@ def test_whole_tables_go_through_the_collection(spark, monkeypatch):
     loads, put = [], Collection.put_df
     monkeypatch.setattr(Collection, "put_df", lambda self, rows, seq=None: (loads.append(rows.count()), put(self, rows, seq))[1])
     n = catalogue.orders(spark, DATA).count()
-    for name in ("snapshot_read", "collection_merge", "snapshot_read_all", "collection_merge_all"):
+    for name in ("snapshot_read", "collection_merge"):
         loads.clear()
         catalogue.QUERIES[name](spark, DATA)
         assert loads[0] == n

@@ -34,7 +34,7 @@ def test_large_documents():
 
 
 def test_variants_are_sparks(spark):
-    doc = {"n": None, "t": True, "i": 7, "big": 2**40, "f": 1.5, "s": "é" * 40, "b": b"\0\xff", "at": datetime(2026, 8, 2, 12, tzinfo=UTC), "l": [1, 2.5, ["x", None]], "d": {"z": 1, "a": {"b": 2}}}
+    doc = {"n": None, "t": True, "i": 7, "big": 2**40, "f": 1.5, "s": "é" * 40, "b": b"\0\xff", "at": datetime(1997, 3, 9, 4, 30, tzinfo=UTC), "l": [1, 2.5, ["x", None]], "d": {"z": 1, "a": {"b": 2}}}
     df = spark.createDataFrame([(D.to_variant(doc),)], "doc variant")
     assert D.from_variant(df.first()["doc"]) == doc
     got = df.select(F.expr("schema_of_variant(doc)").alias("s"), F.expr("variant_get(doc, '$.d.a.b', 'int')").alias("b"), D.field(F.col("doc"), "f", "double").alias("f"), D.field(F.col("doc"), "none", "int").alias("none")).first()
@@ -50,20 +50,49 @@ def test_milliseconds_round_half_away(spark, micros, expected):
     assert got == expected * 1000
 
 
-def test_times_are_utc():
-    zone = timezone(timedelta(hours=5))
-    doc = D.from_variant(D.to_variant({"naive": datetime(2026, 8, 2, 12), "aware": datetime(2026, 8, 2, 12, tzinfo=zone), "far": datetime(9999, 12, 31, 23, 59, 59, 999000)}))
-    assert doc["naive"] == datetime(2026, 8, 2, 12, tzinfo=UTC) and doc["aware"] == datetime(2026, 8, 2, 7, tzinfo=UTC)
-    assert doc["far"] == datetime(9999, 12, 31, 23, 59, 59, 999000, tzinfo=UTC) and doc["naive"].utcoffset() == timedelta(0)
+@given(st.datetimes(min_value=datetime(1900, 1, 1), max_value=datetime(2200, 1, 1)), st.integers(-14 * 60, 14 * 60))
+def test_times_are_utc(moment, minutes):
+    moment = moment.replace(microsecond=moment.microsecond // 1000 * 1000)
+    zone = timezone(timedelta(minutes=minutes))
+    doc = D.from_variant(D.to_variant({"bare": moment, "zoned": moment.replace(tzinfo=zone)}))
+    assert doc["bare"] == moment.replace(tzinfo=UTC) and doc["zoned"] == moment.replace(tzinfo=UTC) - timedelta(minutes=minutes)
+    assert doc["bare"].utcoffset() == doc["zoned"].utcoffset() == timedelta(0)
 
 
-@pytest.mark.parametrize(("bad", "error", "path"), [([1], TypeError, ""), ("x", TypeError, ""), ({"a": {"b": [1, {1, 2}]}}, TypeError, "$.a.b[1]"), ({"a": 2**63}, ValueError, "$.a"), ({"a": {1: 2}}, TypeError, "$.a"), ({"a": (1,)}, TypeError, "$.a"), ({"a": bytearray(b"x")}, TypeError, "$.a")])
-def test_unfit_documents(bad, error, path):
-    with pytest.raises(error) as e:
-        D.to_variant(bad)
+#: Where an unfit value may hide: the document around it, and how its path is told.
+hiding = st.sampled_from([(lambda x: {"top": x}, "$.top"), (lambda x: {"list": [0, "a", x]}, "$.list[2]"), (lambda x: {"deep": {"er": [[x]]}}, "$.deep.er[0][0]"), (lambda x: {"ok": 1, "z": {"y": x}}, "$.z.y")])
+
+
+@given(hiding, st.one_of(st.frozensets(st.integers()), st.tuples(st.integers()), st.complex_numbers(), st.dates().filter(lambda d: not isinstance(d, datetime)), st.decimals(), st.binary().map(bytearray), st.just(int)))
+def test_unfit_values_are_told_with_their_place(place, bad):
+    around, path = place
+    with pytest.raises(TypeError) as e:
+        D.to_variant(around(bad))
+    assert path in str(e.value)
+
+
+@given(hiding, st.one_of(st.integers(min_value=2**63), st.integers(max_value=-(2**63) - 1)))
+def test_large_ints_are_refused(place, bad):
+    around, path = place
+    with pytest.raises(ValueError) as e:
+        D.to_variant(around(bad))
+    assert path in str(e.value)
+
+
+@given(hiding, st.one_of(st.integers(), st.none(), st.binary()))
+def test_names_are_text(place, name):
+    around, path = place
+    with pytest.raises(TypeError) as e:
+        D.to_variant(around({name: 1}))
     assert path in str(e.value)
 
 
+@given(st.one_of(leaf, st.lists(st.integers())))
+def test_documents_are_dicts(bad):
+    with pytest.raises(TypeError):
+        D.to_variant(bad)
+
+
 def test_bulk_documents_are_the_same(spark):
     df = spark.sql("select 1 as id, 2.5f as f, timestamp_ntz'2026-01-01 00:00:00.123600' as ts, array(1, 2) as l")
     row = df.select(D.document_of(df).alias("d")).first()["d"]
@@ -99,3 +128,15 @@ def test_models(spark):
     df = spark.createDataFrame([(b"k", D.to_variant({"name": "A", "age": 3}))], "k binary, doc variant")
     assert M.schema(Person).simpleString() == "struct<name:string,age:bigint>"
     assert M.typed(df, Person).collect()[0].asDict() == {"k": bytearray(b"k"), "name": "A", "age": 3}
+
+
+@pytest.mark.parametrize("column", ["cast(1 as decimal(9, 2))", "date'2020-02-02'", "map('a', 1)", "interval '1' day", "array(struct(date'2020-02-02' as d))"])
+def test_bulk_refuses_what_the_driver_refuses(spark, column):
+    with pytest.raises(TypeError, match="can't hold"):
+        D.document_of(spark.sql(f"select {column} as c"))
+
+
+def test_bulk_rounds_times_at_any_depth(spark):
+    df = spark.sql("select struct(array(timestamp_ntz'2001-01-01 00:00:00.000700') as l, 1.5f as f) as s, cast(null as struct<x:int>) as none")
+    got = D.from_variant(df.select(D.document_of(df).alias("d")).first()["d"])
+    assert got == {"s": {"l": [datetime(2001, 1, 1, 0, 0, 0, 1000, tzinfo=UTC)], "f": 1.5}, "none": None}

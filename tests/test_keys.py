@@ -43,16 +43,24 @@ def test_a_scalar_is_the_tuple_of_it():
     assert K.decode(K.encode(())) == ()
 
 
-@pytest.mark.parametrize("bad", [1.5, True, False, None, [1], (1, (2,)), (None,), (True,), object(), bytearray(b"a")])
-def test_unfit_types(bad):
+#: Anything that is not an int, a str or bytes; alone, or between fit components.
+misfit = st.one_of(st.floats(), st.booleans(), st.none(), st.complex_numbers(), st.lists(st.integers(), max_size=2), st.frozensets(st.text(), max_size=2), st.dictionaries(st.text(), st.integers(), max_size=1), parts, st.binary().map(bytearray), st.dates())
+
+
+@given(parts, misfit, parts)
+def test_unfit_types(before, bad, after):
+    if not isinstance(bad, tuple):
+        with pytest.raises(TypeError):
+            K.encode(bad)
     with pytest.raises(TypeError):
-        K.encode(bad)
+        K.encode((*before, bad, *after))
 
 
-@pytest.mark.parametrize("bad", [2**63, -(2**63) - 1, (0, 2**63), "\ud800"])
-def test_unfit_values(bad):
-    with pytest.raises(ValueError):
-        K.encode(bad)
+@given(parts, st.one_of(st.integers(min_value=2**63), st.integers(max_value=-(2**63) - 1), st.text(st.characters(categories=["Cs"]), min_size=1)))
+def test_unfit_values(before, bad):
+    for k in (bad, (*before, bad)):
+        with pytest.raises(ValueError):
+            K.encode(k)
 
 
 @pytest.mark.parametrize("raw", [b"\x01\x80", b"\x02ab", b"\x09", b"\x02\xff\x00", b"\x02a\x00\xff"])
@@ -116,7 +124,7 @@ def test_columns_agree_with_the_driver(spark):
         assert bytes(r["ki"]) == K.encode(r["i"]) and bytes(r["ks"]) == K.encode(r["s"]) and bytes(r["kb"]) == K.encode(raw)
         assert bytes(r["k"]) == K.encode((r["s"], r["i"], raw))
         assert (r["di"], r["ds"], bytes(r["db"])) == (r["i"], r["s"], raw)
-        assert [p["t"] for p in r["p"]] == [2, 1, 3] and (r["p"][0]["s"], r["p"][1]["i"], bytes(r["p"][2]["b"])) == (r["s"], r["i"], raw)
+        assert [p["t"] for p in r["p"]] == [2, 1, 3] and [p["i"] is None for p in r["p"]] == [True, False, True] and (r["p"][0]["s"], r["p"][1]["i"], bytes(r["p"][2]["b"])) == (r["s"], r["i"], raw)
 
 
 def test_spark_sorts_keys_in_order(spark):
@@ -128,3 +136,12 @@ def test_spark_sorts_keys_in_order(spark):
 def test_key_of_rejects_other_types(spark):
     with pytest.raises(TypeError):
         K.key_of(spark.sql("select 1.5d as x"), "x")
+
+
+def test_parts_of_long_and_empty_keys(spark):
+    long = "ab\0" * 20_000
+    keys = [(), ("",), (b"",), (long, -1, long.encode()), (0, 0, 0), ("\0", b"\0\xff", "\xff")]
+    rows = spark.createDataFrame([(i, K.encode(k)) for i, k in enumerate(keys)], "i int, k binary").select("i", K.decode_parts(F.col("k")).alias("p"))
+    for r in rows.collect():
+        got = tuple(p["i"] if p["t"] == 1 else p["s"] if p["t"] == 2 else bytes(p["b"]) for p in r["p"])
+        assert got == keys[r["i"]]
