@@ -12,8 +12,9 @@ a page that lacks the path uses its own best container.
 
 Scale: votes are summed per task before they move.  The winners are one short
 row for each host; they are handed to the executors whole if their checked
-size allows (``broadcast_bytes``), else joined by host.  Pages are read twice
-and never gathered.
+size allows (``broadcast_bytes``), else joined by host, each in ``splits`` parts.
+Pages are read twice and never gathered.  A page takes time in proportion to its
+length, whatever its markup.
 
 Blocks are what block-level tags delimit; character references are decoded,
 white space inside a block (a line break ``<br>`` included) becomes one space.
@@ -39,13 +40,13 @@ from pyspark.sql import functions as F
 
 from .common import arrow_columns, checkpointed, map_arrow
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|iframe|svg|math|object|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?][^>]*>",
-    re.S | re.I,
-)
+#: What a "<" may begin: a comment, a declaration, or a tag.
+_TOKEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+#: Elements whose content is no text of the page, up to their end tag.
+_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in "script style noscript template iframe svg object textarea title annotation".split()}
+_QUOTE_OR_END = re.compile("[>\"']")
+#: Elements nested deeper than this stand where the last one within it does.
+DEPTH = 200
 _CLASS = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 #: Tags whose content is never article text.
@@ -105,10 +106,58 @@ def _condemned(tag: str, names: list[str], ids: list[str], inside: bool) -> bool
 
 
 class Node:
-    __slots__ = ("tag", "path", "junk", "main", "top", "form")
-
-    def __init__(self, tag: str, path: str, junk: bool, main: bool, top: bool, form: int = 0):
-        self.tag, self.path, self.junk, self.main, self.top, self.form = tag, path, junk, main, top, form
+    """An element: its tag, its path of block tags, what holds for the text in it, and the element around it."""
+
+    __slots__ = ("tag", "path", "junk", "main", "form", "outer", "listed", "scored", "worth", "share", "within")
+
+    def __init__(self, tag: str, path: str, junk: bool, main: bool, form: int, outer: Node | None):
+        self.tag, self.path, self.junk, self.main, self.form, self.outer = tag, path, junk, main, form, outer
+        self.listed = tag in _LISTS or outer is not None and outer.listed
+        self.scored = tag in _SCORED or outer is None
+        self.worth = self.share = 0.0
+        self.within = False
+
+
+def tokens(page: str) -> Iterator[tuple[str, str | None, bool, str]]:
+    """The text before each tag, its name (None: no tag), whether it is an end tag, and its attributes; in linear time.
+
+    A quote that is never closed is an ordinary character; if a tag has no end
+    because of its quotes, it and all later ones end at the next ">".
+    """
+    at, lax, open_quotes = 0, False, {'"': True, "'": True}
+
+    def end_of_tag(start: int) -> int:
+        nonlocal lax
+        pos = start
+        while not lax:
+            m = _QUOTE_OR_END.search(page, pos)
+            if m is None:
+                lax = True
+            elif m[0] == ">":
+                return m.start()
+            else:
+                close = page.find(m[0], m.end()) if open_quotes[m[0]] else -1
+                open_quotes[m[0]] = close >= 0
+                pos = close + 1 if close >= 0 else m.end()
+        return page.find(">", start)
+
+    begin = 0
+    while (m := _TOKEN.search(page, at)) is not None:
+        if m[1]:
+            stop = page.find("-->", m.end())
+            yield page[begin : m.start()], None, False, ""
+            begin = at = len(page) if stop < 0 else stop + 3
+            continue
+        stop = page.find(">", m.end()) if m[2] else end_of_tag(m.end())
+        if stop < 0:
+            break  # no tag ends any more
+        tag = (m[4] or "").lower()
+        yield page[begin : m.start()], tag or None, bool(m[3]), page[m.end() : stop]
+        begin = at = stop + 1
+        if tag in _RAW and not m[3]:
+            last = _RAW[tag].search(page, at)
+            begin = at = len(page) if last is None else last.end()
+    yield page[begin:], None, False, ""
 
 
 def _names(raw: str) -> tuple[list[str], list[str], str, bool]:
@@ -127,11 +176,13 @@ def _names(raw: str) -> tuple[list[str], list[str], str, bool]:
     return names, ids, label, hidden
 
 
-def blocks_of(page: str) -> list[tuple[str, list[Node], float]]:
-    """The page's blocks of text, each with the elements around it and its share of link text."""
-    out: list[tuple[str, list[Node], float]] = []
-    root = Node("", "", False, False, True)
-    stack = [root]
+def blocks_of(page: str) -> tuple[list[tuple[str, Node, float]], list[Node]]:
+    """The page's blocks of text, each with the element around it and its share of link text; and all elements, outer ones first."""
+    out: list[tuple[str, Node, float]] = []
+    root = Node("", "", False, False, 0, None)
+    stack, nodes = [root], [root]
+    paths: dict[tuple[str, str], str] = {}
+    deeper: Counter = Counter()
     parts: list[str] = []
     state = {"link": 0, "all": 0, "open": 0, "forms": 0}
 
@@ -140,7 +191,7 @@ def blocks_of(page: str) -> list[tuple[str, list[Node], float]]:
             text = " ".join(entities.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append((text, list(stack), min(1.0, state["link"] / max(1, state["all"]))))
+                out.append((text, stack[-1], min(1.0, state["link"] / max(1, state["all"]))))
         state["link"] = state["all"] = 0
 
     def say(text: str) -> None:
@@ -154,20 +205,19 @@ def blocks_of(page: str) -> list[tuple[str, list[Node], float]]:
         while len(stack) > depth:
             state["open"] -= stack.pop().tag == "a"
 
-    at = 0
-    for m in _TOKEN.finditer(page):
-        say(page[at : m.start()])
-        at = m.end()
-        tag = m[3]
-        if tag is None:
+    for before, tag, ends, raw in tokens(page):
+        say(before)
+        if tag is None or tag in _RAW:
             continue
-        tag = tag.lower()
         if tag == "br":
             say(" ")
             continue
         if tag in _BLOCK:
             flush()
-        if m[2]:
+        if ends:
+            if deeper[tag]:
+                deeper[tag] -= 1
+                continue
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == tag:
                     pop_to(depth)
@@ -186,7 +236,6 @@ def blocks_of(page: str) -> list[tuple[str, list[Node], float]]:
                 if stack[depth].tag in _CONTAINERS or stack[depth].tag in ("ul", "ol", "dl", "table") and "p" not in closes:
                     break
         top = stack[-1]
-        raw = m[4]
         names, ids, label, hidden = _names(raw) if len(raw) > 3 else ([], [], "", False)
         inside = top.main
         heads = tag == "header" or tag not in _SPARED and any(n.lower() in ("header", "banner") for n in names + ids)
@@ -196,40 +245,46 @@ def blocks_of(page: str) -> list[tuple[str, list[Node], float]]:
         form = top.form or state["forms"] * (tag == "form")
         if raw.rstrip().endswith("/") and tag not in _BLOCK:
             continue
-        node = Node(tag, f"{top.path}/{tag}{label}" if tag in _BLOCK else top.path, junk, main, False, form)
+        if len(stack) > DEPTH:
+            deeper[tag] += 1
+            continue
+        path = paths.setdefault((top.path, tag + label), f"{top.path}/{tag}{label}") if tag in _BLOCK else top.path
+        node = Node(tag, path, junk, main, form, top)
         stack.append(node)
+        nodes.append(node)
         state["open"] += tag == "a"
-    say(page[at:])
     flush()
     # A form goes, unless it holds most of the page's text.
     held = Counter()
-    for text, around, _ in out:
-        if not around[-1].junk:
-            held[around[-1].form] += len(text)
+    for text, node, _ in out:
+        if not node.junk:
+            held[node.form] += len(text)
     whole = sum(held.values())
-    for _, around, _ in out:
-        form = around[-1].form
-        if form and 2 * held[form] <= whole:
-            around[-1].junk = True
-    return out
+    for node in nodes:
+        if node.form and 2 * held[node.form] <= whole:
+            node.junk = True
+    return out, nodes
 
 
-def scored(page: str) -> tuple[list[tuple[str, list[Node], float]], dict[str, float], dict[str, float]]:
-    """The page's blocks, the scores of its container paths, and the text that each path holds."""
-    blocks = blocks_of(page)
+def scored(page: str) -> tuple[list[tuple[str, Node, float]], list[Node], dict[str, float], dict[str, float]]:
+    """The page's blocks and elements, the scores of its container paths, and the text that each path holds."""
+    blocks, nodes = blocks_of(page)
     scores: Counter = Counter()
     holds: Counter = Counter()
-    for text, around, linked in blocks:
-        if around[-1].junk or linked > 0.5:
-            continue
-        weight, worth = 1.0, len(text) * (1 - linked)
-        for node in reversed(around):
-            if node.tag in _SCORED or node is around[0]:
-                # An article or main element speaks for all of its text; other containers pass on half.
-                scores[node.path] += worth * (3.0 if node.tag in ("article", "main") else weight)
-                holds[node.path] += worth
-                weight *= 0.5
-    return blocks, scores, holds
+    for text, node, linked in blocks:
+        if not node.junk and linked <= 0.5:
+            node.worth += len(text) * (1 - linked)
+            node.share = node.worth
+    for node in reversed(nodes):
+        if node.worth and node.scored:
+            # An article or main element speaks for all of its text; other containers pass on half.
+            scores[node.path] += 3.0 * node.worth if node.tag in ("article", "main") else node.share
+            holds[node.path] += node.worth
+            node.share *= 0.5
+        if node.outer is not None:
+            node.outer.worth += node.worth
+            node.outer.share += node.share
+    return blocks, nodes, scores, holds
 
 
 def climbed(path: str, holds: dict[str, float]) -> str:
@@ -250,27 +305,31 @@ def extract(page: str | None, winner: str | None) -> tuple[str, str | None]:
     """The text of the page under the winning path (or its own best), and the path used."""
     if not page:
         return "", None
-    blocks, scores, holds = scored(page)
+    blocks, nodes, scores, holds = scored(page)
     path = winner if winner is not None and winner in scores else best_path(scores, holds)
     if path is None:
         return "", None
+    for node in nodes:
+        node.within = node.scored and node.path == path or node.outer is not None and node.outer.within
     kept, title = [], []
     whole = path.rpartition("/")[2].partition(".")[0] in ("body", "html", "")
     # Outside an article element, a list of bare links is a menu if it comes before any text, or in the page as a whole if no heading leads to it.
     follows = False
-    for text, around, linked in blocks:
-        if around[-1].junk:
+    for text, node, linked in blocks:
+        if node.junk:
             continue
-        if any(node.path == path and (node.tag in _SCORED or node.top) for node in around):
-            menu = linked >= 0.9 and any(node.tag in _LISTS for node in around)
-            if around[-1].main or not menu or follows:
+        if node.within:
+            menu = linked >= 0.9 and node.listed
+            if node.main or not menu or follows:
                 kept.append(text)
             if not menu:
-                follows = not whole or around[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-        elif not kept and around[-1].tag in ("h1", "h2") and linked < 0.9:
+                follows = not whole or node.tag in ("h1", "h2", "h3", "h4", "h5", "h6")
+        elif not kept and node.tag in ("h1", "h2") and linked < 0.9:
             # A heading that stands right above the container, in the element around it, is its title.
-            holder = next((node.path for node in reversed(around) if node.tag in _SCORED or node.top), "")
-            if path.rpartition("/")[0] == holder and holder.rpartition("/")[2] not in ("body", "html", ""):
+            holder = node
+            while not holder.scored:
+                holder = holder.outer
+            if path.rpartition("/")[0] == holder.path and holder.path.rpartition("/")[2] not in ("body", "html", ""):
                 title.append(text)
     return "\n".join(title + kept), path
 
@@ -297,7 +356,7 @@ def host_votes(pages: DataFrame, *, url: str = "url", html: str = "html") -> Dat
         for batch in batches:
             for u, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if page:
-                    host, (_, scores, holds) = host_of(u), scored(page)
+                    host, (_, _, scores, holds) = host_of(u), scored(page)
                     whole, text = sum(scores.values()), holds.get("", 0.0)
                     for path, score in scores.items():
                         entry = held.setdefault((host, path), [0.0, 0.0, 0])
@@ -327,7 +386,7 @@ def winners(votes: DataFrame) -> DataFrame:
     return best.join(steps, "host", "left").select("host", F.when(stays, F.col("path")).otherwise(top).alias("path"))
 
 
-def extract_main_text(pages: DataFrame, *, url: str = "url", html: str = "html", broadcast_bytes: int = 8 << 20) -> DataFrame:
+def extract_main_text(pages: DataFrame, *, url: str = "url", html: str = "html", broadcast_bytes: int = 8 << 20, splits: int = 64) -> DataFrame:
     """pages with text, n_chars and path (the container path used)."""
     best = checkpointed(winners(checkpointed(host_votes(pages, url=url, html=html))))
     size = best.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path") + 64), F.lit(0)).alias("b")).first()["b"]
@@ -339,8 +398,10 @@ def extract_main_text(pages: DataFrame, *, url: str = "url", html: str = "html",
     def hosts():
         return lambda batch: [pa.array([host_of(u) for u in batch.column(url).to_pylist()], pa.string())]
 
-    named = arrow_columns(pages, [("_host", "string")], hosts)
-    joined = named.join(best.select(F.col("host").alias("_host"), F.col("path").alias("_path")), "_host", "left").drop("_host")
+    # A host may have a large part of all pages: they go to as many splits, to each of which its path goes.
+    named = arrow_columns(pages, [("_host", "string")], hosts).withColumn("_split", F.pmod(F.xxhash64(F.col(f"`{html}`")), F.lit(splits)))
+    paths = best.select(F.col("host").alias("_host"), F.col("path").alias("_path"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(splits - 1).cast("bigint"))).alias("_split"))
+    joined = named.join(paths, ["_host", "_split"], "left").drop("_host", "_split")
     return arrow_columns(joined, fields, lambda: lambda batch: _texts(batch, html, batch.column("_path").to_pylist())).drop("_path")
 
 

@@ -90,3 +90,54 @@ def test_winners_climb(spark):
     rows = [("a", "", 0.1, 1.0), ("a", "/body", 0.2, 1.0), ("a", "/body/div", 0.3, 0.99), ("a", "/body/div/div", 0.9, 0.5), ("b", "/body", 0.1, 1.0), ("b", "/body/article", 0.9, 0.2), ("c", "", 1.0, 1.0)]
     votes = spark.createDataFrame(rows, "host string, path string, votes double, holds double")
     assert {(r["host"], r["path"]) for r in h.winners(votes).collect()} == {("a", "/body/div"), ("b", "/body/article"), ("c", "")}
+
+
+@pytest.mark.parametrize("piece", ["<a '", "<div>x", "<div class=a>y</p>", "<b>z", "<a '>'", "<!--", "</div>", "<p title=\"", "<", "&amp", "<ul><li>"])
+def test_time_grows_with_the_length(piece):
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        h.extract(piece * n, None)
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(40_000) < 25 * max(0.02, seconds(4_000))
+
+
+def test_deep_nesting_keeps_all_text():
+    page = "<div>" * 1000 + "deep" + "</div>" * 1000 + "<p>after"
+    assert h.extract(page, None)[0] == "deep\nafter"
+
+
+def test_formulas_stay():
+    assert h.extract("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.</p></article>", None)[0] == "Let x=1 be."
+
+
+@pytest.mark.parametrize("name", ["content with-comments", "post side-image", "follow-up-story", "home nav-open", "page search-enabled"])
+def test_parts_of_names_do_not_condemn(name):
+    for tag in ("body", "div", "article", "section"):
+        assert h.extract(f'<{tag} class="{name}">{ARTICLE}</{tag}>', None)[0] == TEXT
+
+
+def test_query_against_labelled_pages(spark, tmp_path):
+    """The registered query over pages whose article is known, from hosts with different templates."""
+    import random
+
+    from ordinate.llm import queries
+
+    rng, rows, want = random.Random(4), [], {}
+    frames = [
+        '<body><nav><a href="/">Home</a></nav><main><h1>{t}</h1>{b}</main><footer>About us</footer>',
+        '<body><div class="sidebar"><p>Latest posts of ours</p></div><div class="entry-{k}"><h1>{t}</h1>{b}<div class="comments"><p>I like it</p></div></div><div class="ads">Buy</div>',
+        '<table><tr><td class="menu"><ul><li><a href=x>x</a></ul></td><td class="main"><h1>{t}</h1>{b}</td></tr></table><script>b()</script>',
+        '<body><form action=go><div id="hd" class="header">Site</div><div class="story"><h1>{t}</h1>{b}</div></form>',
+    ]
+    for i in range(120):
+        title = f"Title {i}"
+        body = [" ".join(rng.choice(["rain", "falls", "on", "the", "plain"]) for _ in range(rng.randrange(10, 60))) for _ in range(rng.randrange(2, 6))]
+        rows.append((i, f"https://h{i % 4}.example/{i}", frames[i % 4].format(t=title, k=i, b="".join(f"<p>{x}</p>" for x in body))))
+        want[i] = "\n".join([title, *body])
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r for r in queries.op8_html(spark, str(tmp_path)).collect()}
+    assert {i: r["text"] for i, r in got.items()} == want and all(r["n_chars"] == len(want[i]) for i, r in got.items())
