@@ -10,8 +10,9 @@ without any (say independent, isotropic ones in 64 dimensions, where every
 projection to a few axes forgets most of an inner product) defeat every curve,
 so an exact check follows (``exact=True``): the score a query has in hand is a
 floor; blocks of the first ordering whose ball bound (centre and radius) beats
-the floor are scored as well, the others are skipped.  Its queries travel in
-blocks of ``query_block``, each one pass over the data in place.
+the floor are scored as well, the others are skipped.  It takes splits of
+``split_points`` points of that ordering against splits of ``split_queries``
+queries, each such pair in a task of its own; nothing passes the driver.
 
 Equal vectors are one point with its k + 1 smallest ids, as no other id of it
 can ever be among the nearest k; so a vector that makes up a third of all rows
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_arrow
+from .common import checkpointed, map_arrow, ship
 
 
 def usable(v: Column) -> Column:
@@ -138,30 +139,35 @@ def curve_windows(points: DataFrame, dims: int, *, k: int, curves: int, window:
     return map_arrow(laid, near, _PAIR)
 
 
-def exact_pairs(points: DataFrame, floors: list, dims: int, *, k: int, block: int = 512) -> DataFrame:
-    """Pairs that reach their query's floor, from points in the order of a curve; blocks that can't reach any floor are skipped."""
-    ids = np.array([r["query"] for r in floors], np.int64)
-    base = np.array([r["floor"] if r["floor"] is not None else -np.inf for r in floors])
-    base -= 1e-12 * np.abs(np.where(np.isfinite(base), base, 0)) + 1e-300
-    asked = np.array([r["v"] for r in floors], np.float64).reshape(len(ids), dims).astype(np.float32)
+def exact_pairs(points: DataFrame, asked: DataFrame, dims: int, *, k: int, block: int = 512) -> DataFrame:
+    """Pairs that reach their query's floor; blocks of points that can't reach any floor are skipped.
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = asked.astype(np.float64)
-        length, floor = np.linalg.norm(q, axis=1), base.copy()
-        for batch in batches:
-            everything, point = _matrix(batch.column("v"), dims), batch.column("point").to_numpy()
+    points: split, place (on a curve), point, v; asked: split, query, v, floor.
+    Each group holds one split of the points and one of the queries.
+    """
+
+    def scan(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = {n: [] for n in ("query", "point", "score")}
+        if left.num_rows and right.num_rows:
+            left = left.sort_by("place").combine_chunks()
+            right = right.combine_chunks()
+            q, ids, floor = _matrix(right.column("v").chunk(0), dims), right.column("query").to_numpy(), right.column("floor").fill_null(-np.inf).to_numpy().copy()
+            floor -= 1e-12 * np.abs(np.where(np.isfinite(floor), floor, 0)) + 1e-300
+            length = np.linalg.norm(q, axis=1)
+            everything, point = _matrix(left.column("v").chunk(0), dims), left.column("point").to_numpy()
             for at in range(0, len(point), block):
                 m = everything[at : at + block]
                 centre = m.mean(0)
                 radius = np.sqrt(((m - centre) ** 2).sum(1).max())
                 hope = np.nonzero(q @ centre + length * radius * (1 + 1e-9) >= floor)[0]
                 for part in np.array_split(hope, max(1, len(hope) // 2048)):
-                    scores = q[part] @ m.T
-                    r, s = np.nonzero(scores >= floor[part, None])
-                    if len(r):
-                        yield _pairs(ids[part[r]], point[at + s], (q[part[r]] * m[s]).sum(1))
+                    r, c = np.nonzero(q[part] @ m.T >= floor[part, None])
+                    for n, x in zip(out, (ids[part[r]], point[at + c], (q[part[r]] * m[c]).sum(1)), strict=True):
+                        out[n].append(x)
+        return pa.table({n: pa.array(np.concatenate(x) if x else np.empty(0), pa.float64() if n == "score" else pa.int64()) for n, x in out.items()})
 
-    return map_arrow(points, scan, _PAIR)
+    ship(points.sparkSession)
+    return points.groupBy("split", "part").cogroup(asked.groupBy("split", "part")).applyInArrow(scan, _PAIR)
 
 
 def _top(pairs: DataFrame, points: DataFrame, k: int) -> DataFrame:
@@ -173,7 +179,7 @@ def _top(pairs: DataFrame, points: DataFrame, k: int) -> DataFrame:
     return opened.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1).drop("r")
 
 
-def search(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", is_query: Column, k: int = 20, curves: int = 8, window: int = 128, axes: int = 7, bits: int = 9, seed: int = 7, exact: bool = True, query_block: int = 8192) -> DataFrame:
+def search(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", is_query: Column, k: int = 20, curves: int = 8, window: int = 128, axes: int = 7, bits: int = 9, seed: int = 7, exact: bool = True, split_points: int = 1 << 17, split_queries: int = 1 << 16) -> DataFrame:
     """query_id, rank, vec_id and score of the k largest inner products of every query row."""
     rows = vectors.select(F.col(vec_id).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
     rows = rows.where(usable(F.col("v")) & F.col("id").isNotNull()).withColumn("h", F.xxhash64("v"))
@@ -189,7 +195,7 @@ def search(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "embeddi
         pairs = curve_windows(mine.select("point", "v", "is_query"), length, k=k, curves=curves, window=window, axes=axes, bits=bits, seed=seed)
         top = checkpointed(_top(pairs, mine, k))
         if exact:
-            top = _complete(mine, top, length, k, axes, bits, seed, query_block)
+            top = _complete(mine, top, length, k, axes, bits, seed, split_points, split_queries)
         results = top if results is None else results.unionByName(top)
     if results is None:
         results = vectors.sparkSession.createDataFrame([], "query bigint, score double, vec_id bigint")
@@ -200,22 +206,22 @@ def search(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "embeddi
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("_n")).drop("_n")
 
 
-def _complete(points: DataFrame, top: DataFrame, dims: int, k: int, axes: int, bits: int, seed: int, query_block: int) -> DataFrame:
+def _complete(points: DataFrame, top: DataFrame, dims: int, k: int, axes: int, bits: int, seed: int, split_points: int, split_queries: int) -> DataFrame:
+    """top, with whatever the windows missed: splits of the first ordering against splits of the queries."""
+
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key = curve(_matrix(batch.column("v"), dims), 0, axes, bits, seed).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("point"), batch.column("v")], names=["key", "point", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("point"), batch.column("v")], names=["place", "point", "v"])
 
-    laid = map_arrow(points.select("point", "v"), order, "key bigint, point bigint, v array<float>")
-    laid = checkpointed(laid.repartitionByRange(F.col("key"), F.col("point")).sortWithinPartitions("key", "point").select("point", "v"))
     last = top.groupBy("query").agg(F.when(F.count(F.lit(1)) > k, F.min("score")).alias("floor"))
     floors = points.where("is_query").select(F.col("point").alias("query"), "v").join(last, "query", "left")
-    blocks = max(1, -(-floors.count() // query_block))
-    floors = checkpointed(floors.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks))))
-    pairs = None
-    for b in range(blocks):
-        held = floors.where(F.col("block") == b).collect()
-        if held:
-            more = exact_pairs(laid, held, dims, k=k)
-            pairs = more if pairs is None else pairs.unionByName(more)
-    return checkpointed(_top(pairs, points, k)) if pairs is not None else top
+    sizes = points.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_query").alias("q")).first()
+    splits, parts = max(8, -(-sizes["n"] // split_points)), max(1, -(-sizes["q"] // split_queries))
+    laid = map_arrow(points.select("point", "v"), order, "place bigint, point bigint, v array<float>")
+    laid = laid.repartitionByRange(splits, F.col("place"), F.col("point")).withColumn("split", F.spark_partition_id())
+    laid = checkpointed(laid)  # the bounds of the splits are drawn anew whenever they are planned
+    splits = laid.agg(F.coalesce(F.max("split"), F.lit(0)).alias("s")).first()["s"] + 1
+    laid = laid.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    asked = floors.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(parts)).cast("int")).withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
+    return checkpointed(_top(exact_pairs(laid, asked, dims, k=k), points, k))

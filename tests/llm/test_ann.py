@@ -38,7 +38,7 @@ def test_exact_neighbours(spark):
     rows += [(1000, None, 0), (1020, [], 0), (1040, [0.0] * 16, 0), (1060, [float("nan")] + [1.0] * 15, 0), (1080, [float("inf")] + [1.0] * 15, 0), (1100, [None] + [1.0] * 15, 0), (1120, [1.0, 2.0], 0), (1121, [2.0, 1.0], 0), (None, [1.0] * 16, 0)]
     random.Random(2).shuffle(rows)
     want = brute(rows, 20)
-    got = found(spark.createDataFrame(rows, SCHEMA).repartition(5), window=16, query_block=20)
+    got = found(spark.createDataFrame(rows, SCHEMA).repartition(5), window=16, split_points=100, split_queries=20)
     assert got.keys() == want.keys()
     for q, (expected,) in want.items():
         assert [(i, s) for _, i, s in got[q]] == expected and [r for r, _, _ in got[q]] == list(range(1, len(expected) + 1))
@@ -60,6 +60,25 @@ def test_windows_alone_reach_the_recall_on_clusters(spark):
     assert hits / sum(len(v[0]) for v in want.values()) >= 0.9
 
 
+def test_what_the_windows_find_without_structure(spark):
+    """Independent directions in many dimensions: the windows alone find part of the neighbours, the check the rest."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(np.float32(x)) for x in v], 0) for i, v in enumerate(rng.standard_normal((3000, 64)))]
+    want, df = brute(rows, 20), spark.createDataFrame(rows, SCHEMA)
+    total = sum(len(v[0]) for v in want.values())
+    recall = lambda got: sum(len({i for i, _ in want[q][0]} & {i for _, i, _ in got.get(q, [])}) for q in want) / total
+    assert 0.5 < recall(found(df, exact=False)) and recall(found(df)) == 1.0
+
+
+def test_clashing_columns_and_long_vectors(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(np.float32(x)) for x in rng.standard_normal(3000)], 0) for i in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for name in ("point", "query", "v", "h", "score", "rank", "split", "n"):
+        df = df.withColumn(name, F.lit("x"))
+    assert {q: [(i, s) for _, i, s in v] for q, v in found(df).items()} == {q: v[0] for q, v in brute(rows, 20).items()}
+
+
 def test_few_and_none(spark):
     assert found(spark.createDataFrame([], SCHEMA)) == {}
     assert found(spark.createDataFrame([(20, [1.0, 2.0], 0)], SCHEMA)) == {}
