@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +32,10 @@ def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key is the setting spark.ordinate.pii.key; without it one is drawn that nobody keeps."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.with_surrogates(docs).select("doc_id", "text", "n_entities")
+    key = spark.conf.get("spark.ordinate.pii.key", None) or secrets.token_hex(32)
+    return pii.with_surrogates(docs, key=key).select("doc_id", "text", "n_entities")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
