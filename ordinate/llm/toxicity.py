@@ -1,30 +1,35 @@
 """Toxic passages by maximum-scoring segments.
 
 Each token has a log-odds score: how much likelier it is in toxic text than in
-other text, smoothed by a Dirichlet prior that follows the corpus.  A linear
-scan (Ruzzo and Tompa's) finds every maximal segment of a text.  Under the
-background model the best segment of n tokens follows an extreme-value law, so
-the evidence of a segment of score S is S - ln(K n).  K is the constant e^-4, unless
-documents that are not toxic score so high that their estimate of it is larger; the evidence of a document's significant segments
-is summed, and a logistic curve turns it into a score from 0 to 1.
+other text, smoothed by a Dirichlet prior that follows the corpus.  Tokens whose
+log-odds are ln 4 or more either way keep them, the others share one negative
+background score.  A linear scan (Ruzzo and Tompa's) finds every maximal segment
+of a text.  Under the background model the segments of n tokens that score S or
+more are K n e^-S in number, and the best of them follows an extreme-value law;
+K is estimated from the documents that are not toxic, by counting their segments
+of ln 4 or more.  The evidence of a segment is S - ln(K n); that of a document's
+significant segments is summed, and a logistic curve turns it into a score from
+0 to 1.
 
 The labelled documents of the learning folds (one of each distinct text) give
 the candidate tokens; all documents give the corpus frequencies that shape the
-prior; then all documents are scanned.  Only the first of these moves texts.  A
-candidate stands in ``least_docs`` toxic documents at least, more than its share
-of all; every candidate whose log-odds reach ln 4 is in the model, which grows
-with the vocabulary and is sent to the executors whole (any other token has the
-one background score).  The prior counts ``least_prior`` documents of each class
-at least, so that a rare word's score is held down and not the word.  Candidates
-beyond ``handed_out`` meet their corpus frequencies by a join.  The logistic curve has two
+prior; then all documents are scanned.  Texts stay in place while the labels to
+learn from are ``in_place`` or fewer, which are then sent to them; with more,
+labelled texts meet them in one shuffle.  A token of the toxic side stands in
+``least_docs`` toxic documents at least; one of the other side in as many as its
+log-odds need.  The model grows with the vocabulary and is sent to the executors
+whole.  The prior counts ``least_prior`` documents of each class at least, so that
+a rare word's score is held down and not the word.  Candidates beyond
+``handed_out`` meet their corpus frequencies by a join.  The logistic curve has two
 coefficients and is fitted to about ``max_fit`` labelled documents at most, chosen by
 a hash of their ids.
 
 Edge cases: null and empty texts have no evidence and get the curve's value at
-none; rows repeated are scored each; labels repeated or in conflict for one id
-count as toxic if most say so (ties do); labels of unknown ids or null labels
-are passed over; without any toxic label every score is 0; extra columns pass
-through, those named like an output column are replaced.
+none; a null id belongs to no fold (held_out gives null), is not learnt from and
+is scored like any other; rows repeated are scored each; labels repeated or in
+conflict for one id count as toxic if most say so (ties do); labels of unknown
+ids or null labels are passed over; without any toxic label every score is 0;
+extra columns pass through, those named like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -61,7 +66,7 @@ class Model:
 
 
 def segments(hits: list[tuple[int, float]], n: int, background: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end, score) of n tokens, given the tokens that score above the background.
+    """All maximal scoring segments (start, end, score) of n tokens, given the tokens that have a score of their own.
 
     Each stretch between hits counts as one negative item, so the scan is
     linear in the hits.
@@ -71,6 +76,8 @@ def segments(hits: list[tuple[int, float]], n: int, background: float) -> list[t
     for place, weight in hits:
         total += background * (place - at)
         left, total, at = total, total + weight, place + 1
+        if weight <= 0:
+            continue
         current = [place, place + 1, left, total]
         while True:
             j = len(done) - 1
@@ -89,7 +96,7 @@ def passages(text: str | None, model: Model, *, least: float = 0.0) -> tuple[int
     tokens = tokens_of(text)
     get = model.weights.get
     hits = [(i, w) for i, w in enumerate(map(get, tokens)) if w is not None]
-    if not hits:
+    if not any(w > 0 for _, w in hits):
         return len(tokens), 0.0, []
     floor = math.log(len(tokens)) + model.log_k
     found = [(s, e, score - floor) for s, e, score in segments(hits, len(tokens), model.background) if score - floor > least]
@@ -98,17 +105,17 @@ def passages(text: str | None, model: Model, *, least: float = 0.0) -> tuple[int
 
 def learners(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, label: str, learn: Column | None) -> tuple[DataFrame, DataFrame]:
     """The rows (id, body) that may be learnt from, and (id, toxic) of those to learn from: one id for each distinct text and label."""
-    toxic = F.when(F.avg(F.col(label).cast("double")) >= 0.5, 1).otherwise(0).alias("toxic")
+    toxic = F.when(F.avg(F.col(label).cast("double")) >= 0.5, 1).otherwise(0).cast("int").alias("toxic")
     marks = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(toxic)
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("body"))
     if learn is not None:
         rows, marks = rows.where(learn), marks.where(learn)
-    named = rows.select("id", F.md5("body").alias("mark")).join(marks.hint("merge"), "id")
+    named = rows.select("id", F.md5("body").alias("mark")).join(marks, "id")
     return rows, checkpointed(named.groupBy("mark", "toxic").agg(F.min("id").alias("id")).select("id", "toxic").distinct())
 
 
-def _counted(df: DataFrame, known: frozenset[bytes] | None, *, least: int = 0, buckets: int = 1, flush_at: int = 150_000) -> DataFrame:
-    """(token, toxic, plain): in how many rows of (body, toxic) a token stands, if it stands in ``least`` toxic ones; the empty token counts all rows.
+def _counted(df: DataFrame, known: frozenset[bytes] | None, *, least: int = 0, least_plain: int = 0, buckets: int = 1, flush_at: int = 150_000) -> DataFrame:
+    """(token, toxic, plain): in how many rows of (body, toxic) a token stands, if it stands in ``least`` toxic ones or ``least_plain`` others; the empty token counts all rows.
 
     Tokens travel by the bucket of a checksum, many to a row, and are summed
     bucket by bucket.
@@ -140,7 +147,7 @@ def _counted(df: DataFrame, known: frozenset[bytes] | None, *, least: int = 0, b
     def total(group: pa.Table) -> pa.Table:
         flat = pa.table({n: group.column(n).combine_chunks().flatten() for n in ("token", "toxic", "plain")})
         summed = flat.group_by("token").aggregate([("toxic", "sum"), ("plain", "sum")]).rename_columns(["token", "toxic", "plain"])
-        return summed.filter(pc.or_(pc.greater_equal(summed["toxic"], least), pc.equal(summed["token"], b"")))
+        return summed.filter(pc.or_(pc.or_(pc.greater_equal(summed["toxic"], least), pc.greater_equal(summed["plain"], least_plain)), pc.equal(summed["token"], b"")))
 
     packed = map_arrow(df, count, "bucket int, token array<binary>, toxic array<bigint>, plain array<bigint>")
     return packed.groupBy("bucket").applyInArrow(total, "token binary, toxic bigint, plain bigint")
@@ -152,19 +159,26 @@ def log_odds(toxic, plain, n_toxic, n_plain, prior, size):
     return odds(toxic, n_toxic) - odds(plain, n_plain)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", learn: Column | None = None, least_docs: int = 3, strength: float = 20.0, least_prior: float = 0.5, handed_out: int = 200_000, max_fit: int = 50_000) -> Model:
+#: Log-odds from which on a token keeps its own, either way.
+APART = math.log(4)
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", learn: Column | None = None, least_docs: int = 3, strength: float = 20.0, least_prior: float = 0.5, in_place: int = 1_000_000, handed_out: int = 200_000, max_fit: int = 50_000) -> Model:
     """learn: which ids may be learnt from, an expression over ``id``."""
     rows, marks = learners(docs, labels, doc_id=doc_id, text=text, label=label, learn=learn)
-    # Always a merge join: the marks grow with the input, and so the plan should stay the same.
-    learnt = rows.join(marks.hint("merge"), "id").select("body", "toxic")
-    buckets = max(16, marks.count() // 1000)
-    counts = checkpointed(_counted(learnt, None, least=least_docs, buckets=buckets))
+    marked = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    few = sum(marked.values()) <= in_place
+    learnt = rows.join(F.broadcast(marks) if few else marks.hint("merge"), "id")
+    buckets = max(16, sum(marked.values()) // 1000)
+    # Fewer documents than this can't take a token's log-odds to - ln 4.
+    least_plain = max(least_docs, int(1.5 * marked.get(0, 0) * min(1.0, 2 * least_prior) / max(1, marked.get(1, 0))))
+    counts = checkpointed(_counted(learnt.select("body", "toxic"), None, least=least_docs, least_plain=least_plain, buckets=buckets))
     whole = counts.where("token = X''").first()
     n_toxic, n_plain = (whole["toxic"], whole["plain"]) if whole else (0, 0)
     if not n_toxic or not n_plain:
         return Model(intercept=-math.inf)
     k, expected = F.col("toxic"), (F.col("toxic") + F.col("plain")) * (n_toxic / (n_toxic + n_plain))
-    candidates = counts.where((F.col("token") != F.lit(b"")) & (k >= least_docs) & (k > expected))
+    candidates = counts.where((F.col("token") != F.lit(b"")) & ((k >= least_docs) & (k > expected) | (F.col("plain") >= least_plain) & (k < expected)))
     everything = docs.select(F.col(text).alias("body"), F.lit(0).alias("toxic"))
     known = frozenset(bytes(r["token"]) for r in candidates.select("token").collect()) if candidates.count() <= handed_out else None
     corpus = checkpointed(_counted(everything, known, buckets=buckets).select("token", F.col("plain").alias("all")))
@@ -173,24 +187,22 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     odds = lambda n, of: F.log(n + F.col("prior")) - F.log(F.lit(of + strength) - n - F.col("prior"))
     weighed = candidates.join(corpus, "token", "left").withColumn("prior", prior).withColumn("delta", odds(k, n_toxic) - odds(F.col("plain"), n_plain))
     # The odds alone decide which tokens stay; rounding is settled below.
-    best = weighed.where(F.col("delta") >= math.log(4) - 1e-6).orderBy("token").collect()
-    if not best:
-        return Model(intercept=-math.inf)
+    best = weighed.where(F.abs("delta") >= APART - 1e-6).orderBy("token").collect()
     names = [bytes(r["token"]) for r in best]
     toxic, plain, prior = (np.array([r[c] for r in best], float) for c in ("toxic", "plain", "prior"))
     delta = log_odds(toxic, plain, n_toxic, n_plain, prior, strength)
-    sure = delta >= math.log(4)
-    weights = {t: float(w) for t, w, ok in zip(names, delta, sure, strict=True) if ok}
-    if not weights:
+    weights = {t: float(w) for t, w in zip(names, delta, strict=True) if abs(w) >= APART}
+    if not any(w > 0 for w in weights.values()):
         return Model(intercept=-math.inf)
-    # What all other tokens share: their log-odds as one class, per token of a toxic document.
-    share_toxic = min(0.5, float(toxic[sure].sum()) / n_toxic / 20)
-    model = Model(weights, background=min(-0.05, math.log1p(-share_toxic)))
-    return calibrate(model, rows, marks, max_fit)
+    # What all other tokens share: how much rarer they are as a class in toxic passages, which are taken to hold twenty tokens.
+    share = min(0.5, float(toxic[delta >= APART].sum()) / n_toxic / 20)
+    model = Model(weights, background=min(-0.05, math.log1p(-share)))
+    return calibrate(model, learnt if few else rows, None if few else marks, max_fit)
 
 
-def calibrate(model: Model, rows: DataFrame, marks: DataFrame, max_fit: int) -> Model:
-    """K from the documents that are not toxic (method of moments), but e^-4 at least, which it mostly is; then the logistic curve."""
+def calibrate(model: Model, rows: DataFrame, marks: DataFrame | None, max_fit: int) -> Model:
+    """K from the documents that are not toxic, then the logistic curve. rows: id, body, and toxic unless marks tells it."""
+    told = marks is None
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,15 +212,16 @@ def calibrate(model: Model, rows: DataFrame, marks: DataFrame, max_fit: int) ->
                 hits = [(i, w) for i, w in enumerate(map(model.weights.get, tokens)) if w is not None]
                 size.append(len(tokens))
                 found.append([x[2] for x in segments(hits, len(tokens), model.background)])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(size, pa.int64()), pa.array(found, pa.list_(pa.float64()))], names=["id", "size", "found"])
+            more = [batch.column("toxic")] if told else []
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(size, pa.int64()), pa.array(found, pa.list_(pa.float64())), *more], names=["id", "size", "found", "toxic"][: 3 + told])
 
     kind = dict(rows.dtypes)["id"]
-    seen = map_arrow(rows, scan, f"id {kind}, size bigint, found array<double>")
-    seen = checkpointed(seen.join(marks.hint("merge"), "id"))
-    # The mean of an extreme-value law with scale 1 lies Euler's constant above its mode.
-    top = F.coalesce(F.array_max("found"), F.lit(0.0))
-    mean = seen.where("toxic = 0 and size > 0").agg(F.avg(top - F.log("size"))).first()[0]
-    model.log_k = max(-4.0, float(mean if mean is not None else 0.0) - 0.5772156649)
+    seen = map_arrow(rows, scan, f"id {kind}, size bigint, found array<double>" + ", toxic int" * told)
+    seen = checkpointed(seen if told else seen.join(marks.hint("merge"), "id"))
+    # Segments of S or more are K n e^-S in number; those of APART or more are counted.
+    high = F.size(F.filter("found", lambda x: x >= APART))
+    plain = seen.where("toxic = 0").agg(F.sum(high).alias("c"), F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).first()
+    model.log_k = math.log(max(plain["c"] or 0, 0.5)) + APART - math.log(max(plain["n"] or 0, 1))
     total = seen.count()
     cut = min(1 << 20, (max_fit << 20) // max(1, total))
     excess = F.transform("found", lambda x: F.greatest(x - F.log(F.greatest("size", F.lit(1))) - F.lit(model.log_k), F.lit(0.0)))
@@ -219,8 +232,9 @@ def calibrate(model: Model, rows: DataFrame, marks: DataFrame, max_fit: int) ->
 
 
 def squash(evidence):
-    """Evidence beyond a few units says little more."""
-    return np.log1p(np.maximum(evidence, 0))
+    """Evidence beyond a few units says little more: four of them say half of all."""
+    evidence = np.maximum(evidence, 0)
+    return evidence / (evidence + 4)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> tuple[float, float]:

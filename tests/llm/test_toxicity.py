@@ -27,7 +27,7 @@ def all_segments(values):
 def test_segments_are_all_maximal_ones(seed):
     rng = random.Random(seed)
     n, background = rng.randrange(1, 40), -rng.choice([0.3, 0.7, 1.1])
-    hits = sorted((i, rng.choice([0.5, 1.25, 2.6, 4.1])) for i in rng.sample(range(n), rng.randrange(0, n + 1)))
+    hits = sorted((i, rng.choice([0.5, 1.25, 2.6, 4.1, -2.2, -0.9])) for i in rng.sample(range(n), rng.randrange(0, n + 1)))
     values = [background] * n
     for i, w in hits:
         values[i] = w
@@ -112,5 +112,98 @@ def test_rare_words_stay_and_are_held_down(spark):
     docs, marks = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
     model = t.fit(docs, marks)
     rare = {w: v for w, v in model.weights.items() if w.startswith(b"rare")}
-    assert len(rare) == 33 and max(rare.values()) < 6 and not any(w.startswith(b"mild") for w in model.weights)
+    assert len(rare) == 33 and max(rare.values()) < 6 and not any(w.startswith(b"mild") and v > 0 for w, v in model.weights.items())
     assert t.fit(docs, marks, handed_out=0) == model
+
+
+def plain_python(docs, labels, learns, least_docs=3, strength=20.0):
+    """The whole method over dicts: weights, background, K, curve, and the score of each document."""
+    from collections import Counter, defaultdict
+
+    votes = defaultdict(list)
+    for i, toxic in labels:
+        if i is not None and toxic is not None and learns(i):
+            votes[i].append(toxic)
+    marks = {i: int(sum(v) / len(v) >= 0.5) for i, v in votes.items()}
+    first = {}
+    for i, text in docs:
+        if i in marks:
+            first[text, marks[i]] = min(i, first.get((text, marks[i]), i))
+    chosen = [(i, text) for i, text in docs if i in set(first.values())]
+    counts, sizes, everywhere = (Counter(), Counter()), [0, 0], Counter()
+    for i, text in chosen:
+        counts[marks[i]].update(set(t.tokens_of(text)))
+        sizes[marks[i]] += 1
+    for _, text in docs:
+        everywhere.update(set(t.tokens_of(text)))
+    weights, hits_in_toxic = {}, 0
+    for w in counts[0] | counts[1]:
+        prior = max(strength * everywhere[w] / len(docs), 0.5)
+        odds = [math.log(counts[c][w] + prior) - math.log(sizes[c] + strength - counts[c][w] - prior) for c in (0, 1)]
+        delta = odds[1] - odds[0]
+        if delta >= math.log(4) and counts[1][w] >= least_docs or delta <= -math.log(4):
+            weights[w] = delta
+            hits_in_toxic += counts[1][w] * (delta > 0)
+    background = min(-0.05, math.log(1 - min(0.5, hits_in_toxic / sizes[1] / 20)))
+
+    def found(text):
+        tokens = t.tokens_of(text)
+        return len(tokens), [s for _, _, s in all_segments([weights.get(x, background) for x in tokens])]
+
+    high = length = 0
+    for i, text in chosen:
+        if not marks[i]:
+            n, s = found(text)
+            high, length = high + sum(x >= math.log(4) for x in s), length + n
+    log_k = math.log(max(high, 0.5) * 4 / length)
+
+    def evidence(text):
+        n, s = found(text)
+        return sum(max(0.0, x - math.log(n) - log_k) for x in s)
+
+    x = np.array([evidence(text) for _, text in chosen])
+    slope, intercept = t.logistic(x / (x + 4), np.array([marks[i] for i, _ in chosen], float))
+    e = np.array([evidence(text) for _, text in docs])
+    return weights, background, log_k, 1 / (1 + np.exp(-(slope * e / (e + 4) + intercept)))
+
+
+@pytest.mark.parametrize("in_place", [10**6, 0])
+def test_query_against_plain_python(spark, tmp_path, monkeypatch, in_place):
+    import functools
+    import zlib
+
+    from ordinate.llm import queries
+
+    rng = random.Random(23)
+    docs, labels = [], []
+    for i in range(260):
+        toxic = rng.random() < 0.3
+        words = rng.choices([f"w{chr(97 + k)}" for k in range(20)], k=rng.randrange(5, 50)) + rng.choices(["calm", "kind"], k=0 if toxic else 2)
+        if toxic or rng.random() < 0.04:
+            at = rng.randrange(len(words))
+            words[at:at] = rng.choices(["zork", "vex", "grmp"], k=rng.randrange(1, 4))
+        docs.append((i, " ".join(words)))
+        if rng.random() < 0.8:
+            labels.append((i, 1, int(toxic)))
+    docs += [(300, docs[0][1]), (301, None), (302, "")]
+    labels += [(300, 1, 1 - int(labels[0][2])), (999, 1, 1), (5, 1, None)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(t, "fit", functools.partial(t.fit, in_place=in_place))
+    got = {r["doc_id"]: r for r in queries.op7_toxicity(spark, str(tmp_path)).collect()}
+    weights, _, _, scores = plain_python(docs, [(i, x) for i, _, x in labels], lambda i: zlib.crc32(str(i).encode()) % 3 != 1)
+    assert any(w < 0 for w in weights.values()) and any(w > 0 for w in weights.values())
+    for (i, _), want in zip(docs, scores, strict=True):
+        assert got[i]["score"] == pytest.approx(want, abs=1e-6) and got[i]["predicted"] == int(want >= 0.7) and got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1)
+
+
+def test_a_null_id_has_no_fold(spark):
+    assert spark.createDataFrame([(None,)], "i bigint").select(t.held_out(F.col("i")).alias("h")).first()["h"] is None
+
+
+def test_long_texts_and_clashing_columns(labelled, spark):
+    docs, labels = labelled
+    model = t.fit(docs, labels)
+    long = spark.createDataFrame([(1, "suna " * 400_000 + "zork vex grmp " * 5, "x", 7, "y")], "doc_id bigint, text string, evidence string, passages int, id string")
+    row = t.score(long, model).first()
+    assert row["n_tokens"] == 400_015 and row["predicted"] == 1 and row["id"] == "y" and row["passages"][0]["start"] == 400_000
