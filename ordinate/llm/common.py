@@ -96,6 +96,20 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def _orderable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _orderable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_orderable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
+def comparable(df: DataFrame, names: Iterable[str]) -> list[Column]:
+    """The named columns as values that can be grouped, ordered and hashed: maps and variants as JSON."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    return [F.col(f"`{n}`") if _orderable(kinds[n]) else F.to_json(F.struct(F.col(f"`{n}`").alias("v"))) for n in names]
+
+
 def md5_int(value: Column, digits: int = 13) -> Column:
     """The first hex digits of an MD5 as a number; the same in any SQL engine."""
     return F.conv(F.substring(F.md5(value), 1, digits), 16, 10).cast("long")

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, md5_int, numbered
+from .common import WORD, checkpointed, comparable, md5_int, numbered
 
 
 def size_class(size: Column) -> Column:
@@ -96,7 +96,7 @@ def word_count(text: Column) -> Column:
 
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: str = "mix", most: float = 3.0) -> DataFrame:
     """One row for each row of docs: doc_id, source, size, source_size, target, copies and taken (words)."""
-    sizes = docs.select(F.col(doc_id).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    sizes = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"))
     plan = plan_copies(sizes, seed=seed, most=most)
     rows = numbered(plan, "n", "k").withColumn("copies", crossed(F.col("first") + F.col("k")) - crossed(F.col("first") + F.col("k") - 1))
     return rows.select(F.col("id").alias(doc_id), F.col("source").alias("source"), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
@@ -108,17 +108,19 @@ def emit(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", tex
     Rows that share id, source and size are told apart by their columns; equal
     rows are counted before they move and written out again at the end.
     """
-    names = [f"`{c}`" for c in docs.columns]
-    key = F.struct(F.col(doc_id).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
-    rows = docs.withColumn("_mix", key)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    key = F.struct(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"))
+    marks = comparable(docs, docs.columns)
+    rows = docs.select(row.alias("_row"), key.alias("_mix"), *[m.alias(f"_m{i}") for i, m in enumerate(marks)])
+    marks = [f"_m{i}" for i in range(len(marks))]
     plan = plan_copies(rows.select("_mix.*"), seed=seed, most=most)
     plan = plan.select(F.struct("id", "source", "size").alias("_mix"), *[F.col(c).alias(f"_{c}") for c in ("n", "first", "rate", "offset")])
     joined = rows.join(plan, "_mix")
-    ones = joined.where("_n = 1").withColumn("_c", F.lit(1).cast("bigint")).withColumn("_before", F.lit(0).cast("bigint"))
-    many = joined.where("_n > 1").groupBy("_mix", *names, "_n", "_first", "_rate", "_offset").agg(F.count(F.lit(1)).alias("_c"))
-    order = Window.partitionBy("_mix").orderBy(*[F.col(c).asc_nulls_first() for c in names]).rowsBetween(Window.unboundedPreceding, -1)
-    many = many.withColumn("_before", F.coalesce(F.sum("_c").over(order), F.lit(0)))
+    ones = joined.where("_n = 1").withColumn("_c", F.lit(1).cast("bigint")).withColumn("_before", F.lit(0).cast("bigint")).drop(*marks)
+    many = joined.where("_n > 1").groupBy("_mix", *marks, "_n", "_first", "_rate", "_offset").agg(F.count(F.lit(1)).alias("_c"), F.first("_row").alias("_row"))
+    order = Window.partitionBy("_mix").orderBy(*[F.col(c).asc_nulls_first() for c in marks]).rowsBetween(Window.unboundedPreceding, -1)
+    many = many.withColumn("_before", F.coalesce(F.sum("_c").over(order), F.lit(0))).drop(*marks)
     both = ones.unionByName(many)
     at = lambda place: F.floor(F.col("_rate") * place + F.col("_offset"))
     start = F.col("_first") + F.col("_before")
-    return numbered(both.withColumn("_times", at(start + F.col("_c")) - at(start)), "_times", "_k").select(*names)
+    return numbered(both.withColumn("_times", at(start + F.col("_c")) - at(start)), "_times", "_k").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

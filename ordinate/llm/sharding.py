@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, md5_int, numbered, without
+from .common import checkpointed, comparable, md5_int, numbered, without
 
 BITS = 60
 LIMIT = 64 << 20
@@ -92,7 +92,7 @@ def _copies(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     same = F.lit(True)
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(*names)))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(*comparable(df, names))))
     return df.join(alike, same, "left_anti").withColumn("_copy", F.lit(1)).unionByName(df.join(alike, same, "left_semi").withColumn("_copy", place))
 
 
@@ -102,13 +102,23 @@ RESULT = ["row_bytes", "shard", "shard_depth", "shard_bytes", "shard_rows", "ove
 def shard(df: DataFrame, size: Column, *, limit: int = LIMIT, by: list[str] | None = None) -> DataFrame:
     """df with row_bytes (``size``, an expression over df), shard (its prefix bits, "" for the only one), shard_depth, shard_bytes, shard_rows and oversize."""
     df = without(df.withColumn("_bytes", F.coalesce(size, F.lit(0)).cast("bigint")), RESULT)
-    names = [f"`{c}`" for c in df.columns if c != "_bytes"]
+    plain = [c for c in df.columns if c != "_bytes"]
+    names = [f"`{c}`" for c in plain]
     if by is None:
-        counted = df.groupBy(*names, "_bytes").agg(F.count(F.lit(1)).alias("_n"))
-        rows = numbered(counted, "_n", "_copy").withColumn("_h", row_hash([F.col(c) for c in names], F.col("_copy")))
+        marks = comparable(df, plain)
+        if any(str(m) != str(F.col(n)) for m, n in zip(marks, names, strict=True)):
+            # Columns that can't be grouped by travel beside what stands for them.
+            held = df.select(F.struct(*names).alias("_row"), "_bytes", *[m.alias(f"_m{i}") for i, m in enumerate(marks)])
+            marks = [f"_m{i}" for i in range(len(plain))]
+            counted = held.groupBy(*marks, "_bytes").agg(F.count(F.lit(1)).alias("_n"), F.first("_row").alias("_row"))
+            rows = numbered(counted, "_n", "_copy").withColumn("_h", row_hash([F.col(c) for c in marks], F.col("_copy")))
+            rows = rows.select(*[F.col("_row").getField(c).alias(c) for c in plain], "_bytes", "_copy", "_h")
+        else:
+            counted = df.groupBy(*names, "_bytes").agg(F.count(F.lit(1)).alias("_n"))
+            rows = numbered(counted, "_n", "_copy").withColumn("_h", row_hash([F.col(c) for c in names], F.col("_copy")))
     else:
         keys = [*[f"`{c}`" for c in by], "_bytes"]
-        rows = _copies(df, keys, names).withColumn("_h", row_hash([F.col(c) for c in keys], F.col("_copy")))
+        rows = _copies(df, keys, plain).withColumn("_h", row_hash([F.col(c) for c in keys], F.col("_copy")))
     tables = directory(checkpointed(rows.select(F.col("_h").alias("h"), F.col("_bytes").alias("bytes"))), limit)
     out = None
     for depth, cells in tables:
@@ -122,7 +132,7 @@ def shard(df: DataFrame, size: Column, *, limit: int = LIMIT, by: list[str] | No
 
 def write_shards(placed: DataFrame, folder: str) -> None:
     """The rows of ``shard`` as Parquet, those of each shard in a folder of its own."""
-    even = placed.repartitionByRange("shard", F.xxhash64(*[f"`{c}`" for c in placed.columns]))
+    even = placed.repartitionByRange("shard", F.xxhash64(*comparable(placed, placed.columns)))
     # The only shard's name is empty, which no folder can be.
     even.withColumn("_folder", F.concat(F.lit("p"), "shard")).write.partitionBy("_folder").parquet(folder)
 

@@ -20,14 +20,14 @@ smaller id.
 Scale: texts move once, to groups of about ``group_bytes``, and the three passes
 over the groups share that shuffle.  Within a group equal edges are merged
 before they move, so a passage or document that is repeated without end adds at
-most one entry a group.  Groups also depend on the partition a row comes from,
-so that rows repeated with one id spread over several.
+most one entry a group.  If rows share ids, the rows are dealt by partition as
+well, so that an id repeated without end spreads over groups, and laid down once.
 
 Edge cases: null and blank texts have no words; texts of fewer than k words have
 no window; rows of one id never remove each other's words; a null id counts as
-larger than any other, so its words can be removed but it is no source; repeated
-rows are each returned; an empty table gives no rows; extra columns are not
-touched.  Ids are integers.
+larger than any other, so its words can be removed but it is no source (nor is
+the largest id there can be, 2**63 - 1); repeated rows are each returned; an
+empty table gives no rows; extra columns are not touched.  Ids are integers.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_list, ship
+from .common import binary_list, checkpointed, ship
 from .hashing import U64, Hasher, hashed
 
 _LOW = U64(0xFFFFFFFF)
@@ -124,7 +124,11 @@ def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     groups, buckets = max(8, math.ceil(size / group_bytes)), max(16, math.ceil(size / bucket_bytes))
-    grouped = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.lit(groups)).cast("int"))
+    # A document's group follows from its id. Rows of one id are dealt by partition too, and laid down, as that may change when a plan runs again.
+    alike = not rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    place = [F.spark_partition_id()] if alike else []
+    grouped = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", *place), F.lit(groups)).cast("int"))
+    grouped = checkpointed(grouped) if alike else grouped
     seeds = (seed, seed + 1)
 
     def tell(group: pa.Table) -> pa.Table:

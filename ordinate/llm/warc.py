@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_list, checkpointed, map_arrow, numbered, ready
+from .common import binary_list, checkpointed, map_arrow, numbered, shared_folder
 
 DICTIONARY_MAGIC = 0x184D2A5D
 #: An empty skippable frame, which parts the frames in a file.
@@ -248,6 +248,5 @@ def read_archives(spark: SparkSession, path: str, *, payloads: bool = False) ->
 
 
 def archive_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder that driver and executors share."""
-    ready(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4()}"
+    """A path for a fresh folder that driver and executors share; it goes when the application ends."""
+    return f"{shared_folder(spark, name)}/files"

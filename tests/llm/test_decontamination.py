@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from ordinate.llm import decontamination as d
 
@@ -81,3 +82,12 @@ def test_filter_keeps_columns_and_clean_rows(spark, frame):
     assert kept.columns == df.columns
     want = sorted([(i, t) for (i, t), r in zip(sorted(docs, key=repr), [next(b for b in brute([x], items)) for x in sorted(docs, key=repr)], strict=True) if not r[5]], key=repr)
     assert sorted([(r["doc_id"], r["text"]) for r in kept.collect()], key=repr) == want
+
+
+def test_a_very_long_text_and_clashing_columns(spark):
+    item = " ".join(f"q{i}" for i in range(20))
+    rows = [(1, "fill " * 400_000 + item, "x", 3), (2, item + " fill", "y", 4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, items string, n_words int").withColumn("item", F.lit(1))
+    found = {r["doc_id"]: r for r in d.find_hits(docs, spark.createDataFrame([(7, item)], "item_id int, text string")).collect()}
+    assert (found[1]["n_words"], found[1]["n_hit"], found[1]["contaminated"]) == (400_020, 20, False)
+    assert (found[2]["n_hit"], found[2]["contaminated"], found[2]["items"]) == (20, True, ["7"])

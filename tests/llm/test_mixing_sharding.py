@@ -155,3 +155,37 @@ def test_the_query_deals_out_whole_documents(spark, monkeypatch):
     queries.op2_sharding(spark, data)
     table = spark.read.parquet(f"{data}/documents.parquet")
     assert Counter(map(tuple, seen[0].select(*table.columns).collect())) == Counter(map(tuple, table.collect()))
+
+
+ODD = "doc_id bigint, text string, source string, size int, _mix string, copies int, tags map<string,int>, n binary"
+
+
+def odd_rows(spark, n):
+    rows = [(i, "w " * (i % 5), f"s{i % 2}", 1, "m", 2, {"a": i % 3, "b": 1}, b"x") for i in range(n)]
+    return spark.createDataFrame(rows + rows[:5] + rows[:2], ODD)
+
+
+def test_mixing_with_maps_and_clashing_columns(spark):
+    df = odd_rows(spark, 40)
+    plan = {(r["doc_id"], r["source"]): 0 for r in df.collect()}
+    for r in mixing.mix(df).collect():
+        plan[r["doc_id"], r["source"]] += r["copies"]
+    out = mixing.emit(df)
+    assert out.columns == df.columns and out.dtypes == df.dtypes
+    assert Counter((r["doc_id"], r["source"]) for r in out.collect()) == Counter({k: v for k, v in plan.items() if v})
+
+
+def test_mixing_a_very_long_text(spark):
+    df = docs(spark, [(1, "word " * 1_000_000, "a", 0), (2, "few words here", "a", 0), (3, "x " * 500, "b", 0)])
+    got = {r["doc_id"]: r for r in mixing.mix(df).collect()}
+    assert got[1]["size"] == 1_000_000 and got[1]["taken"] <= 3 * got[1]["size"] and sum(r["target"] for r in {r["source"]: r for r in got.values()}.values()) <= 1_000_503 + 1
+
+
+def test_sharding_with_maps_and_long_payloads(spark, tmp_path):
+    df = odd_rows(spark, 30).unionByName(spark.createDataFrame([(99, "y" * 3_000_000, "s", 1, "m", 2, {}, None)], ODD))
+    for by in (None, ["doc_id"]):
+        placed = sharding.shard(df, F.octet_length("text"), limit=100, by=by)
+        got = placed.collect()
+        assert len(got) == df.count() and [r["oversize"] for r in got if r["doc_id"] == 99] == [True]
+        sharding.write_shards(placed, f"{tmp_path}/{by is None}")
+        assert sharding.read_shards(spark, f"{tmp_path}/{by is None}", placed.schema).count() == len(got)

@@ -62,3 +62,19 @@ def test_many_copies(frame):
     rows = [(i, text) for i in range(400)]
     out = run(frame(rows), 13)
     assert sum(r[2] for r in out) == 399 * 60 and [r[0] for r in out if r[2] == 0] == [0]
+
+
+def test_a_very_long_text_and_clashing_columns(spark):
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(400_000)]
+    rows = [(1, " ".join(words[1000:1100])), (2, " ".join(words)), (3, " ".join(words[300_000:300_040]))]
+    df = spark.createDataFrame([(i, t, 5, "g", b"k") for i, t in rows], "doc_id bigint, text string, n_words int, g string, kept binary")
+    out = {r["doc_id"]: r for r in substring.dedup_substrings(df, k=13, keep_text=False).collect()}
+    assert [(out[i]["n_words"], out[i]["n_removed"]) for i in (1, 2, 3)] == [(100, 0), (400_000, 100), (40, 40)]
+    assert out[2]["kept_sha256"] == hashlib.sha256(" ".join(words[:1000] + words[1100:]).encode()).hexdigest()
+
+
+def test_one_id_for_a_third_of_all_rows(frame):
+    text = " ".join(f"t{i}" for i in range(40))
+    rows = [(5, text)] * 100 + [(i, text + f" own{i}") for i in range(100, 300)]
+    assert run(frame(rows), 13, group_bytes=2000) == brute(rows, 13)

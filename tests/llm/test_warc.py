@@ -81,3 +81,14 @@ def test_small_payloads_can_be_left_single(spark, tmp_path):
 def test_none(spark, tmp_path):
     path, files = written(spark, tmp_path, [])
     assert files == [] and warc.read_archives(spark, path).count() == 0
+
+
+def test_a_very_long_payload_and_clashing_columns(spark, tmp_path):
+    rows = [(1, "https://a.example/", "<p>" + "long é " * 700_000 + "</p>", "x", 1, b"z"), (2, "https://a.example/", "short", "y", 2, b"")]
+    df = spark.createDataFrame(rows, SCHEMA + ", payload string, record_type int, refers_to binary")
+    warc.write_archives(df, str(tmp_path / "a"))
+    got = {r["page_id"]: r for r in warc.read_archives(spark, str(tmp_path / "a")).collect()}
+    for i, _, html, *_ in rows:
+        raw = html.encode()
+        assert got[i]["payload_bytes"] == len(raw) and got[i]["record_type"] == "response"
+        assert got[i]["payload_digest"] == base64.b32encode(hashlib.sha1(raw).digest()).decode()
