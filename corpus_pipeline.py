@@ -2,18 +2,17 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 it as Parquet in the folder that the cluster shares and reads it again as the
-next one's docs.  All but the last keep the columns of ``documents``.
+next one's docs; the folder goes when the application ends.  All but the last
+keep the columns of ``documents``.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordinate.llm import decontamination, jaccard, mixing, sharding, toxicity
-from ordinate.llm.common import ready, table
+from ordinate.llm.common import shared_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +54,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ready(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4()}"
+    folder = shared_folder(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
