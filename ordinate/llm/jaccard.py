@@ -451,11 +451,14 @@ class Join:
 
     @staticmethod
     def _result(members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
-        linked = sets.select("class", F.col("c").alias("v")).join(labels, "v").select("class", F.col("root").cast("string").alias("root"))
         classes = members.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
-        rooted = classes.join(linked, "class", "left").withColumn("root", F.coalesce("root", F.hex("class")))
-        named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root")
-        out = members.join(named.select("class", "root", "component_id"), "class", "left")
+        linked = sets.select("class", F.col("c").alias("v")).join(labels, "v").join(classes, "class").select("class", F.col("root").cast("string").alias("root"), "least")
+        # A component may hold a large part of all classes: its name goes to several parts of them.
+        part = F.pmod(F.xxhash64("class"), F.lit(16))
+        names = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(15).cast("bigint"))))
+        named = linked.withColumn("part", part).join(names, ["root", "part"]).select("class", "root", "component_id")
+        alone = classes.join(linked.select("class"), "class", "left_anti").select("class", F.hex("class").alias("root"), F.col("least").alias("component_id"))
+        out = members.join(named.unionByName(alone), "class", "left")
         return out.select("doc_id", "mark", F.col("n").alias("n_shingles"), "class", "root", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
