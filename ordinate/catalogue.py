@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .collection import Collection
 from .database import open as open_database
+from .errors import Error
 from .functions import documents as D
 from .functions import keys as K
 from .functions import models as M
@@ -483,6 +484,64 @@ def cursor(spark, d):
         return spark.createDataFrame([(k, v["id"]) for k, v in [*out, *pairs]], "name string, id int")
 
 
+@query(f"SELECT {text_hex('n_name')} || {int_hex('n_nationkey - 12')} AS key_hex, n_name AS name, n_nationkey - 12 AS number FROM nation")
+def key_from_py(spark, d):
+    """Keys encoded and decoded one by one on the driver, as single operations do."""
+    rows = []
+    for r in read(spark, d, "nation").collect():  # 25 rows by definition of the table
+        k = K.encode((r["n_name"], r["n_nationkey"] - 12))
+        rows.append((k.hex().upper(), *K.decode(k)))
+    return spark.createDataFrame(rows, "key_hex string, name string, number int")
+
+
+@query("SELECT n_nationkey AS id, n_name AS name, n_regionkey AS region FROM nation")
+def model_write(spark, d):
+    """Instances of a model, put and read through a bound handle."""
+    with open_database() as db:
+        nations = db.collection("nations", Nation)
+        nations.update({r["n_nationkey"]: Nation(r["n_nationkey"], r["n_name"], r["n_regionkey"]) for r in read(spark, d, "nation").collect()})  # 25 rows by definition of the table
+        return spark.createDataFrame([(n.id, n.name, n.region) for n in nations.values()], "id int, name string, region int")
+
+
+@query("SELECT * FROM (VALUES ('no such collection is empty', true), ('a handle creates nothing', true), ('a bound handle reads instances', true), ('an empty name is refused', true), ('a name is text', true), ('a dropped collection is gone', true), ('a closed database refuses', true), ('one writer at a time', true), ('a failed batch leaves nothing', true), ('an update is one commit', true)) AS t(what, holds)")
+def manners(spark, d):
+    """What a database promises about handles, names, commits and its end."""
+
+    def refused(error, f):
+        try:
+            f()
+        except error:
+            return True
+        return False
+
+    folder = tempfile.mkdtemp(prefix="ordinate-manners-")
+    try:
+        with open_database(folder) as db:
+            out = [("no such collection is empty", db.get("none") is not None and len(db["none"]) == 0), ("a handle creates nothing", "none" not in db and len(db) == 0)]
+            db.collection("n", Nation)[1] = Nation(1, "x", 0)
+            out.append(("a bound handle reads instances", db.collection("n", Nation)[1] == Nation(1, "x", 0)))
+            out.append(("an empty name is refused", refused(ValueError, lambda: db[""])))
+            out.append(("a name is text", refused(TypeError, lambda: db[1])))
+            out.append(("one writer at a time", refused(Error, lambda: open_database(folder))))
+            before = db._store.now().number
+            db["n"].update({i: {"i": i} for i in range(10)})
+            out.append(("an update is one commit", db._store.now().number == before + 1))
+            out.append(("a failed batch leaves nothing", refused(TypeError, lambda: db["bad"].update({1: {}, 2: 3})) and "bad" not in db))
+            del db["n"]
+            out.append(("a dropped collection is gone", "n" not in db and len(db["n"]) == 0))
+        out.append(("a closed database refuses", refused(Error, lambda: list(db))))
+        return spark.createDataFrame(out, "what string, holds boolean")
+    finally:
+        shutil.rmtree(folder, ignore_errors=True)
+
+
+@dataclass
+class Nation:
+    id: int
+    name: str
+    region: int
+
+
 @dataclass
 class Customer:
     c_custkey: int
