@@ -38,10 +38,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binary_list, checkpointed, ship
+from .common import WORD, binary_list, checkpointed, ship
 from .hashing import U64, Hasher, hashed
 
 _LOW = U64(0xFFFFFFFF)
@@ -265,6 +265,30 @@ def paths(copied: np.ndarray, source: np.ndarray, place: np.ndarray, k: int) ->
     return [(int(at[s.start]), int(at[s.stop - 1] - at[s.start] + k), int(source[at[s.start]]), int(place[at[s.start]])) for s in stretches(heads, len(at))]
 
 
-def passages(result: DataFrame) -> DataFrame:
-    """The compacted paths themselves: source, source_start, words, and how many copies each has."""
-    return result.select(F.explode("spans").alias("s")).groupBy("s.source", "s.source_start", "s.words").agg(F.count(F.lit(1)).alias("copies"))
+def repeated_paths(result: DataFrame) -> DataFrame:
+    """The nonbranching paths of the repeated part of the graph: source, source_start, words, copies.
+
+    A path ends where some copy begins or ends: there the graph branches.  All
+    spans of a source meet at these places; between two neighbouring ones every
+    copy goes the same way, so the windows between them are one path.  Only
+    begins and ends are sorted, of which a source has no more than words.
+    """
+    spans = result.select(F.explode("spans").alias("s")).select("s.*")
+    ends = spans.select("source", F.explode(F.array(F.struct(F.col("source_start").alias("at"), F.lit(1).alias("d")), F.struct((F.col("source_start") + F.col("words")).alias("at"), F.lit(-1).alias("d")))).alias("e")).select("source", "e.*")
+    nodes = ends.groupBy("source", "at").agg(F.sum("d").alias("d"))
+    along = Window.partitionBy("source").orderBy("at")
+    paths = nodes.withColumn("copies", F.sum("d").over(along)).withColumn("to", F.lead("at").over(along))
+    return paths.where("copies > 0").select("source", F.col("at").alias("source_start"), (F.col("to") - F.col("at")).cast("int").alias("words"), F.col("copies").cast("bigint").alias("copies"))
+
+
+def compared(docs: DataFrame, result: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Each span (doc_id, start, words, source, source_start) and whether it says word by word what stands at its source.
+
+    Joins by id bring the words of both places together; only documents with spans or sources of spans move.
+    """
+    spans = result.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
+    texts = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.regexp_extract_all(F.col(f"`{text}`"), F.lit(WORD), F.lit(0)).alias("w"))
+    here = spans.join(texts, F.col("doc_id") == F.col("id")).withColumn("copy", F.sha2(F.array_join(F.slice("w", F.col("start") + 1, F.col("words")), " "), 256)).drop("id", "w")
+    there = here.join(texts, F.col("source") == F.col("id")).withColumn("same", F.sha2(F.array_join(F.slice("w", F.col("source_start") + 1, F.col("words")), " "), 256) == F.col("copy"))
+    # Rows of one id: one of them says it.
+    return there.groupBy("doc_id", "start", "words", "source", "source_start").agg(F.max("same").alias("same"))

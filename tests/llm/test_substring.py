@@ -47,8 +47,27 @@ def test_long_repeats_are_one_path(frame):
     out = substring.dedup_substrings(frame(rows), k=13).collect()
     spans = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in out}
     assert spans == {1: [], 2: [(3, 100, 1, 20)], 3: [(0, 30, 1, 50)]}
-    found = substring.passages(substring.dedup_substrings(frame(rows), k=13)).collect()
-    assert {(r["source"], r["source_start"], r["words"], r["copies"]) for r in found} == {(1, 20, 100, 1), (1, 50, 30, 1)}
+    result = substring.dedup_substrings(frame(rows), k=13)
+    found = substring.repeated_paths(result).collect()
+    assert {(r["source"], r["source_start"], r["words"], r["copies"]) for r in found} == {(1, 20, 30, 1), (1, 50, 30, 2), (1, 80, 40, 1)}
+    assert [r["same"] for r in substring.compared(frame(rows), result).collect()] == [True, True]
+
+
+def test_paths_and_words_of_random_documents(frame):
+    rng = random.Random(31)
+    parts = [" ".join(f"p{rng.randrange(500)}" for _ in range(rng.randrange(3, 30))) for _ in range(25)]
+    rows = [(i, " ".join(rng.choices(parts, k=rng.randrange(1, 6)))) for i in range(80)]
+    result = substring.dedup_substrings(frame(rows), k=5, group_bytes=2000)
+    spans = [(r["doc_id"], *s) for r in result.collect() for s in r["spans"]]
+    assert spans and all(r["same"] for r in substring.compared(frame(rows), result).collect())
+    covered, cuts = defaultdict(int), set()
+    for _, _, words, source, at in spans:
+        cuts |= {(source, at), (source, at + words)}
+        for j in range(at, at + words):
+            covered[source, j] += 1
+    paths = [tuple(r) for r in substring.repeated_paths(result).collect()]
+    assert {(s, j): c for s, at, n, c in paths for j in range(at, at + n)} == covered and sum(n for _, _, n, _ in paths) == len(covered)
+    assert all((s, at) in cuts and (s, at + n) in cuts and not any((s, j) in cuts for j in range(at + 1, at + n)) for s, at, n, _ in paths)
 
 
 def test_edges(frame):
