@@ -108,34 +108,24 @@ def range_bounds(start, stop) -> tuple[bytes | None, bytes | None]:
 # Columns
 
 
-def _escaped(hexed: Column) -> Column:
-    """Hex digits with every byte 00 followed by FF, and the end mark. Pairs are set apart first, as 1001 holds no byte 00."""
-    apart = F.regexp_replace(hexed, "(..)", "$1 ")
-    return F.concat(F.replace(F.replace(apart, F.lit("00 "), F.lit("00FF ")), F.lit(" "), F.lit("")), F.lit("00"))
-
-
-def _int_hex(c: Column) -> Column:
-    return F.concat(F.lit("01"), F.lpad(F.hex(c.cast("bigint").bitwiseXOR(F.lit(SMALLEST).cast("bigint"))), 16, "0"))
-
-
-def _str_hex(c: Column) -> Column:
-    return F.concat(F.lit("02"), _escaped(F.hex(F.encode(c, "UTF-8"))))
-
-
-def _bytes_hex(c: Column) -> Column:
-    return F.concat(F.lit("03"), _escaped(F.hex(c)))
+def _escaped(raw: Column) -> Column:
+    """Bytes with every 00 followed by FF. Pairs of hex digits are set apart first, as 1001 holds no byte 00."""
+    apart = F.regexp_replace(F.hex(raw), "(..)", "$1 ")
+    return F.unhex(F.replace(F.replace(apart, F.lit("00 "), F.lit("00FF ")), F.lit(" "), F.lit("")))
 
 
 def int_part(c: Column) -> Column:
-    return F.unhex(_int_hex(c))
+    # Its eight bytes, largest first, the sign turned.
+    return F.unhex(F.concat(F.lit("01"), F.lpad(F.hex(c.cast("bigint").bitwiseXOR(F.lit(SMALLEST).cast("bigint"))), 16, "0")))
 
 
 def str_part(c: Column) -> Column:
-    return F.unhex(_str_hex(c))
+    raw = F.encode(c, "UTF-8")
+    return F.concat(F.lit(bytes([STR])), F.when(F.contains(c, F.lit("\0")), _escaped(raw)).otherwise(raw), F.lit(END))
 
 
 def bytes_part(c: Column) -> Column:
-    return F.unhex(_bytes_hex(c))
+    return F.concat(F.lit(bytes([BYTES])), F.when(F.contains(c, F.lit(NUL)), _escaped(c)).otherwise(c), F.lit(END))
 
 
 def key(*parts: Column) -> Column:
