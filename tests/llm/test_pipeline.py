@@ -10,6 +10,7 @@ from ordinate.llm import mixing
 
 from test_decontamination import brute as hits
 from test_jaccard import brute as groups
+from test_mixing_sharding import filled
 
 
 @pytest.fixture(scope="module")
@@ -55,7 +56,16 @@ def test_stages_against_brute_force(spark, folder):
     assert bad and last == set(one) - bad
     mixed = corpus_pipeline.mix_sources(spark, clean, path)
     plan = {r["doc_id"]: r["copies"] for r in mixing.mix(clean).collect()}
-    assert Counter(r["doc_id"] for r in mixed.collect()) == Counter({k: v for k, v in plan.items() if v})
+    emitted = Counter(r["doc_id"] for r in mixed.collect())
+    assert emitted == Counter({k: v for k, v in plan.items() if v})
+    # The stated rule, in plain Python: each source comes near its target, and no document more than three times.
+    size = {r["doc_id"]: (r["source"], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"]))) for r in clean.collect()}
+    whole, taken = Counter(), Counter()
+    for i, (source, n) in size.items():
+        whole[source] += n
+        taken[source] += n * emitted[i]
+    target = filled(dict(whole))
+    assert max(emitted.values()) <= 3 and all(abs(taken[s] - target[s]) <= 0.05 * target[s] + max(n for _, n in size.values()) for s in whole)
     shards = corpus_pipeline.assign_shards(spark, mixed, path)
     assert set(mixed.columns) < set(shards.columns) and shards.count() == mixed.count()
 
