@@ -108,19 +108,21 @@ def emit(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", tex
     Rows that share id, source and size are told apart by their columns; equal
     rows are counted before they move and written out again at the end.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    names = [f"`{c}`" for c in docs.columns]
+    odd = [n for n, m in zip(names, comparable(docs, docs.columns), strict=True) if str(m) != str(F.col(n))]
     key = F.struct(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"))
-    marks = comparable(docs, docs.columns)
-    rows = docs.select(row.alias("_row"), key.alias("_mix"), *[m.alias(f"_m{i}") for i, m in enumerate(marks)])
-    marks = [f"_m{i}" for i in range(len(marks))]
-    plan = plan_copies(rows.select("_mix.*"), seed=seed, most=most)
-    plan = plan.select(F.struct("id", "source", "size").alias("_mix"), *[F.col(c).alias(f"_{c}") for c in ("n", "first", "rate", "offset")])
-    joined = rows.join(plan, "_mix")
-    ones = joined.where("_n = 1").withColumn("_c", F.lit(1).cast("bigint")).withColumn("_before", F.lit(0).cast("bigint")).drop(*marks)
-    many = joined.where("_n > 1").groupBy("_mix", *marks, "_n", "_first", "_rate", "_offset").agg(F.count(F.lit(1)).alias("_c"), F.first("_row").alias("_row"))
-    order = Window.partitionBy("_mix").orderBy(*[F.col(c).asc_nulls_first() for c in marks]).rowsBetween(Window.unboundedPreceding, -1)
-    many = many.withColumn("_before", F.coalesce(F.sum("_c").over(order), F.lit(0))).drop(*marks)
+    rows = docs.withColumn("_key", key)
+    for i, n in enumerate(odd):  # what can't be grouped by travels beside what stands for it
+        rows = rows.withColumn(f"_odd{i}", comparable(docs, [n.strip("`")])[0])
+    marks = [n for n in names if n not in odd] + [f"_odd{i}" for i in range(len(odd))]
+    plan = plan_copies(rows.select("_key.*"), seed=seed, most=most)
+    plan = plan.select(F.struct("id", "source", "size").alias("_key"), *[F.col(c).alias(f"_{c}") for c in ("n", "first", "rate", "offset")])
+    joined = rows.join(plan, "_key")
+    ones = joined.where("_n = 1").withColumn("_c", F.lit(1).cast("bigint")).withColumn("_before", F.lit(0).cast("bigint"))
+    many = joined.where("_n > 1").groupBy("_key", *marks, "_n", "_first", "_rate", "_offset").agg(F.count(F.lit(1)).alias("_c"), *[F.first(n).alias(n.strip("`")) for n in odd])
+    order = Window.partitionBy("_key").orderBy(*[F.col(c).asc_nulls_first() for c in marks]).rowsBetween(Window.unboundedPreceding, -1)
+    many = many.withColumn("_before", F.coalesce(F.sum("_c").over(order), F.lit(0)))
     both = ones.unionByName(many)
     at = lambda place: F.floor(F.col("_rate") * place + F.col("_offset"))
     start = F.col("_first") + F.col("_before")
-    return numbered(both.withColumn("_times", at(start + F.col("_c")) - at(start)), "_times", "_k").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+    return numbered(both.withColumn("_times", at(start + F.col("_c")) - at(start)), "_times", "_k").select(*names)

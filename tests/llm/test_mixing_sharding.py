@@ -189,3 +189,12 @@ def test_sharding_with_maps_and_long_payloads(spark, tmp_path):
         assert len(got) == df.count() and [r["oversize"] for r in got if r["doc_id"] == 99] == [True]
         sharding.write_shards(placed, f"{tmp_path}/{by is None}")
         assert sharding.read_shards(spark, f"{tmp_path}/{by is None}", placed.schema).count() == len(got)
+
+
+def test_documents_are_shuffled_once(spark, tmp_path):
+    """Rows taken once and rows that share a key come from one exchange of the documents."""
+    docs(spark, [(i, "word " * i, "s", 0) for i in range(50)]).write.parquet(f"{tmp_path}/d")
+    plan = mixing.emit(spark.read.parquet(f"{tmp_path}/d"))._jdf.queryExecution()
+    plan.toRdd().count()
+    text = plan.executedPlan().toString().partition("== Initial Plan ==")[0]
+    assert text.count("ReusedExchange") >= 1
