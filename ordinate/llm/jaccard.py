@@ -134,7 +134,7 @@ def best_need(df: np.ndarray, take: int, n: int, small: int) -> int:
 
 
 class Join:
-    def __init__(self, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, small: int = 12, hub_rounds: int = 1, chunk: int = 512, split: int = 4096, local_owners: int = 64, bucket_bytes: int = 16 << 20, block_shingles: int = 1 << 21, one_task: int = 1 << 22, seed: int = 1):
+    def __init__(self, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, small: int = 12, hub_rounds: int = 1, chunk: int = 512, split: int = 4096, local_owners: int = 64, bucket_bytes: int = 8 << 20, block_shingles: int = 1 << 20, one_task: int = 1 << 22, seed: int = 1):
         self.spark = docs.sparkSession
         self.docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
         self.words, self.percent, self.small, self.hub_rounds, self.chunk, self.split = words, percent, small, hub_rounds, chunk, split
