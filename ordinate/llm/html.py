@@ -77,9 +77,12 @@ _PART_IDS = frozenset("ad ads adsense comment comments commentlist respond disqu
 _SPARED = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 #: Names of two words mark the same if they say where such a part stands, or what kind of box it is.
 _PLACES, _PLACED = frozenset("site main primary global top bottom".split()), frozenset("nav navbar navigation menu menubar footer breadcrumb breadcrumbs topbar toolbar banner".split())
-_BOXED = frozenset("ad ads advert advertisement breadcrumb breadcrumbs comment comments cookie newsletter promo related search share skip social sponsored subscribe".split())
+_BOXED = frozenset("ad ads advert advertisement breadcrumb breadcrumbs comment comments cookie footer nav newsletter promo related search share sidebar skip social sponsored subscribe widget".split())
 _BOXES = frozenset("area articles bar block box button buttons container form icons items link links list posts section slot thread unit wrap wrapper".split())
 
+#: So do parts of a page with a word for their place or for whose they are, as in "left-sidebar" or "reader-comments".
+_WHOSE = frozenset("site page main primary secondary global top bottom left right user users reader readers visitor post article blog mobile desktop sticky fixed".split())
+_PARTS = frozenset("nav navbar navigation menu menubar sidebar footer breadcrumb breadcrumbs topbar toolbar comments ad ads advert advertisement notice notices".split())
 #: Beginnings and ends of longer words that mark the same.
 _JUNK_START = ("advert", "adsby", "adslot", "cookie", "breadcrumb", "sidebar", "newsletter", "sponsor", "popup", "paginat")
 _JUNK_END = ("nav", "menu", "banner", "sidebar", "footer", "comments", "cookies")
@@ -92,7 +95,7 @@ def _words(name: str) -> list[str]:
 def _is_junk(name: str) -> bool:
     """Whether a whole name marks what is not the article: "sidebar" and "cookie-notice" do, "has-sidebar" does not."""
     words = _words(name)
-    if len(words) == 2 and (words[0] in _PLACES and words[1] in _PLACED or words[0] in _BOXED and words[1] in _BOXES):
+    if len(words) == 2 and (words[0] in _PLACES and words[1] in _PLACED or words[0] in _BOXED and words[1] in _BOXES or words[0] in _WHOSE and words[1] in _PARTS):
         return True
     return bool(words) and all(w in _JUNK or w.startswith(_JUNK_START) or w.endswith(_JUNK_END) for w in words)
 
@@ -191,11 +194,15 @@ def blocks_of(page: str) -> tuple[list[tuple[str, Node, float]], list[Node]]:
             text = " ".join(entities.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append((text, stack[-1], min(1.0, state["link"] / max(1, state["all"]))))
+                node = stack[-1]
+                while node.tag not in _BLOCK and node.outer is not None:
+                    node = node.outer  # an inline element may be open that was never in the block
+                out.append((text, node, min(1.0, state["link"] / max(1, state["all"]))))
         state["link"] = state["all"] = 0
 
     def say(text: str) -> None:
-        if text:
+        # What stands in a junk element never comes back, be it a block or inline; only forms are judged later.
+        if text and not stack[-1].junk:
             parts.append(text)
             n = len(text.strip())
             state["all"] += n
@@ -235,6 +242,8 @@ def blocks_of(page: str) -> tuple[list[tuple[str, Node, float]], list[Node]]:
                     break
                 if stack[depth].tag in _CONTAINERS or stack[depth].tag in ("ul", "ol", "dl", "table") and "p" not in closes:
                     break
+        if tag in _BLOCK and stack[-1].tag == "head":
+            pop_to(len(stack) - 1)  # its end tag may be left out
         top = stack[-1]
         names, ids, label, hidden = _names(raw) if len(raw) > 3 else ([], [], "", False)
         inside = top.main

@@ -141,3 +141,19 @@ def test_query_against_labelled_pages(spark, tmp_path):
     spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r["page_id"]: r for r in queries.op8_html(spark, str(tmp_path)).collect()}
     assert {i: r["text"] for i, r in got.items()} == want and all(r["n_chars"] == len(want[i]) for i, r in got.items())
+
+
+@pytest.mark.parametrize("head", ["<html><head><meta charset=utf-8><title>t</title><body>", "<head><style>p{}</style>", "<head><link rel=x></head><body>"])
+def test_a_head_may_end_without_a_tag(head):
+    assert h.extract(head + "<p>All of the article stands here.</p>", None)[0] == "All of the article stands here."
+
+
+def test_inline_parts_that_are_not_the_article():
+    page = '<article><p>Said <button>Share</button>in <label>Mail</label><span class="ad">Buy</span><span hidden>no</span>full.</p><ins class="adsbygoogle">more ads</ins><p>End <select><option>a<option>b</select></p></article>'
+    assert h.extract(page, None)[0] == "Said in full.\nEnd"
+
+
+@pytest.mark.parametrize("name", ["left-sidebar", "rightSidebar", "user-comments", "reader_comments", "site-notice", "page-footer", "nav-links", "sidebar-box", "mobile-menu"])
+def test_parts_named_by_place_or_owner(name):
+    rest = "Something that is said at much greater length than the article itself. " * 3
+    assert h.extract(f'<div class="wrap"><div class="{name}"><p>{rest}</p></div><div class="body-text"><p>The article is short.</p></div></div>', None)[0] == "The article is short."
