@@ -96,6 +96,13 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def renamed(df: DataFrame) -> tuple[DataFrame, Callable[[str], str]]:
+    """df with its columns named c0, c1 and so on, like no helper column; and what each name became."""
+    new = [f"c{i}" for i in range(len(df.columns))]
+    at = {n.lower(): c for n, c in zip(df.columns, new, strict=True)}
+    return df.toDF(*new), lambda n: at[n.lower()]
+
+
 def _orderable(kind: T.DataType) -> bool:
     if isinstance(kind, T.ArrayType):
         return _orderable(kind.elementType)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_columns, binary_list
+from .common import arrow_columns, binary_list, renamed, without
 
 #: Every byte outside 0-9, a-z (after lower-casing) and UTF-8's upper half parts words.
 _WORDS = bytes((b + 32 if 65 <= b <= 90 else b) if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -91,13 +91,17 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, text:
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("body"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("body") + 32), F.lit(0)).alias("b")).first()["b"]
     blocks = max(1, math.ceil(total / block_bytes))
-    out = docs
+    docs = without(docs, [n for n, _ in RESULT])
+    names = docs.columns
+    out, of = renamed(docs)
+    text = of(text)
     for k in range(blocks):
         chosen = items.where(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == k).collect()
         held = [(r["item"], r["body"].encode() if r["body"] is not None else None) for r in chosen]
         fields = RESULT if k == blocks - 1 else [(f"_spans{k}", "array<bigint>"), (f"_items{k}", "array<string>")]
         out = arrow_columns(out, fields, _scan(held, window, text, k, last=k == blocks - 1))
-    return out.drop(*[f"_{n}{k}" for n in ("spans", "items") for k in range(blocks - 1)])
+    out = out.drop(*[f"_{n}{k}" for n in ("spans", "items") for k in range(blocks - 1)])
+    return out.toDF(*names, *[n for n, _ in RESULT])
 
 
 def _scan(held: list, window: int, text: str, k: int, *, last: bool):

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_columns, checkpointed, map_arrow
+from .common import arrow_columns, checkpointed, map_arrow, renamed, without
 
 #: What a "<" may begin: a comment, a declaration, or a tag.
 _TOKEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
@@ -400,9 +400,14 @@ def extract_main_text(pages: DataFrame, *, url: str = "url", html: str = "html",
     best = checkpointed(winners(checkpointed(host_votes(pages, url=url, html=html))))
     size = best.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path") + 64), F.lit(0)).alias("b")).first()["b"]
     fields = [("text", "string"), ("n_chars", "bigint"), ("path", "string")]
+    pages = without(pages, [n for n, _ in fields])
+    names = pages.columns
+    pages, of = renamed(pages)
+    url, html = of(url), of(html)
     if size <= broadcast_bytes:
         known = {r["host"]: r["path"] for r in best.collect()}
-        return arrow_columns(pages, fields, lambda: lambda batch: _texts(batch, html, [known.get(host_of(u)) for u in batch.column(url).to_pylist()]))
+        out = arrow_columns(pages, fields, lambda: lambda batch: _texts(batch, html, [known.get(host_of(u)) for u in batch.column(url).to_pylist()]))
+        return out.toDF(*names, *[n for n, _ in fields])
 
     def hosts():
         return lambda batch: [pa.array([host_of(u) for u in batch.column(url).to_pylist()], pa.string())]
@@ -411,7 +416,8 @@ def extract_main_text(pages: DataFrame, *, url: str = "url", html: str = "html",
     named = arrow_columns(pages, [("_host", "string")], hosts).withColumn("_split", F.pmod(F.xxhash64(F.col(f"`{html}`")), F.lit(splits)))
     paths = best.select(F.col("host").alias("_host"), F.col("path").alias("_path"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(splits - 1).cast("bigint"))).alias("_split"))
     joined = named.join(paths, ["_host", "_split"], "left").drop("_host", "_split")
-    return arrow_columns(joined, fields, lambda: lambda batch: _texts(batch, html, batch.column("_path").to_pylist())).drop("_path")
+    out = arrow_columns(joined, fields, lambda: lambda batch: _texts(batch, html, batch.column("_path").to_pylist())).drop("_path")
+    return out.toDF(*names, *[n for n, _ in fields])
 
 
 def _texts(batch: pa.RecordBatch, html: str, paths: list[str | None]) -> list[pa.Array]:

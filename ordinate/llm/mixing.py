@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, comparable, md5_int, numbered
+from .common import WORD, checkpointed, comparable, md5_int, numbered, renamed
 
 
 def size_class(size: Column) -> Column:
@@ -108,6 +108,9 @@ def emit(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", tex
     Rows that share id, source and size are told apart by their columns; equal
     rows are counted before they move and written out again at the end.
     """
+    kept = docs.columns
+    docs, of = renamed(docs)
+    doc_id, source, text = of(doc_id), of(source), of(text)
     names = [f"`{c}`" for c in docs.columns]
     odd = [n for n, m in zip(names, comparable(docs, docs.columns), strict=True) if str(m) != str(F.col(n))]
     key = F.struct(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"))
@@ -125,4 +128,4 @@ def emit(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", tex
     both = ones.unionByName(many)
     at = lambda place: F.floor(F.col("_rate") * place + F.col("_offset"))
     start = F.col("_first") + F.col("_before")
-    return numbered(both.withColumn("_times", at(start + F.col("_c")) - at(start)), "_times", "_k").select(*names)
+    return numbered(both.withColumn("_times", at(start + F.col("_c")) - at(start)), "_times", "_k").select(*names).toDF(*kept)

@@ -40,7 +40,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, without
+from .common import Workspace, renamed, without
 
 _START, _STOP = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 MALE = r"Mr|MR|Mister|Herrn?|Señor|Monsieur|Господин|Κύριος"
@@ -223,8 +223,11 @@ def with_surrogates(docs: DataFrame, *, key: str, text: str = "text", draw=canon
     Who knows ``key`` can draw the surrogates of suspected values and compare; keep it secret.
     """
     docs = without(docs, RESULT)
+    names = docs.columns
+    docs, of = renamed(docs)
+    text = of(text)
     space = Workspace(docs.sparkSession, "pii")
-    body = F.col(f"`{text}`")
+    body = F.col(text)
     maybe = F.coalesce(body.rlike(_MAYBE), F.lit(False))
     found = docs.where(maybe).select(F.md5(body).alias("mark"), F.explode(F.array_distinct(F.regexp_extract_all(body, F.lit(ANY), F.lit(0)))).alias("e"))
     held = space.store("held", found.distinct())
@@ -232,8 +235,8 @@ def with_surrogates(docs: DataFrame, *, key: str, text: str = "text", draw=canon
     parts = space.store("parts", entities.select("e", "entity", F.posexplode(units_of(F.col("e"), F.col("entity"))).alias("pos", "u")).select("e", "entity", "pos", "u.*"))
     # The gender that most titles tell, counted by texts.
     told = held.join(parts.where("kind = 'given' and gender != 'n'"), "e").groupBy("norm").agg((F.count_if(F.col("gender") == "f") - F.count_if(F.col("gender") == "m")).alias("lean"))
-    names = parts.select("kind", "norm").distinct().join(told.withColumn("kind", F.lit("given")), ["kind", "norm"], "left")
-    units = space.store("units", names.select("kind", "norm", F.when(F.col("lean") > 0, "f").when(F.col("lean") < 0, "m").otherwise("n").alias("gender")))
+    known = parts.select("kind", "norm").distinct().join(told.withColumn("kind", F.lit("given")), ["kind", "norm"], "left")
+    units = space.store("units", known.select("kind", "norm", F.when(F.col("lean") > 0, "f").when(F.col("lean") < 0, "m").otherwise("n").alias("gender")))
     chosen = space.store("chosen", drawn_units(units, key, space, draw))
     attempt = parts.drop("gender").join(chosen, ["kind", "norm"])
     spelled = _dealt(attempt, "e").withColumn("s", surrogate(F.col("kind"), F.col("raw"), F.col("norm"), F.col("gender"), F.col("attempt"), key))
@@ -250,7 +253,7 @@ def with_surrogates(docs: DataFrame, *, key: str, text: str = "text", draw=canon
     maps = space.store("maps", maps)
     space.keep("maps")
     rest = docs.where(~maybe).withColumn("n_entities", F.lit(0).cast("bigint")).withColumn("kinds", F.create_map().cast("map<string,int>"))
-    return _replaced(docs.where(maybe), maps, text).unionByName(rest)
+    return _replaced(docs.where(maybe), maps, text).unionByName(rest).toDF(*names, *RESULT)
 
 
 def _replaced(docs: DataFrame, maps: DataFrame, text: str) -> DataFrame:
@@ -268,6 +271,6 @@ def _replaced(docs: DataFrame, maps: DataFrame, text: str) -> DataFrame:
     whole = F.array_join(F.zip_with(F.col("_between"), F.concat(spelled, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     kinds = F.filter(F.transform(F.col("_known"), lambda x: x["v"]["entity"]), lambda k: k.isNotNull())
     counted = F.map_from_arrays(F.array_distinct(kinds), F.transform(F.array_distinct(kinds), lambda k: F.size(F.filter(kinds, lambda x: x == k))))
-    columns = [F.coalesce(whole, body).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if not c.startswith("_") or c not in ("_mark", "_map", "_words", "_between", "_known")]
+    columns = [F.coalesce(whole, body).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c not in ("_mark", "_map", "_words", "_between", "_known")]
     none = F.create_map().cast("map<string,int>")
     return docs.select(*columns, F.coalesce(F.size(kinds), F.lit(0)).cast("bigint").alias("n_entities"), F.coalesce(counted, none).alias("kinds"))

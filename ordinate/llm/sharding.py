@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, comparable, md5_int, numbered, without
+from .common import checkpointed, comparable, md5_int, numbered, renamed, without
 
 BITS = 60
 LIMIT = 64 << 20
@@ -101,8 +101,10 @@ RESULT = ["row_bytes", "shard", "shard_depth", "shard_bytes", "shard_rows", "ove
 
 def shard(df: DataFrame, size: Column, *, limit: int = LIMIT, by: list[str] | None = None) -> DataFrame:
     """df with row_bytes (``size``, an expression over df), shard (its prefix bits, "" for the only one), shard_depth, shard_bytes, shard_rows and oversize."""
-    df = without(df.withColumn("_bytes", F.coalesce(size, F.lit(0)).cast("bigint")), RESULT)
-    plain = [c for c in df.columns if c != "_bytes"]
+    kept = without(df, RESULT).columns
+    df, of = renamed(df.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(size, F.lit(0)).cast("bigint").alias("")))
+    *plain, last = df.columns
+    df = df.withColumnRenamed(last, "_bytes")
     names = [f"`{c}`" for c in plain]
     if by is None:
         marks = comparable(df, plain)
@@ -117,7 +119,7 @@ def shard(df: DataFrame, size: Column, *, limit: int = LIMIT, by: list[str] | No
             counted = df.groupBy(*names, "_bytes").agg(F.count(F.lit(1)).alias("_n"))
             rows = numbered(counted, "_n", "_copy").withColumn("_h", row_hash([F.col(c) for c in names], F.col("_copy")))
     else:
-        keys = [*[f"`{c}`" for c in by], "_bytes"]
+        keys = [*map(of, by), "_bytes"]
         rows = _copies(df, keys, plain).withColumn("_h", row_hash([F.col(c) for c in keys], F.col("_copy")))
     tables = directory(checkpointed(rows.select(F.col("_h").alias("h"), F.col("_bytes").alias("bytes"))), limit)
     out = None
@@ -127,7 +129,8 @@ def shard(df: DataFrame, size: Column, *, limit: int = LIMIT, by: list[str] | No
         cells = F.broadcast(cells) if cells.count() <= BROADCAST_ROWS else cells
         hit = rows.withColumn("_leaf", prefix(F.col("_h"), depth)).join(cells, "_leaf")
         out = hit if out is None else out.unionByName(hit)
-    return out.select(*names, F.col("_bytes").alias("row_bytes"), "shard", "shard_depth", "shard_bytes", "shard_rows", (F.col("shard_bytes") > limit).alias("oversize"))
+    out = out.select(*names, F.col("_bytes").alias("row_bytes"), "shard", "shard_depth", "shard_bytes", "shard_rows", (F.col("shard_bytes") > limit).alias("oversize"))
+    return out.toDF(*kept, *RESULT)
 
 
 def write_shards(placed: DataFrame, folder: str) -> None:
