@@ -55,7 +55,7 @@ def stored(spark, d, table: str) -> Collection:
     """A table as a collection of documents, loaded once for each application: segments sorted by key."""
     at = (spark.sparkContext.applicationId, d, table)
     if at not in _LOADED:
-        df = {"orders": orders, "conversations": conversations, "pages": pages, "lineitem": lineitem_keys, "mixed": mixed}[table](spark, d)
+        df = {"orders": orders, "conversations": conversations, "pages": pages_by_url, "lineitem": lineitem_keys, "mixed": mixed}[table](spark, d)
         c = open_database()[table]
         c.put_df(df.select("k", D.document_of(df, *[n for n in df.columns if n != "k"]).alias("doc")))
         _LOADED[at] = c
@@ -87,6 +87,13 @@ def pages(spark, d):
     return keyed(read(spark, d, "pages").select("page_id", "url"), "url")
 
 
+def pages_by_url(spark, d):
+    """Every page with a url, under its url, its page_id (none: behind the others) and its place: pages may share both."""
+    df = read(spark, d, "pages").select("page_id", "url").where("url IS NOT NULL")
+    number = F.coalesce(K.int_part(F.col("page_id")), K.bytes_part(F.lit(b"")))
+    return df.withColumn("k", K.key(K.str_part(F.col("url")), number, K.int_part(F.monotonically_increasing_id())))
+
+
 def lineitem_keys(spark, d):
     return keyed(read(spark, d, "lineitem").select("l_orderkey", "l_linenumber").distinct(), "l_orderkey", "l_linenumber")
 
