@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -150,10 +151,36 @@ def ship(spark: SparkSession) -> None:
         sc.addPyFile(f"{folder}/{root.name}.zip")
 
 
+def give_back() -> None:
+    """Hand this process's free memory to the system; a Python worker lives on through all jobs and would hold its highest use for good."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it, and needs it
+    if trim is not None:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """df.mapInArrow, with this package at hand on the executors."""
+    """df.mapInArrow, with this package at hand on the executors; each task gives its memory back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        give_back()
+
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def apply_arrow(df: DataFrame, keys: Iterable[str], work: Callable[[pa.Table], pa.Table], schema, *, large: int = 1 << 20) -> DataFrame:
+    """df.groupBy(keys).applyInArrow, with this package at hand on the executors; groups of ``large`` bytes or more give their memory back."""
+
+    def run(group: pa.Table) -> pa.Table:
+        out = work(group)
+        if group.nbytes >= large:
+            give_back()
+        return out
+
     ship(df.sparkSession)
-    return df.mapInArrow(work, schema)
+    return df.groupBy(*keys).applyInArrow(run, schema)
 
 
 def arrow_columns(df: DataFrame, fields: list[tuple[str, str]], make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]]) -> DataFrame:

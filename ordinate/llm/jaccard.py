@@ -58,7 +58,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, binary_list, map_arrow
+from .common import Workspace, apply_arrow, binary_list, map_arrow
 from .hashing import U64, Hasher, hashed, mix
 
 _LOW = U64((1 << 40) - 1)
@@ -237,7 +237,7 @@ class Join:
             low, own, df = (pa.array(c, pa.binary()) for c in zip(*out, strict=True))
             return pa.table([group.column("key"), group.column("block"), low, own, df, *[group.column(c) for c in ("classes", "sizes", "pieces")]], names=["key", "block", "low", "own", "df", "classes", "sizes", "pieces"])
 
-        return blocks.groupBy("key").applyInArrow(count, "key bigint, block binary, low binary, own binary, df binary, classes binary, sizes binary, pieces bigint")
+        return apply_arrow(blocks, ["key"], count, "key bigint, block binary, low binary, own binary, df binary, classes binary, sizes binary, pieces bigint")
 
     def candidates(self, replies: DataFrame) -> DataFrame:
         """class, n, tokens, df, sketch: each class of which enough shingles occur elsewhere, with those in the global order, their frequencies (coded), and how many of them fall to each of 128 hash cells (null if too many for a byte).
@@ -274,7 +274,7 @@ class Join:
                     out[c].append(v)
             return pa.table([pa.array(v, pa.int64() if c == "n" else pa.binary()) for c, v in out.items()], names=list(out))
 
-        return replies.groupBy("block").applyInArrow(gather, "class binary, n bigint, tokens binary, df binary, sketch binary")
+        return apply_arrow(replies, ["block"], gather, "class binary, n bigint, tokens binary, df binary, sketch binary")
 
     # Candidate pairs
 
@@ -341,7 +341,7 @@ class Join:
             least = np.minimum.reduceat(k, at) if len(at) else k
             return pa.table({"a": np.concatenate([a[at], token[listed].view(np.int64)]), "b": np.concatenate([b[at], c[listed]]), "shared": np.concatenate([np.diff(at, append=len(a)), n[listed]]), "need": np.concatenate([least, np.zeros(len(listed), np.int64)])})
 
-        return postings.groupBy("key").applyInArrow(meet, "a bigint, b bigint, shared bigint, need bigint")
+        return apply_arrow(postings, ["key"], meet, "a bigint, b bigint, shared bigint, need bigint")
 
     # Verification
 
@@ -419,7 +419,7 @@ class Join:
             a, b = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.empty((2, 0), np.int64)
             return pa.table({"a": a, "b": b})
 
-        return rows.groupBy("key", "lo", "hi").applyInArrow(compare, "a bigint, b bigint").distinct()
+        return apply_arrow(rows, ["key", "lo", "hi"], compare, "a bigint, b bigint").distinct()
 
     # All together
 

@@ -46,7 +46,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_columns, checkpointed, map_arrow
+from .common import apply_arrow, arrow_columns, checkpointed, map_arrow
 
 #: ASCII bytes that part tokens: all but letters.
 _PARTS = bytes(b if 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -150,7 +150,7 @@ def _counted(df: DataFrame, known: frozenset[bytes] | None, *, least: int = 0, l
         return summed.filter(pc.or_(pc.or_(pc.greater_equal(summed["toxic"], least), pc.greater_equal(summed["plain"], least_plain)), pc.equal(summed["token"], b"")))
 
     packed = map_arrow(df, count, "bucket int, token array<binary>, toxic array<bigint>, plain array<bigint>")
-    return packed.groupBy("bucket").applyInArrow(total, "token binary, toxic bigint, plain bigint")
+    return apply_arrow(packed, ["bucket"], total, "token binary, toxic bigint, plain bigint")
 
 
 def log_odds(toxic, plain, n_toxic, n_plain, prior, size):
